@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import chat, weak_rules
+from trivane.llm import chat, jaccard, weak_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = weak_rules.quality_rules(docs, carry=["doc_id"])
@@ -95,6 +99,7 @@ def _rules_sql() -> str:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
