@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import chat, decontaminate, jaccard, weak_rules
+from trivane.llm import chat, decontaminate, fuzzy_lines, jaccard, weak_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = fuzzy_lines.duplicate_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.select(F.col("doc").alias("doc_id"), "line", F.hex(F.concat(F.expr("cast(group.d1 as binary)"), F.expr("cast(group.d2 as binary)"))).alias("group_id"), "keep")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = weak_rules.quality_rules(docs, carry=["doc_id"])
@@ -105,6 +110,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op7_line_dedup": op7_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {

@@ -16,6 +16,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_ZERO = np.arange(256, dtype=np.uint8)
+_ZERO[48:58] = 48
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -56,9 +58,11 @@ class Words:
     are the words of text i, offset[i] is where its bytes begin.
     """
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], digits_alike: bool = False):
         raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
         self.data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+        if digits_alike:
+            self.data = _ZERO[self.data]
         lengths = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
         self.offset = np.concatenate(([0], np.cumsum(lengths)))
         inside = np.concatenate(([False], _WORD[self.data], [False]))
