@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import chat, decontaminate, fuzzy_lines, jaccard, weak_rules
+from trivane.llm import chat, decontaminate, fuzzy_lines, jaccard, line_hash, weak_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_hash.without_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", F.size("spans").cast("long").alias("n_spans"), removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = fuzzy_lines.duplicate_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return lines.select(F.col("doc").alias("doc_id"), "line", F.hex(F.concat(F.expr("cast(group.d1 as binary)"), F.expr("cast(group.d2 as binary)"))).alias("group_id"), "keep")
@@ -68,6 +74,23 @@ FROM sized GROUP BY conv_id
 """
 
 
+OP6_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+), formed AS (
+  SELECT *, lower(trim(regexp_replace(line, '[ \t\r\x0b\x0c]+', ' ', 'g'), ' ')) AS form FROM lines
+), ranked AS (
+  SELECT *, length(form) - length(replace(form, ' ', '')) + 1 >= 5 AS counts FROM formed
+), dropped AS (
+  SELECT doc_id, i, line, n, counts AND row_number() OVER (PARTITION BY counts, CASE WHEN counts THEN form ELSE doc_id || ' ' || i END ORDER BY doc_id, start) > 1 AS gone FROM ranked
+)
+SELECT doc_id, count(*) FILTER (gone) AS n_spans, CAST(coalesce(sum(length(line)) FILTER (gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM dropped GROUP BY doc_id
+"""
+
+
 def _rules_sql() -> str:
     """Features, votes and every round of the estimation as one chain of common table expressions."""
     r = weak_rules
@@ -110,10 +133,12 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
     "op1_chat_formatting": OP1_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op10_quality_rules": _rules_sql(),
 }
