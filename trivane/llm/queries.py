@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import chat, decontaminate, fuzzy_lines, jaccard, line_hash, weak_rules
+from trivane.llm import chat, decontaminate, fuzzy_lines, html_text, jaccard, line_hash, pieces, weak_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.find_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract_text(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -48,6 +53,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("doc").alias("doc_id"), "line", F.hex(F.concat(F.expr("cast(group.d1 as binary)"), F.expr("cast(group.d2 as binary)"))).alias("group_id"), "keep")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = pieces.Vocabulary.load(pieces.DEFAULT_MODEL)
+    both = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = weak_rules.quality_rules(docs, carry=["doc_id"])
@@ -132,9 +147,11 @@ def _rules_sql() -> str:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_html_extraction": op4_html_extraction,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
