@@ -6,6 +6,7 @@ month, keys give clock times, places and scores.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,7 @@ from trivane.operators import threeway as W
 from trivane.operators import windows as T
 from trivane.plans import baselines, dynamic, flow
 from trivane.sources import tables
+from trivane.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -726,7 +728,7 @@ def h10(spark, d):
             if r["period_idx"] == t:
                 pos[r["bin"]], neg[r["bin"]] = r["pos"], r["neg"]
         state = H.calibrate_replay(H.adapt_histogram(state, pos, neg))
-        out.append((int(t), state.tau, state.alpha, state.beta))
+        out.append((int(t), float(state.tau), float(state.alpha), float(state.beta)))
     return spark.createDataFrame(out, "period_idx int, tau double, alpha double, beta double")
 
 
@@ -873,6 +875,38 @@ def o1(spark, d):
     return O.row_ranks(flights(spark, d).select("row_id", "dist"), ["dist", "row_id"]).select("row_id", "rank")
 
 
+# ---- streaming -----------------------------------------------------------------------
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = read(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _run_stream(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """All that is there now, as a table in memory (results of these queries are small)."""
+    table = f"{name}_{uuid.uuid4().hex[:8]}"
+    q = stream.writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.table(table)
+
+
+@query("d1_kswin_stream")
+def d1s(spark, d):
+    return _run_stream(live.detect_stream(_event_stream(spark, d), "event_type", "ts", "value", D.DetectorConfig(window=100, stat=30, significance=0.01)), "kswin")
+
+
+@query("t2_day_windows_stream", "SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def t2s(spark, d):
+    out = _run_stream(live.window_summary(_event_stream(spark, d), "ts", "value", ["event_type"], "1 day", "400 days"), "days", "complete")
+    return out.select("event_type", F.to_date("start").cast("string").alias("day"), "n", *r6("mean"))
+
+
+@query("f5_region_stream", "SELECT CASE WHEN value >= 60 THEN 1 WHEN value <= 20 THEN -1 ELSE 0 END AS region, count(*) AS n FROM events GROUP BY 1")
+def f5s(spark, d):
+    return _run_stream(live.decide_stream(_event_stream(spark, d), "value", 60.0, 20.0).groupBy("region").agg(F.count("*").alias("n")), "regions", "complete")
+
+
 # ---- flows -------------------------------------------------------------------------
 
 
@@ -899,5 +933,5 @@ def t13(spark, d):
 @query("g0_static_split")
 def g0(spark, d):
     df = flights(spark, d)
-    small = df.select("row_id", "label", "p", "p1", "p3", "delay", "dist")
-    return dynamic.run_split(small, ["p", "p1", "p3", "dist"], "label", "row_id", 1, 6, H.SwarmParams(4, 2))
+    rows = df.select("row_id", "label", F.col("p").alias("f1"), F.col("p1").alias("f2"), F.col("p3").alias("f3"), F.col("dist").alias("f4"))
+    return dynamic.run_split(rows, ["f1", "f2", "f3", "f4"], "label", "row_id", 1, 6, H.SwarmParams(4, 2))
