@@ -89,7 +89,7 @@ def clock_minutes(hhmm) -> Column:
 
 def event_date(year, month, day) -> Column:
     """Date of the parts, the day held to 1..31; null if there is no such day."""
-    d = F.least(F.greatest(_col(day).cast("int"), F.lit(1)), F.lit(31))
+    d = F.when(_col(day).isNotNull(), F.least(F.greatest(_col(day).cast("int"), F.lit(1)), F.lit(31)))
     return F.try_to_date(F.format_string("%04d-%02d-%02d", _col(year).cast("int"), _col(month).cast("int"), d), "yyyy-MM-dd")
 
 

@@ -14,7 +14,7 @@ from trivane.operators.ordered import previous, running_sums
 
 def synthesize_year(df: DataFrame, order: list[str], month: str = "Month", base: int = 0, name: str = "Year_synth") -> DataFrame:
     """Add a year that rises by one whenever the month falls from one row to the next. Missing months take the last one before, or the first after, or 1."""
-    filled = df.withColumn("__m", F.least(F.greatest(F.col(month).cast("int"), F.lit(1)), F.lit(12)))
+    filled = df.withColumn("__m", F.when(F.col(month).isNotNull(), F.least(F.greatest(F.col(month).cast("int"), F.lit(1)), F.lit(12))))
     known = filled.where("__m is not null").select(*order, "__m")
     if filled.where("__m is null").limit(1).count():
         # The number of known months so far names the month to take.
