@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from itertools import chain
 
@@ -307,11 +308,12 @@ def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def _release(*frames: DataFrame) -> None:
-    """Let Spark delete the shuffle files of finished steps: it does so when the driver collects garbage."""
-    gc.collect()
-    for f in frames[:1]:
-        f.sparkSession.sparkContext._jvm.System.gc()
+def _release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of finished steps, which it does once the driver has collected their plans."""
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -324,7 +326,7 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     open_runs = settled.where("not settled").withColumn("hot", F.count("*").over(Window.partitionBy("key")) > MOST_RUNS)
     wanted = open_runs.groupBy("doc").agg(F.collect_list(F.struct("key", "at", "hot")).alias("runs"))
     fetched = materialise(_fetch(read, wanted, length), "runs")
-    _release(settled)
+    _release(fetched)
     blocks = _sorted_blocks(fetched.where("key is not null").select("key", "doc", "at", "bytes"), length)
     hot = fetched.where("key is null").select("h1", "h2", "doc", "at")
     least = hot.groupBy("h1", "h2").agg(F.min("doc").alias("least"))
