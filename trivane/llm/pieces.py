@@ -26,7 +26,7 @@ from trivane.llm.wordhash import lists_of
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words whose pieces a task remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Rows of an Arrow batch that the tasks give back.
 ROWS = 256
 
@@ -88,6 +88,17 @@ class _Known(dict):
         return ids
 
 
+#: The encoder and decoder of the last vocabulary, kept from task to task in a worker.
+_kept: dict[str, tuple] = {}
+
+
+def _shared(kind: str, vocabulary: Vocabulary):
+    """One Encoder or Decoder in a process, so that neither is built, or left over, once a task."""
+    if kind not in _kept or _kept[kind][0] != vocabulary:
+        _kept[kind] = (vocabulary, Encoder(vocabulary) if kind == "encode" else Decoder(vocabulary))
+    return _kept[kind][1]
+
+
 class Encoder:
     """Encodes in one process, word by word. Inside, a space stands for the mark SPACE."""
 
@@ -210,9 +221,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out:
 
     Rows are independent and not shuffled, so repeated rows, ties and null ids need nothing; an empty table gives no rows.
     """
-    return _added(docs, text_col, out, "array<int>", lambda: Encoder(vocabulary).encode_column)
+    return _added(docs, text_col, out, "array<int>", lambda: _shared("encode", vocabulary).encode_column)
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with ``out`` string, the text of the ids; null ids give an empty one. encode then decode restores every text."""
-    return _added(docs, ids_col, out, "string", lambda: Decoder(vocabulary).decode_column)
+    return _added(docs, ids_col, out, "string", lambda: _shared("decode", vocabulary).decode_column)
