@@ -418,10 +418,10 @@ _METRICS = """
 c AS (SELECT {k}, count(*) AS n_samples, sum(CASE WHEN label = 1 AND pred = 1 THEN 1.0 ELSE 0 END) AS tp, sum(CASE WHEN label = 0 AND pred = 1 THEN 1.0 ELSE 0 END) AS fp,
   sum(CASE WHEN label = 1 AND pred = 0 THEN 1.0 ELSE 0 END) AS fn, sum(CASE WHEN label = 0 AND pred = 0 THEN 1.0 ELSE 0 END) AS tn FROM d GROUP BY {k}),
 rk AS (SELECT {k}, label, rank() OVER (PARTITION BY {k} ORDER BY s) + (count(*) OVER (PARTITION BY {k}, s) - 1) / 2.0 AS rk FROM d),
-au AS (SELECT {k}, (sum(CASE WHEN label = 1 THEN rk ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) AS auc FROM rk GROUP BY {k}),
-m AS (SELECT c.{k}, n_samples, tp / (tp + fp) AS "Precision", tp / (tp + fn) AS "Recall", 2 * tp / (2 * tp + fp + fn) AS "F1", (tp / (tp + fn) + tn / (tn + fp)) / 2 AS "BAC",
-  (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) AS "MCC",
-  ((tp + tn) / n_samples - ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n_samples * n_samples)) / (1 - ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n_samples * n_samples)) AS "Kappa", auc AS "AUC" FROM c JOIN au USING ({k}))
+au AS (SELECT {k}, (sum(CASE WHEN label = 1 THEN rk ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0) / nullif(sum(label) * (count(*) - sum(label)), 0) AS auc FROM rk GROUP BY {k}),
+x AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS pr, coalesce(tp / nullif(tp + fn, 0), 0) AS re, coalesce(tn / nullif(tn + fp, 0), 0) AS sp, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n_samples * n_samples) AS ex FROM c),
+m AS (SELECT x.{k}, n_samples, pr AS "Precision", re AS "Recall", coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS "F1", CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (re + sp) / 2 ELSE re + sp END AS "BAC",
+  coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0) AS "MCC", coalesce(((tp + tn) / n_samples - ex) / nullif(1 - ex, 0), 0) AS "Kappa", auc AS "AUC" FROM x JOIN au USING ({k}))
 """
 _ROUNDED = ", ".join(f'round("{x}", 6) AS "{x}"' for x in M.METRICS)
 
@@ -464,7 +464,7 @@ def a17(spark, d):
 
 
 @query("a18_yearly_weighted", f"""WITH d AS (SELECT period_idx, label, CAST(p1 >= 0.5 AS INT) AS pred, p1 AS s FROM flights), {_METRICS.format(k='period_idx')}
-SELECT CAST(period_idx // 12 AS INT) AS year, count(DISTINCT period_idx) AS months, CAST(sum(n_samples) AS BIGINT) AS n_samples, round(sum("F1" * n_samples) / sum(n_samples), 6) AS "F1", round(sum("AUC" * n_samples) / sum(n_samples), 6) AS "AUC" FROM m GROUP BY 1""")
+SELECT CAST(period_idx // 12 AS INT) AS year, count(DISTINCT period_idx) AS months, CAST(sum(n_samples) AS BIGINT) AS n_samples, round(sum("F1" * n_samples) / sum(n_samples), 6) AS "F1", round(sum("AUC" * n_samples) / sum(n_samples) FILTER ("AUC" IS NOT NULL), 6) AS "AUC" FROM m GROUP BY 1""")
 def a18(spark, d):
     df = flights(spark, d).withColumn("pred", (F.col("p1") >= 0.5).cast("int"))
     m = M.classification_metrics(df, ["period_idx"], "label", "pred", "p1").withColumns({"year": F.floor(F.col("period_idx") / 12).cast("int"), "month": F.pmod("period_idx", F.lit(12))})
@@ -670,7 +670,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY round(score, 9), a
 """
 
 
-@query("h1_grid", f"SELECT a AS alpha, b AS beta FROM unnest({list(_GRID.alphas)}) x(a), unnest({list(_GRID.betas)}) y(b)")
+@query("h1_grid", f"SELECT CAST(a AS DOUBLE) AS alpha, CAST(b AS DOUBLE) AS beta FROM unnest({list(_GRID.alphas)}) x(a), unnest({list(_GRID.betas)}) y(b)")
 def h1(spark, d):
     return spark.createDataFrame([(a, b) for a in H.grid_range(0.5, 0.92, 0.025) for b in H.grid_range(0.4, 0.0, 0.02)], "alpha double, beta double")
 
