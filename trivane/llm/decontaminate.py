@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trivane.llm.wordhash import Words, chunks, mix
+from trivane.llm.wordhash import Words, mix, text_chunks
 
 #: Items that one pass over the documents holds in each task; more items take more passes.
 ITEMS_PER_PASS = 20_000
@@ -244,10 +244,10 @@ def _one_pass(docs: DataFrame, held: list[tuple], params: Params, schema: T.Stru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index([x[0] for x in shared.value], [x[1] for x in shared.value], params)
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0)
+            ids = batch.column(0)
             rows: list[tuple] = []
-            for lo, hi in chunks(texts):
-                words = Words(texts[lo:hi])
+            for lo, _, texts in text_chunks(batch.column(1)):
+                words = Words(texts)
                 for t, i, edits, a, b in index.search(words.hashes, words.first):
                     data, begin = words.data, words.offset[t]
                     s, e = words.starts[words.first[t] + a], words.ends[words.first[t] + b - 1] if b > a else words.starts[words.first[t] + a]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trivane.llm.common import connected_components, materialise
-from trivane.llm.wordhash import Words, by_group, chunks, lists_of, mix
+from trivane.llm.wordhash import Words, by_group, lists_of, mix, text_chunks
 
 #: Texts, and shingles, of one block of a node.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1 << 20
@@ -41,10 +41,10 @@ def signatures(docs: DataFrame, text_col: str, keep: list[str], words: int, tree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
-            counts, labels = [], []
-            for lo, hi in chunks(texts):
-                grams, first = Words(texts[lo:hi]).grams(words)
+            counts, labels, keys = [], [], []
+            for lo, hi, texts in text_chunks(batch.column(batch.schema.get_field_index("__text"))):
+                keys += [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts]
+                grams, first = Words(texts).grams(words)
                 n = np.diff(first)
                 some = np.flatnonzero(n)
                 out = np.zeros((hi - lo, trees), np.uint64)
@@ -60,7 +60,6 @@ def signatures(docs: DataFrame, text_col: str, keep: list[str], words: int, tree
             has = np.concatenate([x[1] for x in labels]) if labels else np.zeros(0, bool)
             flat = np.concatenate([x[0][x[1]].ravel() for x in labels]) if labels else np.zeros(0, np.int64)
             offsets = np.concatenate(([0], np.cumsum(has * trees))).astype(np.int32)
-            keys = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(batch.schema.get_field_index(k)) for k in keep], pa.array(keys, pa.binary()), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 names=[*keep, "key", "n_shingles", "labels"],
@@ -76,16 +75,11 @@ def _shingles(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            flat, sizes = [], []
-            for lo, hi in chunks(texts):
-                grams, first = Words(texts[lo:hi]).grams(words)
-                for i in range(hi - lo):
-                    own = np.unique(grams[first[i] : first[i + 1]].view(np.int64))
-                    flat.append(own)
-                    sizes.append(len(own))
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))], names=["key", "shingles"])
+            for lo, hi, texts in text_chunks(batch.column(1)):
+                grams, first = Words(texts).grams(words)
+                sets = [np.unique(grams[first[i] : first[i + 1]].view(np.int64)) for i in range(hi - lo)]
+                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["key", "shingles"])
 
     return texts.mapInArrow(run, "key binary, shingles array<bigint>")
 

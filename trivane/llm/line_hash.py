@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trivane.llm.wordhash import text_chunks
+
 _SPACE = re.compile(r"[ \t\r\x0b\x0c\n]+")
 _PARAGRAPH = re.compile(r"\n(?:[ \t\r\x0b\x0c]*\n)+")
 
@@ -47,14 +49,15 @@ def unit_spans(docs: DataFrame, id_col: str, text_col: str, unit: str, min_words
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, start, end, digest = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for a, b in split_units(text or "", unit):
-                    form = normalise(text[a:b]) if b > a else ""
-                    if form and form.count(" ") + 1 >= min_words:
-                        row.append(i)
-                        start.append(a)
-                        end.append(b)
-                        digest.append(hashlib.md5(form.encode("utf-8", "surrogatepass")).digest())
+            for lo, _, texts in text_chunks(batch.column(1)):
+                for i, text in enumerate(texts, lo):
+                    for a, b in split_units(text or "", unit):
+                        form = normalise(text[a:b]) if b > a else ""
+                        if form and form.count(" ") + 1 >= min_words:
+                            row.append(i)
+                            start.append(a)
+                            end.append(b)
+                            digest.append(hashlib.md5(form.encode("utf-8", "surrogatepass")).digest())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(digest, pa.binary())], names=["doc", "start", "end", "digest"])
 
     read = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("__text"))

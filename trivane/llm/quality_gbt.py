@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trivane.llm.wordhash import Words, chunks, mix
+from trivane.llm.wordhash import Words, mix, text_chunks
 
 STATISTICS = [
     "bytes", "words", "lines", "word_length", "long_words", "upper", "digits", "symbols", "marks", "exclaims", "bars", "other_bytes", "stops_per_word",
@@ -184,9 +184,8 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, id_col: str, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in chunks(texts):
-                x = statistics(texts[lo:hi])
+            for lo, hi, texts in text_chunks(batch.column(1)):
+                x = statistics(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(x[:, j]) for j in range(x.shape[1])]], names=["__y", *STATISTICS])
 
     schema = ", ".join(f"`{c}` double" for c in ["__y", *STATISTICS])
@@ -209,8 +208,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            parts = [forest.score(statistics(texts[lo:hi])) for lo, hi in chunks(texts)]
+            parts = [forest.score(statistics(texts)) for _, _, texts in text_chunks(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["__id", "held_out", "score"])
 
     read = docs.select(F.col(id_col).alias("__id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("__text"))

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trivane.llm.common import materialise
-from trivane.llm.wordhash import CHUNK, _BYTE, mix, powers
+from trivane.llm.wordhash import _BYTE, mix, powers, text_chunks
 
 #: Bytes of a gram; the position bits of an ordering value; rows of a bucket held while its
 #: end has not come; runs of a bucket that is still sorted; bytes of a block.
@@ -82,21 +82,6 @@ class Runs:
         self.hash = mix((sums[begin + self.count + length - 1] - sums[begin]) * down[begin] + self.count.astype(np.uint64))
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Texts as bytes in chunks; a text too long for the position bits is cut in overlapping parts by the caller's length."""
-    rows, raw, total = [], [], 0
-    for i, t in enumerate(texts):
-        b = (t or "").encode("utf-8", "surrogatepass")
-        if total and total + len(b) > CHUNK:
-            yield rows, raw
-            rows, raw, total = [], [], 0
-        rows.append(i)
-        raw.append(b)
-        total += len(b) + 1
-    if rows:
-        yield rows, raw
-
-
 def _runs(docs: DataFrame, length: int) -> DataFrame:
     """key, run, doc, at (start << 8 | count) of documents(doc, text)."""
     most = 1 << (POSITION - 2)
@@ -104,7 +89,9 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for rows, raw in _pieces(batch.column(1).to_pylist()):
+            for first, end, texts in text_chunks(batch.column(1)):
+                rows, raw = range(first, end), [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+                # A text too long for the position bits is cut in overlapping parts.
                 cut = [(r, a, b[a : a + most + length - 1]) for r, b in zip(rows, raw, strict=True) for a in range(0, max(1, len(b)), most)]
                 for lo in range(0, len(cut), len(cut) if len(cut) == len(rows) else 1):
                     own = cut[lo:] if len(cut) == len(rows) else cut[lo : lo + 1]
@@ -264,45 +251,46 @@ def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, texts, runs = (batch.column(i).to_pylist() for i in range(3))
-            key, doc, at, raw = [], [], [], []
-            hot_doc, hot_at, hot_raw = [], [], []
-            for d, text, own in zip(docs, texts, runs, strict=True):
-                b = (text or "").encode("utf-8", "surrogatepass")
-                for r in own:
-                    start, count = r["at"] >> 8, r["at"] & 255
-                    part = b[start : start + count + length - 1]
-                    if len(part) < count + length - 1:
-                        continue
-                    if r["hot"]:
-                        hot_doc.append(d)
-                        hot_at.append(r["at"])
-                        hot_raw.append(part)
-                    else:
-                        key.append(r["key"])
-                        doc.append(d)
-                        at.append(r["at"])
-                        raw.append(part)
-            n = len(key)
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(raw, pa.binary()), none, none], names=["key", "doc", "at", "bytes", "h1", "h2"])
-            if hot_raw:
-                joined = np.frombuffer(b"".join(hot_raw), np.uint8)
-                first = np.concatenate(([0], np.cumsum([len(x) for x in hot_raw])))[:-1]
-                where, who = np.array(hot_at), np.array(hot_doc)
-                count = where & 255
-                each = np.repeat(np.arange(len(where)), count)
-                shift = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-                p = first[each] + shift
-                up, down = powers(len(joined) + 1)
-                h = []
-                for salt in (0, 1):
-                    sums = np.zeros(len(joined) + 1, np.uint64)
-                    np.cumsum(mix(_BYTE[joined] + np.uint64(salt)) * up[: len(joined)], out=sums[1:])
-                    h.append(mix((sums[p + length] - sums[p]) * down[p]).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(p), pa.int64()), pa.array(who[each]), pa.array((where[each] >> 8) + shift), pa.nulls(len(p), pa.binary()), pa.array(h[0]), pa.array(h[1])], names=["key", "doc", "at", "bytes", "h1", "h2"]
-                )
+            for lo, hi, texts in text_chunks(batch.column(1)):
+                docs, runs = (batch.column(i).slice(lo, hi - lo).to_pylist() for i in (0, 2))
+                key, doc, at, raw = [], [], [], []
+                hot_doc, hot_at, hot_raw = [], [], []
+                for d, text, own in zip(docs, texts, runs, strict=True):
+                    b = (text or "").encode("utf-8", "surrogatepass")
+                    for r in own:
+                        start, count = r["at"] >> 8, r["at"] & 255
+                        part = b[start : start + count + length - 1]
+                        if len(part) < count + length - 1:
+                            continue
+                        if r["hot"]:
+                            hot_doc.append(d)
+                            hot_at.append(r["at"])
+                            hot_raw.append(part)
+                        else:
+                            key.append(r["key"])
+                            doc.append(d)
+                            at.append(r["at"])
+                            raw.append(part)
+                n = len(key)
+                none = pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(raw, pa.binary()), none, none], names=["key", "doc", "at", "bytes", "h1", "h2"])
+                if hot_raw:
+                    joined = np.frombuffer(b"".join(hot_raw), np.uint8)
+                    first = np.concatenate(([0], np.cumsum([len(x) for x in hot_raw])))[:-1]
+                    where, who = np.array(hot_at), np.array(hot_doc)
+                    count = where & 255
+                    each = np.repeat(np.arange(len(where)), count)
+                    shift = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+                    p = first[each] + shift
+                    up, down = powers(len(joined) + 1)
+                    h = []
+                    for salt in (0, 1):
+                        sums = np.zeros(len(joined) + 1, np.uint64)
+                        np.cumsum(mix(_BYTE[joined] + np.uint64(salt)) * up[: len(joined)], out=sums[1:])
+                        h.append(mix((sums[p + length] - sums[p]) * down[p]).view(np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(len(p), pa.int64()), pa.array(who[each]), pa.array((where[each] >> 8) + shift), pa.nulls(len(p), pa.binary()), pa.array(h[0]), pa.array(h[1])], names=["key", "doc", "at", "bytes", "h1", "h2"]
+                    )
 
     joined = docs.join(wanted.withColumnRenamed("doc", "__doc"), F.col("doc") == F.col("__doc")).select("doc", "text", "runs")
     return joined.mapInArrow(run, schema)
@@ -335,6 +323,16 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return whole.union(blocks).union(single)
 
 
+def _union(start: np.ndarray, end: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes under the intervals."""
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    a, reach = start[order], np.minimum(np.maximum.accumulate(end[order]), size)
+    new = np.flatnonzero(np.concatenate(([True], a[1:] > reach[:-1])))
+    return list(zip(a[new].tolist(), reach[np.concatenate((new[1:] - 1, [len(reach) - 1]))].tolist(), strict=True))
+
+
 def without_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """One row for each row of ``docs``: id_col, n_bytes long, spans array<struct<start, end>> (maximal removed byte runs), kept binary.
 
@@ -349,25 +347,18 @@ def without_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts, lists = batch.column(1).to_pylist(), batch.column(2)
-            flat, offsets = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
-            start, end = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            size, out, kept = [], [], []
-            for i, text in enumerate(texts):
-                b = (text or "").encode("utf-8", "surrogatepass")
-                size.append(len(b))
-                a, z = start[offsets[i] : offsets[i + 1]], end[offsets[i] : offsets[i + 1]]
-                if not len(a):
-                    out.append([])
-                    kept.append(b)
-                    continue
-                order = np.argsort(a, kind="stable")
-                a, reach = a[order], np.minimum(np.maximum.accumulate(z[order]), len(b))
-                new = np.flatnonzero(np.concatenate(([True], a[1:] > reach[:-1])))
-                a, z = a[new].tolist(), reach[np.concatenate((new[1:] - 1, [len(reach) - 1]))].tolist()
-                out.append([{"start": x, "end": y} for x, y in zip(a, z, strict=True)])
-                kept.append(b"".join([b[x:y] for x, y in zip([0, *z], [*a, len(b)], strict=True)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(out, kind), pa.array(kept, pa.binary())], names=["__id", "n_bytes", "spans", "kept"])
+            for lo, hi, texts in text_chunks(batch.column(1)):
+                lists = batch.column(2).slice(lo, hi - lo)
+                flat, offsets = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+                start, end = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                size, out, kept = [], [], []
+                for i, text in enumerate(texts):
+                    b = (text or "").encode("utf-8", "surrogatepass")
+                    size.append(len(b))
+                    spans = _union(start[offsets[i] : offsets[i + 1]], end[offsets[i] : offsets[i + 1]], len(b))
+                    out.append([{"start": x, "end": y} for x, y in spans])
+                    kept.append(b"".join([b[x:y] for x, y in zip([0, *[y for _, y in spans]], [*[x for x, _ in spans], len(b)], strict=True)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(out, kind), pa.array(kept, pa.binary())], names=["__id", "n_bytes", "spans", "kept"])
 
     read = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     joined = read.join(spans, F.col("__id").cast("long") == F.col("doc"), "left").select("__id", "__text", "found")

@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+#: Characters of text handled at once (a longer text is a chunk of its own), and rows made Python objects at once.
+CHUNK, ROWS = 1 << 18, 128
 
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -105,6 +105,14 @@ def chunks(texts: list[str | None], size: int = CHUNK) -> Iterator[tuple[int, in
         yield begin, len(texts)
 
 
+def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(first row, row after the last, texts) of a column, in chunks that keep a task's memory small."""
+    for base in range(0, len(column), ROWS):
+        texts = column.slice(base, ROWS).to_pylist()
+        for lo, hi in chunks(texts):
+            yield base + lo, base + hi, texts[lo:hi]
+
+
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch] | None]) -> Iterator[pa.RecordBatch]:
     """Call ``work`` on the rows of each run of equal keys, in a partition sorted by them.
 
