@@ -27,32 +27,38 @@ def _entropy(w1: Column, w0: Column) -> Column:
     return -(a * log2_or_zero(a) + b * log2_or_zero(b))
 
 
-def information_gain(label: str, p: str, alpha: float, beta: float, c1: float = 1.0, c0: float = 1.0) -> Column:
-    """Aggregate: weighted binary entropy less that of the three regions. Classes weigh c1 and c0."""
-    y, r = F.col(label) == 1, region(p, alpha, beta)
-    w1, w0 = _sum(y, c1), _sum(~y, c0)
+def _mean(c: Column, v: Column, weight: Column) -> Column:
+    return F.try_divide(_sum(c, v * weight), _sum(c, weight))
+
+
+def information_gain(label: str, p: str, alpha: float, beta: float, c1: float = 1.0, c0: float = 1.0, weight: Column | None = None) -> Column:
+    """Aggregate: weighted binary entropy less that of the three regions. Classes weigh c1 and c0, rows ``weight`` (1)."""
+    y, r, w = F.col(label) == 1, region(p, alpha, beta), F.lit(1.0) if weight is None else weight
+    w1, w0 = _sum(y, c1 * w), _sum(~y, c0 * w)
     gain = _entropy(w1, w0)
     for k in (1, 0, -1):
-        a, b = _sum(y & (r == k), c1), _sum(~y & (r == k), c0)
+        a, b = _sum(y & (r == k), c1 * w), _sum(~y & (r == k), c0 * w)
         gain = gain - F.when(w1 + w0 > 0, (a + b) / (w1 + w0)).otherwise(0.0) * _entropy(a, b)
     return gain
 
 
-def utility_regret(label: str, p: str, alpha: float, beta: float, theta_pos: float = 2.0, theta_neg: float = 1.0, sigma: float = 3.0) -> Column:
+def utility_regret(label: str, p: str, alpha: float, beta: float, theta_pos: float = 2.0, theta_neg: float = 1.0, sigma: float = 3.0, weight: Column | None = None) -> Column:
     """Aggregate: theta_pos times the mean regret of false accepts plus theta_neg times that of false rejects."""
     h = 2 * F.col(p) - 1
     up = F.pow(1 - F.exp(-theta_pos * F.greatest(h, F.lit(0.0))), F.lit(theta_pos))
     un = F.pow(1 - F.exp(-theta_neg * F.greatest(-h, F.lit(0.0))), F.lit(theta_neg))
     regret = lambda d: 1 - F.exp(-sigma * F.greatest(d, F.lit(0.0)))
     r, y = region(p, alpha, beta), F.col(label) == 1
-    fp, fn = F.avg(F.when(~y & (r == 1), regret(un - up))), F.avg(F.when(y & (r == -1), regret(up - un)))
+    w = F.lit(1.0) if weight is None else weight
+    fp, fn = _mean(~y & (r == 1), regret(un - up), w), _mean(y & (r == -1), regret(up - un), w)
     return theta_pos * F.coalesce(fp, F.lit(0.0)) + theta_neg * F.coalesce(fn, F.lit(0.0))
 
 
-def rate_regret(label: str, p: str, alpha: float, beta: float, theta_pos: float = 2.0, theta_neg: float = 1.0, sigma: float = 3.0) -> Column:
+def rate_regret(label: str, p: str, alpha: float, beta: float, theta_pos: float = 2.0, theta_neg: float = 1.0, sigma: float = 3.0, weight: Column | None = None) -> Column:
     """Aggregate: the same of the shares of wrong rows among the accepted and the rejected."""
     r, y = region(p, alpha, beta), F.col(label) == 1
-    share = lambda wrong, all_: F.coalesce(F.try_divide(_sum(wrong), _sum(all_)), F.lit(0.0))
+    w = F.lit(1.0) if weight is None else weight
+    share = lambda wrong, all_: F.coalesce(F.try_divide(_sum(wrong, w), _sum(all_, w)), F.lit(0.0))
     bend = lambda x: 1 - F.exp(-sigma * x)
     return theta_pos * bend(share(~y & (r == 1), r == 1)) + theta_neg * bend(share(y & (r == -1), r == -1))
 
@@ -70,7 +76,7 @@ class ObjectiveParams:
     regret: str = "utility"
 
 
-def objective(levels: list[str], label: str, alphas: list[float], betas: list[float], gamma: float = 0.5, params: ObjectiveParams = ObjectiveParams()) -> Column:
+def objective(levels: list[str], label: str, alphas: list[float], betas: list[float], gamma: float = 0.5, params: ObjectiveParams = ObjectiveParams(), weight: Column | None = None) -> Column:
     """Aggregate to minimise: regret less information gain of all layers but the last, regret of a binary last layer, and penalties.
 
     levels name the probability columns. A layer whose share of deferred rows is under xi_min, or whose
@@ -80,14 +86,14 @@ def objective(levels: list[str], label: str, alphas: list[float], betas: list[fl
     regret = utility_regret if q.regret == "utility" else rate_regret
     total = F.lit(0.0)
     for p, a, b in zip(levels[:-1], alphas, betas, strict=True):
-        total = total - information_gain(label, p, a, b, q.c1, q.c0) + regret(label, p, a, b, q.theta_pos, q.theta_neg, q.sigma)
-        deferred = F.avg(F.when(region(p, a, b) == 0, 1.0).otherwise(0.0))
+        total = total - information_gain(label, p, a, b, q.c1, q.c0, weight) + regret(label, p, a, b, q.theta_pos, q.theta_neg, q.sigma, weight)
+        deferred = _mean(F.lit(True), F.when(region(p, a, b) == 0, 1.0).otherwise(0.0), F.lit(1.0) if weight is None else weight)
         total = total + F.when(deferred < q.xi_min, q.penalty_large).otherwise(0.0)
         if a < b + q.gap:
             total = total + q.penalty_large
     # The last layer accepts at gamma and rejects under it.
     last = levels[-1]
-    return total + regret(label, last, gamma, _below(gamma), q.theta_pos, q.theta_neg, q.sigma)
+    return total + regret(label, last, gamma, _below(gamma), q.theta_pos, q.theta_neg, q.sigma, weight)
 
 
 def _below(x: float) -> float:

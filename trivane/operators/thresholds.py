@@ -263,8 +263,7 @@ def learn_thresholds(df: DataFrame, levels: list[str], label: str, params: Swarm
     layers = len(levels) - 1
 
     def fitness(x: np.ndarray) -> np.ndarray:
-        rows = cells.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
-        out = rows.agg(*[objective(levels, label, r[:layers].tolist(), r[layers : 2 * layers].tolist(), float(r[-1]), measure).alias(f"f{i}") for i, r in enumerate(x)]).first()
+        out = cells.agg(*[objective(levels, label, r[:layers].tolist(), r[layers : 2 * layers].tolist(), float(r[-1]), measure, F.col("__n").cast("double")).alias(f"f{i}") for i, r in enumerate(x)]).first()
         return np.array([float(out[f"f{i}"]) for i in range(len(x))])
 
     try:
