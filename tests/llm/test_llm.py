@@ -416,6 +416,7 @@ def repeats(docs):
 @pytest.mark.parametrize("small", [False, True])
 def test_suffixes_by_brute_force(spark, monkeypatch, small):
     if small:
+        monkeypatch.setattr(suffix, "LOT", 60)
         monkeypatch.setattr(suffix, "HELD", 5)
         monkeypatch.setattr(suffix, "MOST_RUNS", 3)
         monkeypatch.setattr(suffix, "BLOCK", 4000)

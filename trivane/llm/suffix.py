@@ -29,9 +29,9 @@ from pyspark.sql.window import Window
 from trivane.llm.common import materialise
 from trivane.llm.wordhash import _BYTE, mix, powers, text_chunks
 
-#: Bytes of a gram; the position bits of an ordering value; rows of a bucket held while its
-#: end has not come; runs of a bucket that is still sorted; bytes of a block.
-GRAM, POSITION, HELD, MOST_RUNS, BLOCK = 20, 28, 1 << 17, 4096, 1 << 22
+#: Bytes of a gram; the position bits of an ordering value; runs settled together before the shuffle; rows of
+#: a bucket held while its end has not come; runs of a bucket that is still sorted; bytes of a block.
+GRAM, POSITION, LOT, HELD, MOST_RUNS, BLOCK = 20, 28, 1 << 19, 1 << 17, 4096, 1 << 22
 #: A perfect difference set modulo 13.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 _MASK = np.uint64((1 << POSITION) - 1)
@@ -83,12 +83,26 @@ class Runs:
 
 
 def _runs(docs: DataFrame, length: int) -> DataFrame:
-    """key, run, doc, at (start << 8 | count) of documents(doc, text)."""
+    """key, run, doc, at (start << 8 | count), done of documents(doc, text).
+
+    A run that an earlier document of the same lot has as well is settled at once (done) and
+    goes on under a key of its own, so that a hot bucket gets few rows from each task.
+    """
     most = 1 << (POSITION - 2)
 
+    def settle(key, run, doc, at):
+        order = np.lexsort((doc, run, key))
+        key, run, doc, at = key[order], run[order], doc[order], at[order]
+        sub = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (run[1:] != run[:-1]))))
+        done = doc > np.repeat(doc[sub], np.diff(np.concatenate((sub, [len(key)]))))
+        spread = mix(at.view(np.uint64) ^ mix(doc.view(np.uint64))).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.where(done, spread, key)), pa.array(np.where(done, 0, run)), pa.array(doc), pa.array(at), pa.array(done)], names=["key", "run", "doc", "at", "done"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot: list[tuple] = []
+        size = 0
         for batch in batches:
-            ids = batch.column(0)
+            ids = batch.column(0).to_numpy()
             for first, end, texts in text_chunks(batch.column(1)):
                 rows, raw = range(first, end), [(t or "").encode("utf-8", "surrogatepass") for t in texts]
                 # A text too long for the position bits is cut in overlapping parts.
@@ -97,11 +111,15 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                     own = cut[lo:] if len(cut) == len(rows) else cut[lo : lo + 1]
                     x = Runs([b for _, _, b in own], length)
                     row, shift = np.array([r for r, _, _ in own]), np.array([a for _, a, _ in own])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x.key.view(np.int64)), pa.array(x.hash.view(np.int64)), ids.take(pa.array(row[x.text])), pa.array((x.start + shift[x.text]) << 8 | x.count)], names=["key", "run", "doc", "at"]
-                    )
+                    lot.append((x.key.view(np.int64), x.hash.view(np.int64), ids[row[x.text]], (x.start + shift[x.text]) << 8 | x.count))
+                    size += len(x.text)
+                    if size >= LOT:
+                        yield settle(*[np.concatenate(c) for c in zip(*lot, strict=True)])
+                        lot, size = [], 0
+        if size:
+            yield settle(*[np.concatenate(c) for c in zip(*lot, strict=True)])
 
-    return docs.mapInArrow(run, "key bigint, run bigint, doc bigint, at bigint")
+    return docs.mapInArrow(run, "key bigint, run bigint, doc bigint, at bigint, done boolean")
 
 
 def _settle(runs: DataFrame) -> DataFrame:
@@ -113,25 +131,26 @@ def _settle(runs: DataFrame) -> DataFrame:
             if batch is not None:
                 if not batch.num_rows:
                     continue
-                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)] + [np.zeros(batch.num_rows, bool)]
+                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)] + [np.zeros(batch.num_rows, bool)]
                 cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
             elif held is None:
                 return
             else:
                 cols = held
-            key, kind, doc, at, old = cols
-            keys = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            sub = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))))
+            key, kind, doc, at, done, old = cols
+            turn = (key[1:] != key[:-1]) | (done[1:] != done[:-1])
+            keys = np.flatnonzero(np.concatenate(([True], turn)))
+            sub = np.flatnonzero(np.concatenate(([True], turn | (kind[1:] != kind[:-1]))))
             least = np.repeat(doc[sub], np.diff(np.concatenate((sub, [len(key)]))))
-            settled = doc > least
+            settled = done | (doc > least)
             size = np.diff(np.concatenate((keys, [len(key)])))
             other_docs = np.minimum.reduceat(doc, keys) != np.maximum.reduceat(doc, keys)
             other_runs = np.diff(np.concatenate((np.searchsorted(sub, keys), [len(sub)]))) > 1
-            more = other_docs & other_runs
-            if forced is not None and key[0] == forced:
+            more = other_docs & other_runs & ~done[keys]
+            if forced is not None and key[0] == forced and not done[0]:
                 more[0] = True
             end = len(key) if batch is None else keys[-1]
-            if batch is not None and size[-1] > HELD:
+            if batch is not None and size[-1] > HELD and not done[-1]:
                 end, more[-1], forced = len(key), True, key[-1]
             elif batch is None or key[keys[-1]] != forced:
                 forced = None
@@ -140,11 +159,11 @@ def _settle(runs: DataFrame) -> DataFrame:
             if batch is None:
                 return
             if end == len(key):  # the least document of the run that may go on
-                held = [x[sub[-1] : sub[-1] + 1] for x in cols[:4]] + [np.ones(1, bool)]
+                held = [x[sub[-1] : sub[-1] + 1] for x in cols[:5]] + [np.ones(1, bool)]
             else:
                 held = [x[end:] for x in cols]
 
-    ordered = runs.repartition("key").sortWithinPartitions("key", "run", "doc")
+    ordered = runs.repartition("key").sortWithinPartitions("key", "done", "run", "doc")
     return ordered.mapInArrow(run, "doc bigint, at bigint, key bigint, settled boolean")
 
 
