@@ -218,3 +218,11 @@ def test_flow_gives_a_row_for_each_streamed_period(spark, sf_dir):
     m = r.window_metrics.collect()
     assert len(m) == n and all(x.alpha > x.beta for x in m) and all(x.psi >= 0 for x in m)
     assert {x.year for x in r.metrics_by_year.collect()} == {x.year for x in m}
+
+
+def test_bucket_masks_and_history_caps(spark):
+    df = spark.createDataFrame([(i, "A" if i % 2 else "B", i % 3) for i in range(30)], "row_id long, airport string, slot int")
+    assert B.bucket_mask(df, "A__COARSE", "airport", "slot").count() == 15 and B.bucket_mask(df, "B__slot2", "airport", "slot").count() == 5
+    with pytest.raises(ValueError):
+        B.bucket_mask(df, "A", "airport", "slot")
+    assert P.cap_buckets(df, "airport", "row_id", 4).groupBy("airport").count().where("count <> 4").count() == 0

@@ -47,6 +47,7 @@ class FlowConfig:
     debounce: int = 1
     reset_after: int = 60
     factors: tuple[float, ...] = (0.9, 1.1)
+    refit: bool = True
 
 
 @dataclass
@@ -73,10 +74,14 @@ def _write(df: DataFrame, label: str) -> DataFrame:
 def enrich(rows: DataFrame, config: FlowConfig, warmup: list[int]) -> DataFrame:
     """Buckets by period, and g: the neighbours' posterior learnt from the warm-up years."""
     bucketed = _write(assign_buckets(rows, config.buckets, ["period_idx"]), "rows")
-    train = bucketed.where(F.col("year").isin(warmup))
-    posterior = nearest_in_bucket(train, bucketed, config.k, "row_id", "row_id", "bucket_id", list(config.numeric), "label", least=config.k, most=config.references.top)
+    return with_posterior(bucketed, bucketed.where(F.col("year").isin(warmup)), config)
+
+
+def with_posterior(data: DataFrame, train: DataFrame, config: FlowConfig) -> DataFrame:
+    """``data`` with g learnt from ``train``; 0.5 where nothing can be learnt."""
+    posterior = nearest_in_bucket(train, data, config.k, "row_id", "row_id", "bucket_id", list(config.numeric), "label", least=config.k, most=config.references.top)
     g = posterior.select(F.col("query").alias("row_id"), F.col("p").alias("g"))
-    return _write(bucketed.join(g, "row_id", "left").withColumn("g", F.coalesce("g", F.lit(0.5))), "rows")
+    return _write(data.drop("g").join(g, "row_id", "left").withColumn("g", F.coalesce("g", F.lit(0.5))), "rows")
 
 
 def run_flow(rows: DataFrame, config: FlowConfig) -> FlowResult:
@@ -152,6 +157,8 @@ def run_flow(rows: DataFrame, config: FlowConfig) -> FlowResult:
         multiplier = drift_multiplier(multiplier, level)
         if level == "S3":
             baseline, base_rate, base_f1 = current, extra["rate"], m["F1"]
+            if config.refit:  # labels of all periods up to the last one are known by now
+                data = with_posterior(data, data.where(F.col("period_idx") < now), config)
         year, season = int(extra["year"]), now % config.seasons + 1
         trace.append((now, index, year, season, *map(float, star), alpha, beta, _float(found["best"]), float(extra["bnd"]), float(extra["cov"]), note, _float(found["best"]), _float(found["second"]), _float(found["delta"]), int(found["feasible_count"] or 0)))
         metrics.append((year, season, now, int(m["n_samples"]), *[_float(m[x]) for x in METRICS], float(shift["psi"]), float(shift["tv"]), gap, float(extra["rate"]), drop, float(extra["bnd"]), float(extra["cov"]), alpha, beta, note))
