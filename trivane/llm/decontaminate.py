@@ -239,7 +239,6 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_c
 
 def _one_pass(docs: DataFrame, held: list[tuple], params: Params, schema: T.StructType) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(held)
-    types = [f for f in ("doc_id", "item_id")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index([x[0] for x in shared.value], [x[1] for x in shared.value], params)
@@ -258,7 +257,7 @@ def _one_pass(docs: DataFrame, held: list[tuple], params: Params, schema: T.Stru
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(cols[0])), pa.array(cols[1]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.int64()), pa.array(cols[6], pa.int64())],
-                    names=[*types, "edits", "n_words", "similarity", "start", "end"],
+                    names=["doc_id", "item_id", "edits", "n_words", "similarity", "start", "end"],
                 )
 
     return docs.mapInArrow(run, schema)
