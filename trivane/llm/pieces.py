@@ -200,9 +200,9 @@ class Decoder:
         return pa.array([t[1:] if t.startswith(" ") else t for t in texts], pa.string())
 
 
-def _added(docs: DataFrame, source: str, out: str, kind: str, build) -> DataFrame:
-    """``docs`` with column ``out``: what ``build()`` makes of each value of ``source``, in small Arrow batches."""
-    rest = [c for c in docs.columns if c != out]
+def _added(docs: DataFrame, source: str, out: str, kind: str, build, carry: list[str] | None) -> DataFrame:
+    """Columns ``carry`` of ``docs`` (default: all) and ``out``: what ``build()`` makes of each value of ``source``, in small Arrow batches."""
+    rest = [c for c in (docs.columns if carry is None else carry) if c != out]
     schema = T.StructType([*[docs.schema[c] for c in rest], *T.StructType.fromDDL(f"`{out}` {kind}").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,14 +216,14 @@ def _added(docs: DataFrame, source: str, out: str, kind: str, build) -> DataFram
     return docs.select(*rest, *([source] if source not in rest else [])).mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with ``out`` array<int>. Null and empty texts have no ids; a column named ``out`` is replaced.
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: str = "ids", carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``carry``, which spares the tasks the others) with ``out`` array<int>. Null and empty texts have no ids; a column named ``out`` is replaced.
 
     Rows are independent and not shuffled, so repeated rows, ties and null ids need nothing; an empty table gives no rows.
     """
-    return _added(docs, text_col, out, "array<int>", lambda: _shared("encode", vocabulary).encode_column)
+    return _added(docs, text_col, out, "array<int>", lambda: _shared("encode", vocabulary).encode_column, carry)
 
 
-def decode(docs: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``docs`` with ``out`` string, the text of the ids; null ids give an empty one. encode then decode restores every text."""
-    return _added(docs, ids_col, out, "string", lambda: _shared("decode", vocabulary).decode_column)
+def decode(docs: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str = "decoded", carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``carry``) with ``out`` string, the text of the ids; null ids give an empty one. encode then decode restores every text."""
+    return _added(docs, ids_col, out, "string", lambda: _shared("decode", vocabulary).decode_column, carry)

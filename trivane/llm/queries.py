@@ -60,11 +60,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = pieces.Vocabulary.load(pieces.DEFAULT_MODEL)
-    both = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
-    return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    ids = pieces.encode(docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)), vocabulary, carry=["doc_id", "sha"])
+    ids = ids.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(F.array_join("ids", " "), 256)})
+    both = pieces.decode(ids, vocabulary, carry=["doc_id", "sha", "n_tokens", "ids_sha256"])
+    both = both.withColumn("decoded_sha256", F.sha2("decoded", 256))
+    return both.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", (F.col("decoded_sha256") == F.col("sha")).alias("round_trip"))
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
