@@ -356,6 +356,47 @@ def test_lines_by_brute_force(spark, monkeypatch, sizes):
         assert kept == {t: "\n".join(line for n, line in enumerate(texts[t].split("\n")) if expected.get((t, n), True)) for t in range(len(texts))}
 
 
+@pytest.mark.parametrize("block", [2048, 4])
+def test_lines_by_edit_similarity_alone(spark, monkeypatch, block):
+    """Changed words move a SimHash by far more than three bits; the registered form finds every pair all the same."""
+    monkeypatch.setattr(fuzzy_lines, "BLOCK_HASHES", block)
+    rng = random.Random(9)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(600)] + ["the", "of", "é1"] * 30
+    texts = []
+    for k in range(24):
+        w = rng.choices(vocab, k=rng.choice([6, 10, 20, 50]))
+        for changed in [0, 1, 1, 2, len(w) // 10]:
+            own = list(w)
+            for at in rng.sample(range(len(w)), changed):
+                own[at] = rng.choice(vocab)
+            texts.append(" ".join(own) + "\nalone " + " ".join(rng.choices(vocab, k=8)) + "\n\nshort line")
+    x = fuzzy_lines.Lines(texts, 5)
+    assert x.shapes()[0].tolist() == [len(fuzzy_lines.normal_form(texts[t].split("\n")[n])) for t, n in zip(x.text, x.number, strict=True)]
+    units = collections.defaultdict(list)
+    for t, n in zip(x.text.tolist(), x.number.tolist(), strict=True):
+        units[fuzzy_lines.normal_form(texts[t].split("\n")[n])].append((t, n))
+    sims = dict(zip(units, (int(fuzzy_lines.Lines([f], 5).sim[0]) for f in units), strict=True))
+    forms = list(units)
+    pairs = [(i, j) for i in range(len(forms)) for j in range(i) if abs(len(forms[i]) - len(forms[j])) <= 0.2 * max(len(forms[i]), len(forms[j])) and fuzzy_lines.similar(forms[i], forms[j], 0.8)]
+    assert all(edits(forms[i], forms[j]) <= 0.2 * max(len(forms[i]), len(forms[j])) + 1e-9 for i, j in pairs)
+    assert sum((sims[forms[i]] ^ sims[forms[j]]).bit_count() > 3 for i, j in pairs) > len(pairs) / 2
+    groups = collections.defaultdict(list)
+    for f, c in zip(forms, components(len(forms), pairs), strict=True):
+        groups[c] += units[f]
+    expected = {u: u == min(g) for g in groups.values() if len(g) > 1 for u in g}
+    docs = docs_of(spark, texts)
+    assert {(r.doc, r.line): r.keep for r in fuzzy_lines.duplicate_lines(docs, bits=None).collect()} == expected
+    assert fuzzy_lines.duplicate_lines(docs.where("false"), bits=None).count() == 0
+
+
+def test_edit_distance_stops_early_only_above_the_bound():
+    rng = random.Random(10)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 14))) for _ in range(2))
+        most = rng.randint(0, 8)
+        assert (fuzzy_lines.edit_distance(a, b, most) <= most) == (edits(a, b) <= most)
+
+
 def test_lines_edge_cases(spark, odd):
     got = sorted((r.doc, r.line, r.keep) for r in fuzzy_lines.duplicate_lines(odd).collect())
     assert got == [(6, 0, True), (6, 0, True), (7, 0, False)]

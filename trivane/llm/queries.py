@@ -53,7 +53,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fuzzy_lines.duplicate_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = fuzzy_lines.duplicate_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), bits=None)
     return lines.select(F.col("doc").alias("doc_id"), "line", F.concat(*[F.lpad(F.hex(F.col("group")[c]), 16, "0") for c in ("d1", "d2")]).alias("group_id"), "keep")
 
 
