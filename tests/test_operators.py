@@ -220,6 +220,21 @@ def test_flow_gives_a_row_for_each_streamed_period(spark, sf_dir):
     assert {x.year for x in r.metrics_by_year.collect()} == {x.year for x in m}
 
 
+def test_flow_learns_its_posterior_from_all_training_rows(spark):
+    rng = np.random.default_rng(3)
+    x, c, y = rng.random((90, 2)), rng.integers(0, 3, 90), rng.integers(0, 2, 90)
+    rows = [(i, *map(float, x[i]), "abc"[c[i]], int(y[i]), "uv"[i % 2]) for i in range(90)]
+    df = spark.createDataFrame(rows, "row_id long, f double, h double, kind string, label int, bucket_id string")
+    own = flow.FlowConfig(("f", "h"), {"kind": 1.0}, B.BucketConfig(("bucket_id",), (), 5), B.ReferenceConfig(4, 0.8), k=5)
+    got = {r.row_id: r.g for r in flow.with_posterior(df, df.where("row_id < 60"), own).collect()}
+    for i in range(90):
+        d = np.sqrt(((x[:60] - x[i]) ** 2).sum(1))
+        near = np.argsort(d, kind="stable")[:5]
+        w = 0.75 * (1 - (d[near] / d[near].max()) ** 2) * 0.3 ** (c[near] != c[i])
+        assert got[i] == pytest.approx(((w * y[near]).sum() + 1) / (w.sum() + 2), abs=1e-6)
+    assert {r.g for r in flow.with_posterior(df, df.where("false"), own).collect()} == {0.5}
+
+
 def test_bucket_masks_and_history_caps(spark):
     df = spark.createDataFrame([(i, "A" if i % 2 else "B", i % 3) for i in range(30)], "row_id long, airport string, slot int")
     assert B.bucket_mask(df, "A__COARSE", "airport", "slot").count() == 15 and B.bucket_mask(df, "B__slot2", "airport", "slot").count() == 5

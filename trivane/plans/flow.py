@@ -20,7 +20,7 @@ from trivane.operators.bucketing import BucketConfig, ReferenceConfig, assign_bu
 from trivane.operators.drift import DriftState, DriftThresholds, next_level, psi_tv, react
 from trivane.operators.encoding import z_scores
 from trivane.operators.metrics import METRICS, classification_metrics, yearly
-from trivane.operators.posterior import nearest_in_bucket
+from trivane.operators.posterior import KernelParams, kernel_posterior, nearest
 from trivane.operators.thresholds import Grid, ema_clip, enforce_gap, limit_range, select_alpha_beta
 from trivane.operators.windows import SeasonWeights, drift_multiplier, plan_years, record_weight
 
@@ -40,6 +40,7 @@ class FlowConfig:
     history_cap: int = 8
     recent: int = 3
     k: int = 10
+    kernel: KernelParams = KernelParams("epanechnikov", penalty=0.3)
     sigma: float = 1.0
     ema: float = 0.6
     step_cap: float = 0.1
@@ -78,9 +79,10 @@ def enrich(rows: DataFrame, config: FlowConfig, warmup: list[int]) -> DataFrame:
 
 
 def with_posterior(data: DataFrame, train: DataFrame, config: FlowConfig) -> DataFrame:
-    """``data`` with g learnt from ``train``; 0.5 where nothing can be learnt."""
-    posterior = nearest_in_bucket(train, data, config.k, "row_id", "row_id", "bucket_id", list(config.numeric), "label", least=config.k, most=config.references.top)
-    g = posterior.select(F.col("query").alias("row_id"), F.col("p").alias("g"))
+    """``data`` with g, the kernel posterior of the k nearest of all rows of ``train``, categories that differ penalised; 0.5 where nothing can be learnt."""
+    vec = lambda df: df.withColumn("vec", F.array(*[F.col(c).cast("double") for c in config.numeric]))
+    near = nearest(vec(train), vec(data), config.k, "row_id", "row_id", label="label", categories=list(config.categories))
+    g = kernel_posterior(near, config.kernel).select(F.col("query").alias("row_id"), F.when(~F.isnan("p"), F.col("p")).alias("g"))
     return _write(data.drop("g").join(g, "row_id", "left").withColumn("g", F.coalesce("g", F.lit(0.5))), "rows")
 
 
