@@ -23,6 +23,11 @@ def test_runs(name, spark, sf_dir):
     assert queries.QUERIES[name](spark, sf_dir).count() >= 0
 
 
+def test_boosted_baseline_reads_every_row(monkeypatch, spark, sf_dir):
+    monkeypatch.setattr(queries.baselines, "boosted_baseline", lambda df, *a, **k: df)
+    assert queries.QUERIES["m8_boosted_baseline"](spark, sf_dir).count() == queries.flights(spark, sf_dir).count()
+
+
 def test_entry_works_without_the_training_data_operators(monkeypatch):
     import builtins
     import importlib

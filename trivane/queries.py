@@ -568,8 +568,8 @@ def j5(spark, d):
     return out.select("query", *r6("p"), "source")
 
 
-def _baseline_rows(spark, d):
-    df = flights(spark, d).where("row_id % 7 = 0")
+def _baseline_rows(spark, d, rows="true"):
+    df = flights(spark, d).where(rows)
     return baselines.baseline_features(df.where("year <= 1997"), df, ["p1", "p3"], ["carrier"], "row_id")
 
 
@@ -580,7 +580,7 @@ h AS (SELECT *, greatest(max(d) OVER (PARTITION BY row_id), 1e-6) AS h FROM n),
 ss AS (SELECT row_id, year, ql AS label, least(greatest((sum(w * label) + 1) / (sum(w) + 2), 0.01), 0.99) AS s FROM w GROUP BY ALL), d AS (SELECT year, label, round(s, 9) AS s, CAST(s >= 0.5 AS INT) AS pred FROM ss), {_METRICS.format(k='year')} SELECT year, n_samples, {_ROUNDED} FROM m""")
 def m9(spark, d):
     warm = [1992, 1993, 1994, 1995, 1996, 1997]
-    df = _baseline_rows(spark, d)
+    df = _baseline_rows(spark, d, "row_id % 7 = 0")
     train, test = df.where(F.col("year").isin(warm)), df.where(~F.col("year").isin(warm))
     p = P.kernel_posterior(P.nearest(train.withColumn("y", F.col("label")), test, 10, "row_id", "row_id")).withColumn("p", F.round("p", 9))
     scored = test.select(F.col("row_id").alias("query"), "year", "label").join(p, "query").withColumn("predicted", (F.col("p") >= 0.5).cast("int"))
