@@ -1,6 +1,7 @@
 """Every query with SQL gives what the SQL gives; the others run and give rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import assert_same, connect
 from trivane import queries
@@ -28,6 +29,24 @@ def test_boosted_baseline_reads_every_row(monkeypatch, spark, sf_dir):
     assert queries.QUERIES["m8_boosted_baseline"](spark, sf_dir).count() == queries.flights(spark, sf_dir).count()
 
 
+def test_dynamic_loop_and_windowed_swarm_see_every_year(monkeypatch, spark, sf_dir):
+    years = sorted(r[0] for r in queries.flights(spark, sf_dir).select("year").distinct().collect())
+    seen = []
+    monkeypatch.setattr(queries.dynamic, "run_dynamic", lambda reference, windows, *a, **k: seen.extend(r[0] for x in (reference, windows) for r in x.select("year").distinct().collect()) or [])
+    queries.QUERIES["t13_dynamic_loop"](spark, sf_dir)
+    assert sorted(seen) == years
+    held = []
+
+    def adapt(df, levels, label, p, previous, params):
+        held.append((df.agg(F.min("year"), F.max("year")).first(), previous))
+        return queries.H.SwarmResult([0.7] * 2, [0.3] * 2, 0.5, float(len(held)))
+
+    monkeypatch.setattr(queries.H, "adapt_windowed", adapt)
+    out = queries.QUERIES["h8_windowed_swarm"](spark, sf_dir).collect()
+    assert sorted({r.year for r in out}) == years and [tuple(w) for w, _ in held] == [(y, y) for y in years]
+    assert held[0][1] is None and [p.fitness for _, p in held[1:]] == list(range(1, len(years)))
+
+
 def test_entry_works_without_the_training_data_operators(monkeypatch):
     import builtins
     import importlib

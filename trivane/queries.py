@@ -706,9 +706,12 @@ def h7(spark, d):
 
 @query("h8_windowed_swarm")
 def h8(spark, d):
-    df = flights(spark, d).where("year = 1998")
-    r = H.adapt_windowed(df, ["p1", "p", "p3"], "label", "p", None, H.SwarmParams(6, 3))
-    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(r.alphas, r.betas, strict=True), 1)], "layer int, alpha double, beta double")
+    df = flights(spark, d)
+    last, out = None, []
+    for y in sorted(r[0] for r in df.select("year").distinct().collect()):
+        last = H.adapt_windowed(df.where(F.col("year") == y), ["p1", "p", "p3"], "label", "p", last, H.SwarmParams(6, 3))
+        out += [(y, i, float(a), float(b)) for i, (a, b) in enumerate(zip(last.alphas, last.betas, strict=True), 1)]
+    return spark.createDataFrame(out, "year int, layer int, alpha double, beta double")
 
 
 @query("h9_rule_thresholds", "SELECT month, count(*) AS n, round(quantile_cont(CASE WHEN label = 1 THEN p END, 0.7), 6) AS alpha, round(quantile_cont(CASE WHEN label = 0 THEN p END, 0.3), 6) AS beta FROM flights GROUP BY month HAVING count(*) >= 50")
@@ -926,7 +929,7 @@ def t11(spark, d):
 @query("t13_dynamic_loop")
 def t13(spark, d):
     df = flights(spark, d).withColumns({"window": F.col("year"), "season": F.concat(F.lit("Q"), F.floor((F.col("month") + 2) / 3).cast("string"))})
-    steps = dynamic.run_dynamic(df.where("year <= 1997"), df.where("year > 1999"), ["p1", "p", "p3"], "label", "season", swarm=H.SwarmParams(4, 2))
+    steps = dynamic.run_dynamic(df.where("year <= 1997"), df.where("year > 1997"), ["p1", "p", "p3"], "label", "season", swarm=H.SwarmParams(4, 2))
     return spark.createDataFrame([(s.window, s.alphas[0], s.betas[0], s.signal, s.drift, float(s.metrics["F1"])) for s in steps], "window int, alpha double, beta double, signal double, drift boolean, F1 double")
 
 
