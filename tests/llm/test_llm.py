@@ -293,10 +293,31 @@ def test_repeats_edge_cases_and_paragraphs(spark, odd):
     assert sorted(got, key=str)[0][1] is not None and {(i, n) for i, _, n in got} >= {(1, 0), (2, 0), (6, 0), (7, 1)}
     assert {t for i, t, _ in got if i == 7} == {"b"} and {t for i, t, _ in got if i == 1} == {""}
     assert line_hash.without_repeats(odd.where("false")).count() == 0
+    same = docs_of(spark, ["x", "u v w x y z", "u v w x y z\nown line of some five words"]).withColumn("doc_id", F.when(F.col("doc_id") == 2, 1).otherwise(F.col("doc_id")))
+    assert sorted(r.kept_text for r in line_hash.without_repeats(same).collect() if r.doc_id == 1) in (["", "u v w x y z\nown line of some five words"], ["own line of some five words", "u v w x y z"])
     two = docs_of(spark, ["p one two three four\nfive\n\nnext", "other\n\n p ONE two three four five \n\nend"])
     assert [r.kept_text for r in line_hash.without_repeats(two, unit="paragraph").orderBy("doc_id").collect()][1] == "other\n\n\nend"
 
 
+def test_sentences_by_brute_force(spark):
+    rng = random.Random(17)
+    said = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) + rng.choice([".", "!", "?", "", "..."]) for _ in range(25)]
+    texts = ["".join(x + rng.choice([" ", "  ", "\n", "\t", "", "\n\n"]) for x in rng.choices(said, k=rng.randint(0, 12))) for _ in range(80)]
+    seen, expected = set(), []
+    for t in texts:
+        spans, at = [], 0
+        for m in re.finditer(r"[^\n]*?[.!?][ \t]+|[^\n]+|\n", t):
+            form = " ".join(m[0].split()).lower()
+            if form.count(" ") >= 4 and form in seen:
+                spans.append(m.span())
+            elif form.count(" ") >= 4:
+                seen.add(form)
+        kept = "".join(c for i, c in enumerate(t) if not any(a <= i < b for a, b in spans))
+        expected.append((spans, kept))
+    got = [([tuple(s) for s in r.spans], r.kept_text) for r in line_hash.without_repeats(docs_of(spark, texts), unit="sentence").orderBy("doc_id").collect()]
+    assert got == expected and any(s for s, _ in expected)
+
+
 # ---- 7 fuzzy lines ---------------------------------------------------------------------
 
 

@@ -47,7 +47,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_hash.without_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_hash.without_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), unit="sentence", min_words=10)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", F.size("spans").cast("long").alias("n_spans"), removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
@@ -100,18 +100,19 @@ FROM sized GROUP BY conv_id
 
 
 OP6_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, count(*) OVER (PARTITION BY doc_id) AS n
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+WITH parts AS (
+  SELECT doc_id, string_split(regexp_replace(replace(coalesce(text, ''), chr(10), chr(1114109) || chr(10) || chr(1114109)), '([.!?][ \t]+)', '\1' || chr(1114109), 'g'), chr(1114109)) AS u FROM documents
+), units AS (
+  SELECT doc_id, unnest(u) AS part, generate_subscripts(u, 1) AS i FROM parts
 ), formed AS (
-  SELECT *, lower(trim(regexp_replace(line, '[ \t\r\x0b\x0c]+', ' ', 'g'), ' ')) AS form FROM lines
+  SELECT *, lower(trim(regexp_replace(part, '[ \t\r\x0b\x0c\n]+', ' ', 'g'), ' ')) AS form FROM units
 ), ranked AS (
-  SELECT *, length(form) - length(replace(form, ' ', '')) + 1 >= 5 AS counts FROM formed
+  SELECT *, length(form) - length(replace(form, ' ', '')) + 1 >= 10 AS counts FROM formed
 ), dropped AS (
-  SELECT doc_id, i, line, n, counts AND row_number() OVER (PARTITION BY counts, CASE WHEN counts THEN form ELSE doc_id || ' ' || i END ORDER BY doc_id, start) > 1 AS gone FROM ranked
+  SELECT doc_id, i, part, counts AND row_number() OVER (PARTITION BY counts, CASE WHEN counts THEN form ELSE doc_id || ' ' || i END ORDER BY doc_id, i) > 1 AS gone FROM ranked
 )
-SELECT doc_id, count(*) FILTER (gone) AS n_spans, CAST(coalesce(sum(length(line)) FILTER (gone), 0) AS BIGINT) AS n_removed,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+SELECT doc_id, count(*) FILTER (gone) AS n_spans, CAST(coalesce(sum(length(part)) FILTER (gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(part, '' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM dropped GROUP BY doc_id
 """
 
