@@ -508,9 +508,36 @@ def test_rule_features_by_brute_force(spark):
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         assert (r.n_words, r.word_chars, r.n_symbols) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t))
         assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(covered))
+        assert (r.n_marked, r.n_letters) == (sum(bool(re.search(r"[#*$%&|<>]", x)) for x in w), sum(c.isalpha() for c in t))
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
 
 
+def test_accuracies_of_simulated_rules_are_found(spark):
+    """Rules of known error rates vote on documents of known quality."""
+    rng = random.Random(20)
+    wrong = {f"r{k}": {1: a, 0: b} for k, (a, b) in enumerate([(0.02, 0.7), (0.1, 0.6), (0.05, 0.8), (0.3, 0.35), (0.01, 0.4), (0.15, 0.9)])}
+    rows = collections.Counter()
+    for _ in range(40_000):
+        y = int(rng.random() < 0.75)
+        rows[tuple(0 if rng.random() < 0.1 else -1 if rng.random() < wrong[k][y] else 1 for k in wrong)] += 1
+    patterns = spark.createDataFrame([(*k, n) for k, n in rows.items()], [*wrong, "n"])
+    got = weak_rules.estimate(patterns, list(wrong), rounds=15)
+    assert abs(got["prior"] - 0.75) < 0.04
+    for k, p in wrong.items():
+        assert abs(got[k][1] - p[1]) < 0.05 and abs(got[k][0] - p[0]) < 0.1, (k, got[k])
+
+
+def test_single_bad_votes_weigh_by_the_accuracy_of_their_rule(spark):
+    """Neither all-must-pass nor majority: a careless rule alone rejects nothing, careful ones do."""
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    v = weak_rules.votes()
+    seen = collections.defaultdict(set)
+    for r in weak_rules.quality_rules(docs, carry=["doc_id"]).select("posterior", *[c.alias(k) for k, c in v.items()]).distinct().collect():
+        seen[tuple(k for k in v if r[k] == -1)].add(r.posterior >= 0.5)
+    assert seen[("v_length",)] == {True} and seen[("v_repeats",)] == {True} and False in seen[("v_symbols", "v_marked")]
+
+
 def test_rules_edge_cases(spark, odd):
     out = weak_rules.quality_rules(odd)
     assert out.count() == odd.count() and "class_id" in out.columns

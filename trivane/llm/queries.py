@@ -137,7 +137,8 @@ def _rules_sql() -> str:
         r"""f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
           CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
           CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
-          length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) AS n_upper, length(text) - length(replace(text, '!', '')) AS n_bang
+          length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) AS n_upper, length(text) - length(replace(text, '!', '')) AS n_bang,
+          length(regexp_replace(text, '\P{L}', '', 'g')) AS n_letters, len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]'))) AS n_marked
           FROM wins LEFT JOIN covered USING (id))""",
         f"v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {votes} FROM f)",
         f"pat AS (SELECT {', '.join('v_' + k for k in names)}, count(*) AS n FROM v GROUP BY ALL)",
@@ -149,7 +150,7 @@ def _rules_sql() -> str:
         for k in names:
             for y in (1, 0):
                 e = f"(sum(CASE WHEN v_{k} = -1 THEN n ELSE 0 END * g{y}) + {r.WEIGHT} * sum(n) * {r.START[y]}) / (sum(CASE WHEN v_{k} <> 0 THEN n ELSE 0 END * g{y}) + {r.WEIGHT} * sum(n))"
-                cols.append(f"least({e}, {r.MOST_WRONG if y else 1}) AS {k}_{y}")
+                cols.append(f"{e} AS {k}_{y}")
         ctes.append(f"p{i + 1} AS MATERIALIZED (SELECT {', '.join(cols)} FROM g{i})")
     last = f"p{r.ROUNDS}"
     return f"WITH {', '.join(ctes)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {posterior(last)} >= 0.5 AS kept FROM v, {last}"

@@ -19,10 +19,12 @@ from trivane.llm.common import let, materialise
 #: White space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
+#: The beginning of a word up to its first symbol.
+_MARKED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D#*$%&|<>]*+[#*$%&|<>]"
 #: Bits that hold a word's position beside the truncated window hash.
 POSITION_BITS = 24
 
-FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_bang"]
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_bang", "n_letters", "n_marked"]
 
 
 @dataclass(frozen=True)
@@ -35,26 +37,26 @@ class Rule:
 
 
 RULES = (
-    Rule("length", "n_words >= 80", "n_words < 50"),
+    Rule("length", "n_words >= 100", "n_words < 60"),
     Rule("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
-    Rule("repeats", "10 * n_repeat_words <= 3 * n_words", "10 * n_repeat_words > 5 * n_words"),
+    Rule("marked", "50 * n_marked <= n_words", "10 * n_marked > n_words"),
+    Rule("letters", "100 * n_letters >= 92 * word_chars", "100 * n_letters < 85 * word_chars"),
+    Rule("repeats", "10 * n_repeat_words <= 2 * n_words", "10 * n_repeat_words > 4 * n_words"),
     Rule("dup_lines", "n_lines >= 2 and 10 * n_dup_lines <= n_lines", "n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines"),
     Rule("word_length", "word_chars >= 3 * n_words and word_chars <= 8 * n_words", "word_chars < 2 * n_words or word_chars > 12 * n_words"),
     Rule("capitals", "10 * n_upper <= 2 * word_chars", "10 * n_upper > 4 * word_chars"),
     Rule("exclaim", "50 * n_bang <= n_words", "5 * n_bang > n_words"),
 )
-#: Prior chance of good; chance that a vote is bad in good (1) and bad (0) documents at the start;
-#: share of the documents added as pseudo-counts; rounds of the estimation. A rule is taken to
-#: blame at most MOST_WRONG of the good documents: without that bound the estimate trusts
-#: the rules that agree often and overrules the only one that sees a fault.
-PRIOR, WEIGHT, ROUNDS, MOST_WRONG = 0.8, 0.05, 12, 0.004
-START = {1: 0.004, 0: 0.2}
+#: Prior chance of good; share of the documents added as pseudo-counts; rounds of the estimation.
+PRIOR, WEIGHT, ROUNDS = 0.8, 0.02, 12
+#: Chance that a vote is bad in good (1) and bad (0) documents at the start and among the pseudo-counts: only this tells the classes apart.
+START = {1: 0.05, 0: 0.3}
 
 
 def _repeat_words(words: Column) -> Column:
     """Words inside a 3-word window that the text holds twice or more.
 
-    Windows are hashed, and (truncated hash, position) packed in one long is
+    Windows are hashed; a text whose windows all differ is done. Otherwise (truncated hash, position) packed in one long is
     sorted to find the few windows that may repeat; those alone are then compared
     by the whole hash. Texts of more than 2^24 words skip the packing.
     """
@@ -82,9 +84,10 @@ def _repeat_words(words: Column) -> Column:
             at = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
             return covered(F.transform(F.filter(s, near), lambda x: F.struct(F.get(w, at(x)).alias("h"), at(x).alias("p"))))
 
+        none = F.size(F.array_distinct(w)) == F.size(w)
         short = let(F.sort_array(F.transform(w, lambda x, i: F.shiftleft(x, POSITION_BITS).bitwiseOR(i.cast("long")))), packed)
         long = covered(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
-        return F.when(F.size(w) <= mask, short).otherwise(long)
+        return F.when(none, F.lit(0)).when(F.size(w) <= mask, short).otherwise(long)
 
     def from_hashes(h: Column) -> Column:
         steps = F.sequence(F.lit(0), F.size(h) - 3)
@@ -109,6 +112,8 @@ def document_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_repeat_words": _repeat_words(F.col("__words")),
         "n_upper": F.length("__text") - F.length(F.regexp_replace("__text", r"\p{Lu}", "")),
         "n_bang": n("!"),
+        "n_letters": F.length(F.regexp_replace("__text", r"\P{L}+", "")),
+        "n_marked": F.regexp_count("__text", F.lit(_MARKED)),
     }
     out = split.withColumns({k: v.cast("long") for k, v in named.items()}).drop("__text", "__words", "__lines")
     return out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
@@ -135,8 +140,14 @@ def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> dic
 
     Each rule's accuracy is estimated apart for good and for bad documents. WEIGHT
     of the documents are added as pseudo-counts that vote as START says, which
-    keeps the classes from changing places.
+    keeps the classes from changing places. The patterns, 3^rules rows at most, are
+    read once and go into the plan of every round as values.
     """
+    rows = patterns.select(*names, "n").collect()
+    if not rows:
+        return {"prior": PRIOR} | {k: START for k in names}
+    values = ", ".join("(" + ", ".join(f"{x}L" if c == "n" else str(x) for c, x in r.asDict().items()) + ")" for r in rows)
+    patterns = patterns.sparkSession.sql(f"select * from values {values} as t({', '.join([*names, 'n'])})")
     params = {"prior": PRIOR} | {k: START for k in names}
     for _ in range(rounds):
         p = patterns.withColumn("g", _posterior(params, names))
@@ -145,11 +156,9 @@ def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> dic
             for y, g in ((1, F.col("g")), (0, 1 - F.col("g"))):
                 sums += [F.sum(F.when(F.col(k) == -1, F.col("n")).otherwise(0) * g).alias(f"bad{y}_{k}"), F.sum(F.when(F.col(k) != 0, F.col("n")).otherwise(0) * g).alias(f"all{y}_{k}")]
         row = p.agg(*sums).first()
-        if not row["n"]:
-            break
         extra = WEIGHT * row["n"]
         params = {"prior": (row["good"] + extra * PRIOR) / (row["n"] + extra)} | {
-            k: {y: min((row[f"bad{y}_{k}"] + extra * START[y]) / (row[f"all{y}_{k}"] + extra), MOST_WRONG if y else 1) for y in (1, 0)} for k in names
+            k: {y: (row[f"bad{y}_{k}"] + extra * START[y]) / (row[f"all{y}_{k}"] + extra) for y in (1, 0)} for k in names
         }
     return params
 
