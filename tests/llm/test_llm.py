@@ -465,7 +465,6 @@ def repeats(docs):
 def test_suffixes_by_brute_force(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(suffix, "LOT", 60)
-        monkeypatch.setattr(suffix, "HELD", 5)
         monkeypatch.setattr(suffix, "MOST_RUNS", 3)
         monkeypatch.setattr(suffix, "BLOCK", 4000)
     texts = sample(150, 10) + ["ab" * 200, "xab" + "ab" * 150, "é" * 60, "y" + "é" * 60, "z" * 49, "z" * 50, "z" * 51]
@@ -475,6 +474,24 @@ def test_suffixes_by_brute_force(spark, monkeypatch, small):
     assert {r.doc_id: (r.n_bytes, r.n, r.s, r.h) for r in out.collect()} == repeats(list(enumerate(texts)))
 
 
+def test_suffixes_do_not_rest_on_hashes(spark, monkeypatch):
+    """With hashes that nearly always collide, bytes decide the same."""
+    monkeypatch.setattr(suffix, "mix", lambda x: x & np.uint64(3))
+    texts = sample(60, 21) + ["ab" * 100, "xab" + "ab" * 90]
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    for most in (1 << 16, 50):
+        monkeypatch.setattr(suffix, "MOST_RUNS", most)
+        out = suffix.without_repeated_strings(docs_of(spark, texts)).select("doc_id", "n_bytes", removed.alias("n"), F.size("spans").alias("s"), F.sha2("kept", 256).alias("h"))
+        assert {r.doc_id: (r.n_bytes, r.n, r.s, r.h) for r in out.collect()} == repeats(list(enumerate(texts)))
+
+
+def test_suffixes_of_texts_under_one_id(spark):
+    a, b = "a text of more than fifty bytes that occurs again, word for word", "another text, unlike the first one in all of its bytes, is here"
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b)], "doc_id long, text string")
+    got = sorted((r.doc_id, bytes(r.kept).decode()) for r in suffix.without_repeated_strings(docs).collect())
+    assert got == sorted([(1, a), (2, ""), (2, b), (2, b)])
+
+
 def test_equal_strings_by_brute_force():
     rng = random.Random(11)
     data = "".join(rng.choices("ab", k=30)) * 12 + "".join(rng.choices("abc", k=300))

@@ -38,7 +38,16 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(written: DataFrame) -> None:
+    """Delete a table of materialise() that nothing reads any more."""
+    context = written.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(written._written_to)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:
@@ -82,7 +91,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.*").where("u <> v").distinct()
         )
-        e = materialise(small, "cc")
+        settled, e = e, materialise(small, "cc")
+        discard(settled)
+        discard(large)
     else:
         raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     roots = e.select("u", "v").union(e.select(F.col("v").alias("u"), "v")).distinct()
