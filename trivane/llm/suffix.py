@@ -30,6 +30,8 @@ from trivane.llm.wordhash import _BYTE, mix, powers, text_chunks
 #: Bytes of a gram; the position bits of an ordering value; runs settled together before the shuffle;
 #: runs of a bucket that is not split; bytes of a block; bytes compared at once.
 GRAM, POSITION, LOT, MOST_RUNS, BLOCK, COMPARED = 20, 28, 1 << 18, 1 << 16, 1 << 22, 1 << 20
+#: Hot buckets that go to all tasks at once (16 bytes each); more are joined.
+FEW = 1 << 20
 #: Where a run is: 24 bits that tell texts under one id apart, 31 of its first byte, 8 of its number of suffixes.
 TEXT, START = 39, 8
 #: A perfect difference set modulo 13.
@@ -370,14 +372,15 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     opened = materialise(_open(_runs(read, length)), "open")
     some = opened.where("end = 0")
     hot = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_RUNS).select("key", F.lit(True).alias("hot"))
-    some = some.join(hot, "key", "left").select("key", "doc", "at", F.coalesce("hot", F.lit(False)).alias("hot"))
+    hot = materialise(hot, "hot")
+    some = some.join(F.broadcast(hot) if hot.count() <= FEW else hot, "key", "left").select("key", "doc", "at", F.coalesce("hot", F.lit(False)).alias("hot"))
     wanted = some.groupBy("doc", F.shiftright("at", TEXT).alias("mark")).agg(F.collect_list(F.struct("key", "at", "hot")).alias("runs"))
     fetched = materialise(_fetch(read, wanted, length), "runs")
     first = F.shiftright("at", START).bitwiseAND(F.lit((1 << TEXT - START) - 1))
     whole = opened.where("end > 0").select("doc", F.shiftright("at", TEXT).alias("mark"), first.alias("start"), "end")
     found = materialise(whole.union(_sorted_blocks(fetched, length)), "found")
-    discard(opened)
-    discard(fetched)
+    for done in (opened, hot, fetched):
+        discard(done)
     return found
 
 
