@@ -220,6 +220,25 @@ def test_html_main_text(spark):
     assert html_text.extract_text(pages.where("false")).count() == 0
 
 
+def test_html_weights_reproduce_their_pages_and_new_ones_without_names():
+    weights = html_text.learn()
+    for page in html_text.LABELLED:
+        parts = re.split(r"\[\[|\]\]", page)
+        text = " ".join(re.sub(r"<[^>]*>", " ", " ".join(parts[1::2])).split())
+        assert re.sub(r"\s", "", html_text.main_text("".join(parts), weights)) == re.sub(r"\s", "", text)
+    links = "".join(f'<div id=c{k}><a href="/{k}">{w}</a> <a href="/{w}">more {w}</a></div>' for k, w in enumerate(["rain", "wind", "sun", "fog"]))
+    body = "<div id=c9><h2>Weather of the week</h2><p>It rained on most days and the wind came from the west all week long.</p><p>Then it stopped.</p><ul><li>two dry days</li></ul><p>The sun came out on Sunday for a few hours before the fog was back.</p></div>"
+    page = f"<body>{links}{body}{links}<table><tr><td>page 1</td><td>of 9</td></tr></table></body>"
+    expected = "Weather of the week It rained on most days and the wind came from the west all week long. Then it stopped. two dry days The sun came out on Sunday for a few hours before the fog was back."
+    assert html_text.main_text(page, weights) == expected
+    # The scan decides here: everything that is not cut is more than that.
+    rest = " ".join(t.text for t in html_text.tokens(page, weights.marks) if t.kind == "text" and not t.outside)
+    assert len(rest.split()) > len(expected.split()) + 10
+    assert html_text.main_text("", weights) == html_text.main_text(None, weights) == html_text.main_text(links, weights) == ""
+    long = "<p>" + "many words of one very long page " * 20_000 + "</p>"
+    assert html_text.main_text(links + long + links, weights).count(" ") == 140_000 - 1
+
+
 def test_html_pages_of_the_table(spark, sf_dir):
     import html as h
 

@@ -1,9 +1,12 @@
 """Main text of web pages: the best-scoring contiguous run of tokens.
 
-A page is a row of tokens: words score positive, tags negative, by weights
-that are the log odds of a token lying in the content, learnt from labelled pages. One
-linear scan finds the contiguous run with the greatest sum. Inside that run, elements
-that are never content (scripts, forms, comment sections and the like) are left out.
+A page is a row of words and tags. Their weights are log odds of lying in the content, learnt from labelled
+pages: words by the kind and size of their block and whether they are link text, tags by name.
+One linear scan finds the contiguous run with the greatest sum.
+
+What is never content by itself (scripts, styles, forms, hidden elements) is cut before; so are
+elements whose section name, class, id or role the labelled pages know from outside of
+the content only, which takes adverts and notices out of the middle of an article.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -30,65 +33,74 @@ _BLOCK = {
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 #: Elements whose inside is not content wherever they are.
-_OUTSIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", *_RAW}
-#: Words of class, id, role or label that mark such elements.
-_MARKS = frozenset(
-    "ad ads advert advertisement adverts advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side rail aside footer foot masthead topbar header "
-    "comment comments commentlist respond reply replies discussion disqus notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login form search share sharing "
-    "social related recommended recommendations widget widgets toolbar pagination pager skip copyright legal complementary contentinfo dialog hidden toc".split()
-)
-#: Marks that a content element's name may hold beside words of CONTENT.
-_CONTENT = frozenset("article content main post entry story body text page".split())
-_WORD = re.compile(r"[^\W\d_]+|\d+")
+_NEVER = {"form", "button", "fieldset", *_RAW}
+#: Elements whose name says what they hold; the names of others (div, p, table) say nothing.
+_SECTION = {"nav", "header", "footer", "aside", "menu", "dialog", "article", "main"}
+_HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_LETTERS = re.compile(r"[a-z]+")
 
 
 @dataclass
 class Token:
-    """A word run (text) or a tag; outside is true in an element that is never content."""
+    """A piece of text or a tag; outside is true in an element that is cut, called in one called content, place names the block element, link is true in a link."""
 
     kind: str
     text: str = ""
     outside: bool = False
     block: int = 0
-    depth: int = 0
-    inside: list[str] = field(default_factory=list)
+    place: str = ""
+    link: bool = False
+    called: bool = False
+
+
+@dataclass
+class Weights:
+    """Log odds of lying in the content: marks by section name or word of class, id or role, features of tokens."""
 
+    marks: dict[str, float] = field(default_factory=dict)
+    features: dict[str, float] = field(default_factory=dict)
 
-def _is_outside(name: str, attributes: str) -> bool:
-    if name in _OUTSIDE:
-        return True
-    if name in ("html", "body", "article", "main"):
-        return False
+
+def _marks(name: str, attributes: str) -> Iterator[str]:
+    """What an element is called: <name> of a section, words of class, id, role and label."""
+    if name in _SECTION:
+        yield f"<{name}>"
+    if name in ("html", "body"):
+        return
     for key, value in _ATTRIBUTE.findall(attributes or ""):
+        if key.lower() in ("class", "id", "role", "aria-label"):
+            yield from _LETTERS.findall(value.lower())
+
+
+def _standing(name: str, attributes: str, marks: dict[str, float]) -> int:
+    """-1 for an element that is cut, 1 for one that is called content, else 0."""
+    if name in _NEVER:
+        return -1
+    for key, value in _ATTRIBUTE.findall(attributes or "") if name not in ("html", "body") else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-        if key in ("class", "id", "role", "aria-label"):
-            for part in value.split():
-                words = {w for w in re.split(r"[^a-z]+", part) if w}
-                if words & _MARKS and not words & _CONTENT:
-                    return True
-    return False
+            return -1
+    total = sum(marks.get(m, 0.0) for m in set(_marks(name, attributes)))
+    return (total > 0) - (total < 0)
 
 
-def tokens(page: str) -> Iterator[Token]:
+def tokens(page: str, marks: dict[str, float]) -> Iterator[Token]:
     """Words and tags of a page in order. End tags that match no open element are only marks; open ones end with their parents."""
-    stack: list[tuple[str, bool]] = []
-    at = block = 0
-    lower = None
-    outside = 0
+    stack: list[tuple[str, int]] = []
+    at = block = outside = links = called = 0
+    lower, place = None, ""
     n = len(page)
     while at < n:
         cut = page.find("<", at)
         m = None
         end = n if cut < 0 else cut
         if end > at:
-            yield Token("text", page[at:end], outside > 0, block, len(stack))
+            yield Token("text", page[at:end], outside > 0, block, place, links > 0, called > 0)
         if cut < 0:
             return
         m = _TOKEN.match(page, cut)
         if not m:
-            yield Token("text", "<", outside > 0, block, len(stack))
+            yield Token("text", "<", outside > 0, block, place, links > 0, called > 0)
             at = cut + 1
             continue
         at = m.end() if m.end() > cut else cut + 1
@@ -97,26 +109,32 @@ def tokens(page: str) -> Iterator[Token]:
             continue
         if name in _BLOCK:
             block += 1
+            place = place if name == "br" else "" if m[1] else name
         if m[1]:
             if any(x[0] == name for x in reversed(stack)):
                 while stack:
                     gone, was = stack.pop()
-                    outside -= was
+                    outside -= was < 0
+                    called -= was > 0
+                    links -= gone == "a"
                     if gone == name:
                         break
-            yield Token("/" + name, "", outside > 0, block, len(stack))
+            yield Token("/" + name, "", outside > 0, block)
             continue
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
             # These end an open one of the same kind, unless a list or table lies between.
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     while len(stack) > k:
-                        outside -= stack.pop()[1]
+                        gone, was = stack.pop()
+                        outside -= was < 0
+                        called -= was > 0
+                        links -= gone == "a"
                     break
                 if stack[k][0] in ("ul", "ol", "table", "dl", "div", "article", "section", "main", "body", "blockquote", "nav", "aside", "footer", "header", "form"):
                     break
-        out = _is_outside(name, m[3])
-        yield Token(name, m[3], outside > 0 or out, block, len(stack))
+        own = _standing(name, m[3], marks)
+        yield Token(name, m[3], outside > 0 or own < 0, block)
         if name in _OPAQUE:
             lower = page.lower() if lower is None else lower
             stop = lower.find("</" + name, at)
@@ -127,61 +145,107 @@ def tokens(page: str) -> Iterator[Token]:
             continue
         if name in _VOID or m[4] == "/" and name not in _BLOCK:
             continue
-        stack.append((name, out))
-        outside += out
+        stack.append((name, own))
+        outside += own < 0
+        called += own > 0
+        links += name == "a"
+
 
+def features(toks: list[Token]) -> list[tuple[str, ...]]:
+    """What the weight of each token is the sum of: a tag's name; the place and size of words' block, link text or not, and their standing."""
+    size: Counter = Counter()
+    for t in toks:
+        if t.kind == "text" and not t.outside:
+            size[t.block] += len(t.text.split())
 
-def features(t: Token) -> str:
-    """The class of a token that has one weight: words and tags inside or outside of known boilerplate."""
-    return f"{'w' if t.kind == 'text' else t.kind.lstrip('/')}{'-' if t.outside else '+'}"
+    def of(t: Token) -> tuple[str, ...]:
+        if t.kind != "text":
+            return ("<" + t.kind.lstrip("/") + ">",)
+        many = "few" if size[t.block] < 5 else "some" if size[t.block] < 12 else "many"
+        place = "heading" if t.place in _HEADING else f"{many} in a paragraph" if t.place in ("p", "blockquote", "pre") else f"{many} elsewhere"
+        return place, "link" if t.link else "no link", "called content" if t.called else "not called so"
 
+    return [of(t) for t in toks]
 
-#: Labelled pages: (html with the content between the marks [[ and ]]). They cover the usual templates; the
-#: weights are estimated from them at first use, with one pseudo-count a class.
+
+#: Labelled pages: html with the content between [[ and ]], which may come several times. They have the usual sections, names
+#: of boilerplate (one of them an element), and pages without any telling name.
 LABELLED = (
-    '<html><head><title>a b</title><script>x</script></head><body><nav><ul><li><a href="/x">home</a></li><li><a href="/y">news</a></li></ul></nav><div class="ad">buy this now please</div>[[<article><h1>how to bake bread</h1><p>flour water salt and time make a fine loaf of bread</p><p>let it <b>rest</b> for an hour then bake it until it is brown</p></article>]]<footer>&copy; site and all rights reserved</footer></body></html>',
-    '<body><header><a href="/">logo</a><form><input><button>search</button></form></header><div id="sidebar"><ul><li><a href="/1">one</a></li><li><a href="/2">two</a></li></ul></div>[[<div class="content"><h2>the river in spring</h2><p>the water rises in april and covers the low fields for weeks</p><ul><li>birds come back</li><li>boats go out again</li></ul><blockquote>it was a wet year said the miller</blockquote></div>]]<div class="comments"><p>nice text thanks</p><p>i agree</p></div><footer>contact us</footer></body>',
-    '<body><div class="cookie-notice">we use cookies to improve your visit <button>ok</button></div><main>[[<h1>a short report</h1><p>the council met on monday and agreed to mend the bridge</p><table><tr><td>cost</td><td>forty</td></tr></table><p>work starts in may</p>]]<aside><h3>related</h3><a href="/a">other story</a></aside></main><footer><a href="/t">terms</a> <a href="/p">privacy</a></footer></body>',
-    '<body><div class="menu"><a href="/a">a</a> <a href="/b">b</a></div><div class="post">[[<h1>on walking</h1><p>i walk each day by the sea with an old dog and a stick</p><p>some days it rains and then we walk faster than before</p><pre>two lines of code</pre>]]</div><section id="comments"><h3>comments</h3><div class="comment"><p>well said</p></div></section><div class="newsletter"><form>join our list <input></form></div></body>',
-)
+    '<html><head><title>a b</title><script>x</script></head><body><nav class="navbar navigation menu"><ul><li><a href="/x">home</a></li><li><a href="/y">news</a></li></ul></nav><div class="ad">buy this now please</div><div class="breadcrumb"><a href="/">home</a></div>'
+    '[[<article class="article"><h1>how to bake bread</h1><p>flour water salt and time make a fine loaf of bread</p>]]<div class="advert">the best oven of this year is here at half the price of last year</div><div class="sponsored">a word from those who pay for this page and ask you to read it</div>'
+    '[[<p>let it <b>rest</b> for an <a href="/h">hour</a> then bake it until it is brown</p><p>Done.</p></article>]]<div class="related"><a href="/r">more bread</a></div><footer class="foot"><p>&copy; site and all rights reserved</p></footer></body></html>',
+    '<body><header class="masthead"><a href="/">logo</a><form><input><button>search</button></form></header><div id="sidebar"><ul><li><a href="/1">one</a></li><li><a href="/2">two</a></li></ul></div><div class="search"><p>find it</p></div><div class="social"><a href="/s">tell a friend</a></div>'
+    '[[<div class="content main"><h2>the river in spring</h2><p>the water rises in april and covers the low fields for weeks</p><ul><li>birds come back</li><li>boats go out again when the wind is fair and the days are long</li></ul><blockquote>it was a wet year said the miller</blockquote></div>]]'
+    '<div class="share"><p>pass it on</p></div><div class="comments"><p>nice text thanks i have read it twice and shall read it again</p><p>i agree</p></div><div class="respond"><p>say what you think of it</p></div><footer>contact us</footer></body>',
+    '<body><div class="cookie consent">we use cookies to improve your visit <button>ok</button></div><div class="banner"><p>big sale today</p></div><div class="topbar"><a href="/l">sign in</a></div><main>[[<h1>a short report</h1><p>the council met on monday and agreed to mend the bridge</p><table><tr><td>cost</td><td>forty</td></tr></table><p>work starts in may</p>]]'
+    '<aside class="aside"><h3>related</h3><a href="/a">other story</a><p>what the mayor said last year about the bridge and the road to it</p></aside>[[<p>and it ends in june if all goes well with the weather and the men</p>]]</main><div class="widget"><p>weather today</p></div><div class="legal"><a href="/t">terms</a></div><footer><a href="/t">terms</a> <a href="/p">privacy</a></footer></body>',
+    '<body><div class="menubar"><a href="/a">a</a> <a href="/b">b</a></div><div class="notice alert">the site is closed on sunday night for some hours</div><div class="modal popup">sign up and get ten percent off your first order</div><div class="post entry">[[<h1>on walking</h1><p>i walk each day by the sea with an old dog and a stick</p><p>some days it rains and then we walk faster than before</p><pre>two lines of code</pre>]]</div>'
+    '<section id="comments"><h3>comments</h3><div class="comment"><p>well said and i shall walk there myself one day soon</p></div><div class="reply"><p>so shall i</p></div></section><div class="newsletter subscribe"><p>join our list and hear from us each week</p><form>join our list <input></form></div><div class="pagination pager"><a href="/2">next</a></div></body>',
+    '<body><div class="adverts ads"><p>cheap flights to the sun from ten in the morning</p></div><div class="promo promotion"><p>two for one</p></div><div class="sidebar side"><p>about the author who lives in a small town by a lake</p></div><div class="toc"><a href="#a">part one</a></div><div class="page"><div class="body">[[<h1>Old clocks</h1><p>Clocks.</p><p>a clock that has stopped is right two times a day and wrong for the rest of it</p>]]'
+    '<div class="advertisement">new clocks for old ones this week only in our shop</div>[[<p>mend it</p><ol><li>open the case</li><li>clean the wheels</li></ol>]]</div></div><div class="recommended recommendations"><h3>read next</h3><p>a long look at the sun dials of the old town and who made them</p></div><div class="copyright"><p>all rights reserved</p></div></body>',
+    '<body><div class="x1"><a href="/a">start</a> <a href="/b">shop</a> <a href="/c">about</a></div><div><ul><li><a href="/1">first page</a></li><li><a href="/2">second page</a></li><li><a href="/3">third page</a></li></ul></div>[[<div class="x2"><h1>the small harbour</h1><p>the harbour is small and holds nine boats when the tide is in and none when it is out</p><p>men mend <a href="/n">nets</a> on the wall</p></div><div><p>in winter it is closed and the boats stand in the street before the houses</p></div>]]'
+    '<div><a href="/4">an other harbour</a> <a href="/5">the light house</a></div><div>one two three</div><div><span>tel 123</span></div></body>',
+    '<body><table><tr><td><a href="/a">home</a></td><td><a href="/b">links</a></td><td>menu</td></tr></table><table><tr><td>[[<h2>bees</h2>bees fly from march to october and dance to tell the others where to go<br>a hive holds forty thousand of them in a good summer<p>they sleep little</p>]]</td></tr></table><table><tr><td><a href="/c">next</a></td><td>page 3</td><td>hits 100</td></tr></table></body>',
+    '<body><div class="skip"><a href="#c">skip</a></div><div class="toolbar"><a href="/p">print</a></div><div class="login signup"><p>log in or sign up</p></div><div class="overlay gdpr"><p>we and our partners keep data on your device to show you what you may like</p></div>[[<div class="story text"><h1>Snow</h1><p>snow fell for two days and shut the road over the pass</p><h2>Trains</h2><p>no train ran</p></div>]]<div class="disqus discussion replies commentlist"><p>we had no snow at all where i live and it was quite warm</p></div><div class="sponsor adsense"><p>tyres for snow and ice</p></div><div class="contentinfo complementary"><p>about us</p></div></body>',
+)
+
 
+def learn(pages: tuple[str, ...] = LABELLED) -> Weights:
+    """Weights from labelled pages, half a count added to each.
 
-def learn(pages: Iterable[str] = LABELLED) -> dict[str, float]:
-    """Log odds of lying in the content for each class of token; the class of all others has the key ''."""
-    inside, outside = Counter(), Counter()
+    Marks are counted by element, which is inside if it touches the content, and those met both in and out say nothing; features
+    are counted by word or tag of what the marks leave.
+    """
+    texts = []
     for page in pages:
-        a, b = page.index("[["), page.index("]]")
-        whole = page[:a] + page[a + 2 : b] + page[b + 2 :]
-        b -= 2
+        parts = re.split(r"\[\[|\]\]", page)
+        texts.append(("".join(parts), [(sum(map(len, parts[:k])), sum(map(len, parts[: k + 1]))) for k in range(1, len(parts), 2)]))
+    elements: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    for text, content in texts:
+        open_: list[tuple[str, int, list[str]]] = []
+        for m in _TOKEN.finditer(text):
+            name = (m[2] or "").lower()
+            if not name or name in _VOID:
+                continue
+            if not m[1]:
+                open_.append((name, m.start(), list(_marks(name, m[3]))))
+                continue
+            while open_:
+                last, start, marks = open_.pop()
+                elements[any(a < m.end() and start < b for a, b in content)].update(marks)
+                if last == name:
+                    break
+    known = [k for k in {*elements[True], *elements[False]} if not (elements[True][k] and elements[False][k])]
+    marks = {k: math.log(elements[True][k] + 0.5) - math.log(elements[False][k] + 0.5) for k in known}
+    seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    total: Counter = Counter()
+    for text, content in texts:
         at = 0
-        for t in tokens(whole):
-            if t.kind == "text":
-                at = whole.index(t.text, at)
-                n = max(1, len(t.text.split()))
-                (inside if a <= at < b else outside)[features(t)] += n
-                at += len(t.text)
-            else:
-                at = whole.lower().index("<" + t.kind, at)
-                (inside if a <= at < b else outside)[features(t)] += 1
-                at += 1
-    total_in, total_out = sum(inside.values()), sum(outside.values())
-    odds = lambda k: math.log((inside[k] + 1) / (total_in + 1)) - math.log((outside[k] + 1) / (total_out + 1))
-    weights = {k: odds(k) for k in {*inside, *outside}}
-    return weights | {"": -1.0}
-
-
-#: Share of its weight that a word of boilerplate costs a run that spans it: such words are left out
-#: anyway, and a long notice between two paragraphs must not cut off the shorter one.
-BETWEEN = 0.05
-
-
-def weight(weights: dict[str, float], t: Token) -> float:
-    """Words never score below zero inside possible content, tags never above; words of boilerplate score negative."""
-    known = weights.get(features(t), weights[""])
-    if t.kind == "text":
-        w = len(t.text.split())
-        return w * (-BETWEEN * abs(known) if t.outside else max(known, 0.1))
-    return min(known, -0.01) if not t.outside else -max(abs(known), 0.5)
+        toks = list(tokens(text, marks))
+        for t, own in zip(toks, features(toks), strict=True):
+            found = t.text if t.kind == "text" else "<" + t.kind
+            at = text.lower().index(found.lower(), at)
+            inside = any(a <= at < b for a, b in content)
+            at += len(found)
+            n = len(t.text.split()) if t.kind == "text" else 1
+            if not t.outside:
+                total[inside, t.kind == "text"] += n
+                for k in own:
+                    seen[inside][k] += n
+
+    def odds(k: str) -> float:
+        share = {y: (seen[y][k] + 0.5) / (total[y, not k.startswith("<")] + 1) for y in (True, False)}
+        return math.log(share[True] / share[False])
+
+    return Weights(marks, {k: odds(k) for k in {*seen[True], *seen[False]}})
+
+
+def score(weights: Weights, t: Token, own: tuple[str, ...]) -> float:
+    """Tags are always negative; what is cut weighs nothing."""
+    if t.outside:
+        return 0.0
+    total = sum(weights.features.get(k, 0.0) for k in own)
+    return len(t.text.split()) * total if t.kind == "text" else min(total, -0.1)
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -197,10 +261,10 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return span
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
+def main_text(page: str | None, weights: Weights) -> str:
     """The blocks of the best run, white space inside a block as one space, blocks joined by one space."""
-    toks = list(tokens(page or ""))
-    a, b = best_run([weight(weights, t) for t in toks])
+    toks = list(tokens(page or "", weights.marks))
+    a, b = best_run([score(weights, t, k) for t, k in zip(toks, features(toks), strict=True)])
     blocks: list[str] = []
     last, part = None, []
     for t in [*toks[a:b], None]:
@@ -220,7 +284,8 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 def extract_text(pages: DataFrame, html_col: str = "html", labelled: tuple[str, ...] = LABELLED) -> DataFrame:
     """``pages`` with text string: the main text of each page, empty if there is none.
 
-    A null page counts as an empty one. Rows are independent: repeated rows give repeated
+    ``labelled`` are the pages that the weights are learnt from, content between [[ and ]]. A null page counts as an empty one; very
+    long pages are read once from end to end. Rows are independent: repeated rows give repeated
     results, an empty table none. A column of ``pages`` named text is replaced. Pages go to the tasks
     by Arrow batches and are not shuffled.
     """
