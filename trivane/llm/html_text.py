@@ -264,7 +264,8 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str | None, weights: Weights) -> str:
     """The blocks of the best run, white space inside a block as one space, blocks joined by one space."""
     toks = list(tokens(page or "", weights.marks))
-    a, b = best_run([score(weights, t, k) for t, k in zip(toks, features(toks), strict=True)])
+    # Without a tag there is nothing to tell apart.
+    a, b = (0, len(toks)) if all(t.kind == "text" for t in toks) else best_run([score(weights, t, k) for t, k in zip(toks, features(toks), strict=True)])
     blocks: list[str] = []
     last, part = None, []
     for t in [*toks[a:b], None]:
