@@ -42,7 +42,7 @@ _LETTERS = re.compile(r"[a-z]+")
 
 @dataclass
 class Token:
-    """A piece of text or a tag; outside is true in an element that is cut, called in one called content, place names the block element, link is true in a link."""
+    """A piece of text or a tag; outside is true in an element that is cut, called in one called content, place names the block element, link is true in a link, group is the block without regard to line breaks."""
 
     kind: str
     text: str = ""
@@ -51,6 +51,7 @@ class Token:
     place: str = ""
     link: bool = False
     called: bool = False
+    group: int = 0
 
 
 @dataclass
@@ -87,7 +88,7 @@ def _standing(name: str, attributes: str, marks: dict[str, float]) -> int:
 def tokens(page: str, marks: dict[str, float]) -> Iterator[Token]:
     """Words and tags of a page in order. End tags that match no open element are only marks; open ones end with their parents."""
     stack: list[tuple[str, int]] = []
-    at = block = outside = links = called = 0
+    at = block = group = outside = links = called = 0
     lower, place = None, ""
     n = len(page)
     while at < n:
@@ -95,12 +96,12 @@ def tokens(page: str, marks: dict[str, float]) -> Iterator[Token]:
         m = None
         end = n if cut < 0 else cut
         if end > at:
-            yield Token("text", page[at:end], outside > 0, block, place, links > 0, called > 0)
+            yield Token("text", page[at:end], outside > 0, block, place, links > 0, called > 0, group)
         if cut < 0:
             return
         m = _TOKEN.match(page, cut)
         if not m:
-            yield Token("text", "<", outside > 0, block, place, links > 0, called > 0)
+            yield Token("text", "<", outside > 0, block, place, links > 0, called > 0, group)
             at = cut + 1
             continue
         at = m.end() if m.end() > cut else cut + 1
@@ -109,6 +110,7 @@ def tokens(page: str, marks: dict[str, float]) -> Iterator[Token]:
             continue
         if name in _BLOCK:
             block += 1
+            group += name != "br"
             place = place if name == "br" else "" if m[1] else name
         if m[1]:
             if any(x[0] == name for x in reversed(stack)):
@@ -156,12 +158,12 @@ def features(toks: list[Token]) -> list[tuple[str, ...]]:
     size: Counter = Counter()
     for t in toks:
         if t.kind == "text" and not t.outside:
-            size[t.block] += len(t.text.split())
+            size[t.group] += len(t.text.split())
 
     def of(t: Token) -> tuple[str, ...]:
         if t.kind != "text":
             return ("<" + t.kind.lstrip("/") + ">",)
-        many = "few" if size[t.block] < 5 else "some" if size[t.block] < 12 else "many"
+        many = "few" if size[t.group] < 5 else "some" if size[t.group] < 12 else "many"
         place = "heading" if t.place in _HEADING else f"{many} in a paragraph" if t.place in ("p", "blockquote", "pre") else f"{many} elsewhere"
         return place, "link" if t.link else "no link", "called content" if t.called else "not called so"
 
