@@ -30,8 +30,10 @@ ITEMS_PER_PASS, WORDS_PER_PASS = 4000, 400_000
 STRIDE = 4
 #: Windows of an item: from about every fourth word, eight starts at most.
 APART, STARTS = 4, 8
-#: Item sizes (from) of one form of window, its steps, and the coordinates of a sample.
-FORMS = ((16, 20, 6), (10, 20, 5), (7, 10, 4), (5, 7, 3), (3, 4, 2), (1, 1, 1))
+#: Item sizes (from) of one form of window, its steps, and the coordinates of a sample; items of under 20 words, with few windows, are sampled twice as often.
+FORMS = ((20, 20, 6), (10, 18, 5), (7, 10, 4), (5, 7, 3), (3, 4, 2), (1, 1, 1))
+#: Item sizes (from) and the hashes that a text must share with an item: a longer item has more windows and meets more often.
+MEETINGS = ((50, 8), (32, 4), (12, 2), (0, 1))
 
 
 @dataclass(frozen=True)
@@ -42,8 +44,8 @@ class Params:
     """
 
     similarity: float = 0.8
-    walks: int = 8
-    samples: int = 20
+    walks: int = 6
+    samples: int = 13
     seed: int = 11
 
     def edits(self, n: int) -> int:
@@ -115,7 +117,7 @@ class Form:
             seed = rng.integers(1, 1 << 63, dtype=np.uint64)
             path = walk(words, np.array(begin), steps, seed)
             samples = []
-            for c in {tuple(sorted(rng.permutation(steps)[:coordinates].tolist())) for _ in range(index.params.samples)}:
+            for c in {tuple(sorted(rng.permutation(steps)[:coordinates].tolist())) for _ in range(index.params.samples * (1 if least >= 20 else 2))}:
                 # A window whose walk leaves the item before a coordinate has no hash there.
                 inside = np.flatnonzero(np.logical_and.reduce([known[path[t]] > 0 for t in c]))
                 key = _hash([known[path[t][inside]] for t in c])
@@ -134,6 +136,7 @@ class Index:
         self.edits = [params.edits(len(x)) for x in self.items]
         self.vocabulary = np.unique(words.hashes)
         self.sets = [Counter(x.tolist()) for x in self.items]
+        self.meetings = np.array([next(m for least, m in MEETINGS if len(x) >= least) for x in self.items], np.int64)
         self.forms, upper = [], float("inf")
         for least, steps, coordinates in FORMS:
             if members := [i for i, x in enumerate(self.items) if least <= len(x) < upper]:
@@ -147,38 +150,51 @@ class Index:
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == h, at + 1, 0).astype(np.uint64)
 
-    def candidates(self, h: np.ndarray, text_first: np.ndarray) -> dict[tuple[int, int], set[int]]:
-        """(text, item) -> places in ``h`` where the item may begin: windows that share a hash with one of its windows."""
-        out: dict[tuple[int, int], set[int]] = {}
+    def candidates(self, h: np.ndarray, text_first: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """(text, item, places in ``h`` where the item may begin): windows that share hashes with its windows."""
+        texts, owners, places = ([np.zeros(0, np.int64)] for _ in range(3))
+        words = self.known(h)
         for form in self.forms:
             padded = np.concatenate((h, np.zeros(form.steps + 1, np.uint64)))
-            known = self.known(padded)
+            known = np.concatenate((words, np.zeros(form.steps + 1, np.uint64)))
             starts = np.arange(0, len(h), form.stride)
             for seed, samples in form.walks:
                 path = walk(padded, starts, form.steps, seed)
-                use = [(known[p] > 0) for p in path]
+                word = [known[p] for p in path]
+                use = [w > 0 for w in word]
                 for c, keys, windows in samples:
-                    at = np.flatnonzero(np.logical_and.reduce([use[t] for t in c]))
-                    key = _hash([known[path[t][at]] for t in c])
+                    both = use[c[0]]
+                    for t in c[1:]:
+                        both = both & use[t]
+                    at = np.flatnonzero(both)
+                    if not len(at) or not len(keys):
+                        continue
+                    key = _hash([word[t][at] for t in c])
                     lo = np.searchsorted(keys, key, "left")
-                    met = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == key) if len(keys) else np.zeros(0, np.int64)
+                    met = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == key)
                     if not len(met):
                         continue
                     n = np.searchsorted(keys, key[met], "right") - lo[met]
                     window = windows[np.repeat(lo[met], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
                     place = np.repeat(starts[at[met]], n)
-                    text = np.searchsorted(text_first, place, "right") - 1
-                    for t, i, s in zip(text.tolist(), form.owner[window].tolist(), (place - form.offset[window]).tolist(), strict=True):
-                        out.setdefault((t, i), set()).add(s)
-        return out
+                    texts.append(np.searchsorted(text_first, place, "right") - 1)
+                    owners.append(form.owner[window].astype(np.int64))
+                    places.append(place - form.offset[window])
+        text, owner, place = (np.concatenate(x) for x in (texts, owners, places))
+        order = np.lexsort((place, owner, text))
+        text, owner, place = text[order], owner[order], place[order]
+        cut = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (owner[1:] != owner[:-1]), [True]))) if len(text) else np.zeros(1, np.int64)
+        enough = np.flatnonzero(np.diff(cut) >= self.meetings[owner[cut[:-1]]])
+        for a, b in zip(cut[enough].tolist(), cut[enough + 1].tolist(), strict=True):
+            yield int(text[a]), int(owner[a]), np.unique(place[a:b]).tolist()
 
     def search(self, h: np.ndarray, text_first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, edits, first word, word after the last) by text and item with a verified match."""
-        for (t, i), starts in sorted(self.candidates(h, text_first).items()):
+        for t, i, starts in self.candidates(h, text_first):
             item, most = self.items[i], self.edits[i]
             lo, hi, n = int(text_first[t]), int(text_first[t + 1]), len(item)
             done = -1
-            for s in sorted(starts):
+            for s in starts:
                 if s <= done:
                     continue
                 a, b = max(lo, s - 2 * most), min(hi, s + n + 4 * most)
