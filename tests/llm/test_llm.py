@@ -371,7 +371,10 @@ def test_edit_distance_and_similarity():
     for _ in range(300):
         a, b = ("".join(rng.choices("abc", k=rng.randint(0, 14))) for _ in range(2))
         assert fuzzy_lines.edit_distance(a, b) == edits(a, b)
-        assert fuzzy_lines.similar(a, b, 0.7) == (edits(a, b) <= 0.3 * max(len(a), len(b)) + 1e-9)
+        a, b = (" ".join(x[i : i + 3] for i in range(0, len(x), 3)) for x in (a, b))
+        assert fuzzy_lines.pieces_apart([a, "x"], [b, ""], 0.7)[0] <= 6 or not fuzzy_lines.similar(a, b, 0.7)
+        assert fuzzy_lines.word_edits(a.split(" "), b.split(" ")) >= edits(a, b)
+        assert fuzzy_lines.similar(a, b, 0.7, True) == fuzzy_lines.similar(a, b, 0.7) == (edits(a, b) <= 0.3 * max(len(a), len(b)) + 1e-9)
 
 
 def line_groups(texts, least=0.8):
