@@ -1,5 +1,6 @@
 """Hand-computed values, edge cases and invariants of single operators."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -10,6 +11,7 @@ from trivane import config
 from trivane.functions import expressions as X
 from trivane.operators import bucketing as B
 from trivane.operators import drift as D
+from trivane.operators import encoding as E
 from trivane.operators import labels as L
 from trivane.operators import metrics as M
 from trivane.operators import ordered as O
@@ -171,13 +173,16 @@ def test_stream_and_batch_detectors_agree(spark, sf_dir):
     assert sorted(map(tuple, QUERIES["d1_kswin"](spark, sf_dir).collect())) == sorted(map(tuple, QUERIES["d1_kswin_stream"](spark, sf_dir).collect()))
 
 
-def test_nearest_by_brute_force_with_blocks(spark):
+@pytest.mark.parametrize("part, block", [(1 << 15, 1 << 13), (16, 5), (7, 4)])
+def test_nearest_by_brute_force_with_cells(spark, monkeypatch, part, block):
+    monkeypatch.setattr(P, "PART", part)
+    monkeypatch.setattr(P, "QUERY_BLOCK", block)
     rng = np.random.default_rng(3)
     x, q = rng.random((90, 5)), rng.random((17, 5))
     t = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "i long, vec array<double>, y int")
     u = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "i long, vec array<double>")
     got = {}
-    for r in P.nearest(t, u, 4, "i", "i", block=5).collect():
+    for r in P.nearest(t, u, 4, "i", "i").collect():
         got.setdefault(r["query"], []).append((r["rank"], r["neighbour"]))
     for i, v in enumerate(q):
         expected = sorted(range(90), key=lambda j: (round(float(np.sqrt(((x[j] - v) ** 2).sum())), 12), j))[:4]
@@ -186,6 +191,59 @@ def test_nearest_by_brute_force_with_blocks(spark):
     assert {r.p for r in none.collect()} == {0.5}
 
 
+def test_nearest_with_categories_and_missing_vectors(spark, monkeypatch):
+    monkeypatch.setattr(P, "PART", 10)
+    rng = np.random.default_rng(4)
+    x, c = rng.random((60, 2)), ["abc"[i % 3] if i % 7 else None for i in range(60)]
+    t = spark.createDataFrame([(i, v.tolist(), 1, c[i]) for i, v in enumerate(x)] + [(99, None, 1, "a")], "i long, vec array<double>, y int, c string")
+    got = {}
+    for r in P.nearest(t, t, 3, "i", "i", categories=["c"], category_weight=0.4).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["neighbour"], r["mismatches"]))
+    assert set(got) == set(range(60))
+    for i in range(60):
+        d = lambda j: round(float(np.sqrt(((x[j] - x[i]) ** 2).sum())) + 0.4 * (c[j] != c[i]), 12)
+        assert [n for _, n, _ in sorted(got[i])] == sorted(range(60), key=lambda j: (d(j), j))[:3]
+
+
+def test_running_values_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(O, "ROWS", 40)
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 17 == 0 else int(rng.integers(0, 4))) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, x int")
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert {r.i: r["rank"] for r in O.row_ranks(df, ["x", "i"]).collect()} == {i: n for n, (i, _) in enumerate(order, 1)}
+    before = {r.i: r.b for r in O.previous(df, ["x", "i"], "i", "b").collect()}
+    assert before == {i: (order[n - 1][0] if n else None) for n, (i, _) in enumerate(order)}
+
+
+def test_rare_positive_label_among_many_values(spark):
+    rows = [(f"v{k}",) for k in range(1500)] + [("wanted",)] * 5 + [(None,)]
+    df = spark.createDataFrame(rows, "c string")
+    assert L.binarize_existing(df, "c", "wanted").where("label = 1 and c = 'wanted'").count() == 5 == L.binarize_existing(df, "c", "wanted").where("label = 1").count()
+    assert [r.c for r in L.binarize_existing(df, "c", "absent").where("label = 1").collect()] == ["v0"]
+
+
+def test_null_scopes_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, "a", "x", 1.0), (2, None, "x", 3.0), (3, None, "y", 5.0)], "i int, s string, k string, v double")
+    assert {r.i: r.bucket_id for r in B.assign_buckets(df, B.BucketConfig(("k",), (("s",),), 1), ["s"]).collect()} == {1: "x", 2: "x", 3: "y"}
+    assert {r.i: r.v for r in E.z_scores(df, ["v"], ["s"]).collect()} == {1: 0.0, 2: -1.0, 3: 1.0}
+
+
+def test_roles_by_exact_counts(spark):
+    df = spark.range(1000).select((F.col("id") % 12).cast("int").alias("a"), (F.col("id") % 13).cast("int").alias("b"))
+    assert E.column_roles(df) == {"a": "categorical", "b": "continuous"}
+
+
+def test_buffers_keep_the_newest_or_a_sample_of_all(spark):
+    part = lambda a, b: spark.range(a, b).select("id", F.col("id").alias("o"))
+    slide, pool = P.PosteriorBuffer(10, 100), P.PosteriorBuffer(10, 4, "reservoir")
+    for k in range(5):
+        slide, pool = slide.add(part(20 * k, 20 * k + 20), "o"), pool.add(part(20 * k, 20 * k + 20), "o")
+    assert {r.id for r in slide.rows.collect()} == set(range(90, 100)) and {r.id for r in slide.frozen.collect()} == set(range(10, 20)) and slide.rebuilds == 1
+    digest = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    assert {r.id for r in pool.rows.collect()} == set(sorted(range(100), key=digest)[:10]) and pool.rebuilds == 5
+
+
 def test_weights_stay_in_their_range(spark):
     df = spark.createDataFrame([(10, 0.5, 0, 1), (0, 0.99, 1, 0), (11, 0.01, -1, 0)], "period_idx int, p double, region int, label int")
     w = [r.w for r in df.select(T.record_weight("period_idx", 12, 0, "p", "region", "label").alias("w")).collect()]

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trivane.functions.expressions import category_match, mixed_similarity, rbf
+from trivane.operators.steps import join_same
+
+
+#: Bytes that a broadcast value is taken for; rows of a salt.
+COLUMN_BYTES, SALT_ROWS = 32, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -31,7 +36,7 @@ def bucket_id(keys: list[str]) -> Column:
 def assign_buckets(df: DataFrame, config: BucketConfig, scope: list[str] | None = None, name: str = "bucket_id") -> DataFrame:
     """Add the finest bucket with enough rows of the scope, else the coarsest; without any key column '__MISSING__'.
 
-    Counts are aggregated by level and joined back, so that a hot bucket is pre-aggregated rather
+    Null is a value of the scope like any other. Counts are aggregated by level and joined back, so that a hot bucket is pre-aggregated rather
     than gathered in one window.
     """
     scope, levels = scope or [], config.levels(df.columns)
@@ -40,7 +45,7 @@ def assign_buckets(df: DataFrame, config: BucketConfig, scope: list[str] | None
     out = df.withColumns({f"__b{i}": bucket_id(k) for i, k in enumerate(levels)})
     for i in range(len(levels) - 1):
         counts = out.groupBy(*scope, f"__b{i}").agg(F.count("*").alias(f"__n{i}"))
-        out = out.join(counts, [*scope, f"__b{i}"])
+        out = join_same(out, counts, [*scope, f"__b{i}"])
     chosen = [F.when(F.col(f"__n{i}") >= config.least, F.col(f"__b{i}")) for i in range(len(levels) - 1)]
     return out.withColumn(name, F.coalesce(*chosen, F.col(f"__b{len(levels) - 1}"))).drop(*[c for i in range(len(levels)) for c in (f"__b{i}", f"__n{i}")])
 
@@ -107,23 +112,25 @@ def combine_history(old: DataFrame, new: DataFrame, ratio: float, bucket: str =
 
 
 def similarity_to_references(
-    rows: DataFrame, references: DataFrame, key: str, numeric: list[str], categories: dict[str, float], sigma: float = 1.0, mode: str = "product", mix: float = 0.5, bucket: str = "bucket_id", small: int = 2_000_000
+    rows: DataFrame, references: DataFrame, key: str, numeric: list[str], categories: dict[str, float], sigma: float = 1.0, mode: str = "product", mix: float = 0.5, bucket: str = "bucket_id", small: int = 64 << 20
 ) -> DataFrame:
     """key, e_pos, e_neg: weighted mean similarity of each row to either side's references of its bucket, 0 where there are none.
 
-    References are at most 2 * top a bucket. They are broadcast when there are at most ``small`` of them (counted first);
-    otherwise both sides are shuffled by bucket, hot buckets being split by salt: the references
-    are copied to every salt, the rows dealt among them.
+    References are at most 2 * top a bucket. They are broadcast when they have at most ``small`` bytes (counted first, COLUMN_BYTES a
+    value); otherwise both sides are shuffled by bucket, and a bucket is split in as many salts as it has
+    SALT_ROWS rows: its references are copied to every salt, its rows dealt among them.
     """
     cols = [*numeric, *categories]
     refs = references.select(bucket, "side", F.col("weight").alias("__w"), *[F.col(c).alias(f"__r_{c}") for c in cols])
     left = rows.select(key, bucket, *cols)
-    if refs.limit(small + 1).count() <= small // max(1, len(cols)):
+    most = small // (COLUMN_BYTES * len(refs.columns))
+    if refs.limit(most + 1).count() <= most:
         pairs = left.join(F.broadcast(refs), bucket)
     else:
-        salts = 16
-        refs = refs.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        pairs = left.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(refs, [bucket, "__salt"])
+        salts = left.groupBy(bucket).agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("__salts"))
+        refs = refs.join(salts, bucket).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+        left = left.join(salts, bucket).withColumn("__salt", F.expr(f"cast(pmod(xxhash64(`{key}`), __salts) as int)")).drop("__salts")
+        pairs = left.join(refs, [bucket, "__salt"])
     num = rbf([F.col(c) for c in numeric], [F.col(f"__r_{c}") for c in numeric], sigma)
     cat = category_match([F.col(c) for c in categories], [F.col(f"__r_{c}") for c in categories], list(categories.values()))
     sim = mixed_similarity(num, cat, mode, mix)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from trivane.operators.steps import join_same
+
 MISSING = "__MISSING__"
 
 
@@ -65,16 +67,16 @@ def standardise(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFram
 
 
 def z_scores(df: DataFrame, columns: list[str], scope: list[str]) -> DataFrame:
-    """Replace columns by z-scores over the rows of the same scope (population deviation; 1 if 0)."""
+    """Replace columns by z-scores over the rows of the same scope (population deviation; 1 if 0); null is a scope like any other."""
     stats = df.groupBy(*scope).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("mu", F.avg), ("sd", F.stddev_pop))])
-    out = df.join(stats, scope) if scope else df.join(F.broadcast(stats), F.lit(True))
+    out = join_same(df, stats, scope) if scope else df.join(F.broadcast(stats), F.lit(True))
     return out.withColumns({c: (F.col(c) - F.col(f"__mu_{c}")) / F.when(F.col(f"__sd_{c}") == 0, 1.0).otherwise(F.col(f"__sd_{c}")) for c in columns}).drop(*[x for x in stats.columns if x not in scope])
 
 
 def column_roles(df: DataFrame, exclude: tuple[str, ...] = (), cyclic_words: tuple[str, ...] = ("month", "day", "hour", "time", "week"), most: int = 12) -> dict[str, str]:
     """'cyclic' by name, 'categorical' for texts and for integers of at most ``most`` values, else 'continuous'."""
     columns = [f for f in df.schema.fields if f.name not in exclude]
-    counts = df.agg(*[F.approx_count_distinct(f.name).alias(f.name) for f in columns if isinstance(f.dataType, T.IntegralType)] or [F.lit(0).alias("__none")]).first().asDict()
+    counts = {f.name: df.select(f.name).where(F.col(f.name).isNotNull()).distinct().limit(most + 1).count() for f in columns if isinstance(f.dataType, T.IntegralType)}
 
     def role(f) -> str:
         if any(w in f.name.lower() for w in cyclic_words):

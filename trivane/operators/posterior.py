@@ -1,8 +1,10 @@
 """Posterior probabilities from nearest neighbours: plain, kernel-weighted, with category penalties, per bucket.
 
-Queries go to the tasks in blocks of bounded size, each task scans its part of the training rows
-in Arrow batches with one matrix product, and keeps the k best; the few candidates are
-then ranked by query. No pair is ever a row before it is among the k best of a task.
+Training rows are dealt to cells (the nearest of some pivots, or a bucket), a cell to parts of PART rows, its
+queries to blocks. A query meets the parts of the cells that can hold a neighbour: by the triangle inequality, those
+not farther than the distance within which the cells' radii promise k rows. A task compares one block with one
+part by a matrix product in Arrow batches and keeps the k best of each query, so that no pair is a row before that.
+Neither side passes through the driver.
 """
 
 from __future__ import annotations
@@ -14,77 +16,133 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trivane.functions.expressions import kernel
+from trivane.operators.steps import written
 
-#: Queries that one pass over the training rows holds in each task.
-QUERY_BLOCK = 8192
+#: Training rows of a part, queries of a block, and pivots at most (their vectors go to all tasks).
+PART, QUERY_BLOCK, PIVOTS = 1 << 15, 1 << 13, 4096
 
 
 def nearest(
     train: DataFrame, queries: DataFrame, k: int, train_id: str, query_id: str, vector: str = "vec", label: str = "y", categories: list[str] | None = None,
-    category_weight: float = 0.0, block: int = QUERY_BLOCK, digits: int = 12,
+    category_weight: float = 0.0, digits: int = 12,
 ) -> DataFrame:
     """query, neighbour, y, d, mismatches, rank: the k nearest training rows of each query by Euclidean distance, ties by id.
 
     With categories each one that differs (missing equals missing) adds category_weight to the distance. Ids are integers. Distances are
-    rounded to ``digits`` places before they are ranked, so that ties do not depend on the order of sums.
+    rounded to ``digits`` places before they are ranked, so that ties do not depend on the order of sums. Rows without a vector
+    neither ask nor answer; no training rows give no rows.
     """
-    cats = categories or []
-    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("qv"), *[F.coalesce(F.col(c).cast("string"), F.lit("__MISSING__")).alias(c) for c in cats])
-    t = train.select(F.col(train_id).cast("long").alias("tid"), F.col(label).cast("double").alias("y"), F.col(vector).cast("array<double>").alias("tv"), *[F.coalesce(F.col(c).cast("string"), F.lit("__MISSING__")).alias(c) for c in cats])
-    out, held = None, []
-    for row in q.toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            part = _scan(t, held, k, cats, category_weight, digits)
-            out, held = part if out is None else out.union(part), []
-    if held or out is None:
-        part = _scan(t, held, k, cats, category_weight, digits)
-        out = part if out is None else out.union(part)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "neighbour"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    t, q = _train(train, train_id, vector, label, categories or []), _queries(queries, query_id, vector, categories or [])
+    pivots = min(PIVOTS, -(-t.count() // PART))
+    if pivots <= 1:
+        t, q = t.withColumn("cell", F.lit(0)), q.withColumn("cell", F.lit(0))
+    else:
+        t, q = _by_pivot(t, q, pivots, k, category_weight * len(categories or []))
+    return _ranked(_meet(t, q, k, categories or [], category_weight, digits), k)
+
+
+def _train(df: DataFrame, id_col: str, vector: str, label: str, cats: list[str]) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("tid"), F.col(label).cast("double").alias("y"), F.col(vector).cast("array<double>").alias("tv"), *_filled(cats)).where("tv is not null")
+
+
+def _queries(df: DataFrame, id_col: str, vector: str, cats: list[str]) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("qv"), *_filled(cats)).where("qv is not null")
+
+
+def _filled(cats: list[str]) -> list[Column]:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("__MISSING__")).alias(c) for c in cats]
+
 
+def _by_pivot(t: DataFrame, q: DataFrame, pivots: int, k: int, slack: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with cell int: training rows once, queries once for each cell that may hold one of their k nearest.
 
-def _scan(train: DataFrame, held: list, k: int, cats: list[str], weight: float, digits: int) -> DataFrame:
-    ids = np.array([r["qid"] for r in held], np.int64)
-    vectors = np.array([r["qv"] for r in held], float).reshape(len(held), -1) if held else np.zeros((0, 1))
-    values = [np.array([r[c] for r in held], object) for c in cats]
-    shared = train.sparkSession.sparkContext.broadcast((ids, vectors, values))
+    ``slack`` is the most that categories add to a distance.
+    """
+    centres = np.array([r["tv"] for r in t.select("tid", "tv").orderBy(F.xxhash64("tid"), "tid").limit(pivots).collect()], float)
+    shared = t.sparkSession.sparkContext.broadcast(centres)
+
+    def gaps(vectors: pd.Series, to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for lo in range(0, len(vectors), 1024):
+            x = np.array(vectors.iloc[lo : lo + 1024].tolist(), float).reshape(-1, to.shape[1])
+            d = np.maximum((x * x).sum(1)[:, None] + (to * to).sum(1)[None, :] - 2 * x @ to.T, 0)
+            yield lo, np.sqrt(d)
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            cell, gap = np.zeros(len(frame), np.int32), np.zeros(len(frame))
+            for lo, d in gaps(frame["tv"], shared.value):
+                cell[lo : lo + len(d)], gap[lo : lo + len(d)] = d.argmin(1), d.min(1)
+            yield frame.assign(cell=cell, gap=gap)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors, values = shared.value
-        n = len(ids)
-        best = [np.zeros((n, 0)) for _ in range(4)]
-        grown, size = [np.zeros((n, k)) for _ in range(4)], 0
+    placed = t.mapInPandas(place, T.StructType([*t.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())]))
+    found = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).orderBy("cell").collect()  # one row a pivot
+    used = t.sparkSession.sparkContext.broadcast((centres[[r["cell"] for r in found]], np.array([r["cell"] for r in found]), np.array([r["n"] for r in found]), np.array([r["radius"] for r in found])))
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        to, cell, n, radius = used.value
         for frame in frames:
-            for lo in range(0, len(frame) if n else 0, 2048):
-                part = frame.iloc[lo : lo + 2048]
-                x = np.array(part["tv"].tolist(), float).reshape(len(part), -1)
-                tid, y = part["tid"].to_numpy(), part["y"].to_numpy()
-                for i in range(0, n, 256):
-                    v = vectors[i : i + 256]
-                    # The product finds candidates fast; their distances are then summed exactly.
-                    d = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * v @ x.T, 0))
-                    miss = np.zeros(d.shape)
-                    for c, own in zip(cats, values, strict=True):
-                        miss += own[i : i + 256, None] != part[c].to_numpy()[None, :]
-                    few = min(k + 8, len(part))
-                    near = np.argpartition(d + weight * miss, few - 1, 1)[:, :few]
-                    gap = v[:, None, :] - x[near]
-                    exact = np.round(np.sqrt((gap * gap).sum(2)) + weight * np.take_along_axis(miss, near, 1), digits)
-                    new = [exact, tid[near], y[near], np.take_along_axis(miss, near, 1)]
-                    both = [np.hstack((a[i : i + 256], b)) for a, b in zip(best, new, strict=True)]
-                    order = np.lexsort((both[1], both[0]), axis=1)[:, :k]
-                    for j in range(4):
-                        grown[j][i : i + 256, : order.shape[1]] = np.take_along_axis(both[j], order, 1)
-                    size = order.shape[1]
-                best = [g[:, :size].copy() for g in grown]
-        m = best[0].shape[1]
-        yield pd.DataFrame({"query": np.repeat(ids, m), "neighbour": best[1].ravel().astype(np.int64), "y": best[2].ravel(), "d": best[0].ravel(), "mismatches": best[3].ravel().astype(np.int32)})
-
-    return train.mapInPandas(run, "query bigint, neighbour bigint, y double, d double, mismatches int")
+            lists: list[list[int]] = []
+            for _, d in gaps(frame["qv"], to):
+                far = d + radius
+                order = far.argsort(1)
+                enough = np.minimum((n[order].cumsum(1) < k).sum(1), len(n) - 1)
+                # The product's distances may be off in the last places.
+                within = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], 1), 1) + slack + 1e-6 * (1 + far.max())
+                lists += [cell[use].tolist() for use in d - radius <= within]
+            yield frame.assign(cells=lists)
+
+    asked = q.mapInPandas(ask, T.StructType([*q.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))]))
+    return placed.drop("gap"), asked.withColumn("cell", F.explode("cells")).drop("cells")
+
+
+def _meet(t: DataFrame, q: DataFrame, k: int, cats: list[str], weight: float, digits: int) -> DataFrame:
+    """query, neighbour, y, d, mismatches: the k best of every part for each of its cell's queries."""
+    parts = t.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    blocks = q.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    grid = parts.join(blocks, "cell")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = q.join(grid, "cell").withColumn("block", F.expr("cast(pmod(xxhash64(qid), blocks) as int)")).withColumn("part", each("parts")).drop("parts", "blocks")
+    right = t.join(grid, "cell").withColumn("part", F.expr("cast(pmod(xxhash64(tid), parts) as int)")).withColumn("block", each("blocks")).drop("parts", "blocks")
+
+    def best(asking: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(asking) or not len(rows):
+            return pd.DataFrame({"query": [], "neighbour": [], "y": [], "d": [], "mismatches": []}).astype({"query": "int64", "neighbour": "int64", "mismatches": "int32"})
+        vectors, x = (np.array(c.tolist(), float).reshape(len(c), -1) for c in (asking["qv"], rows["tv"]))
+        tid, y = rows["tid"].to_numpy(), rows["y"].to_numpy()
+        out = []
+        for i in range(0, len(asking), 256):
+            v = vectors[i : i + 256]
+            top: list[np.ndarray] = []
+            for lo in range(0, len(rows), 2048):
+                w = x[lo : lo + 2048]
+                # The product finds candidates fast; their distances are then summed exactly.
+                d = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (w * w).sum(1)[None, :] - 2 * v @ w.T, 0))
+                miss = np.zeros(d.shape)
+                for c in cats:
+                    miss += asking[c].to_numpy()[i : i + 256, None] != rows[c].to_numpy()[None, lo : lo + 2048]
+                few = min(k + 8, len(w))
+                near = np.argpartition(d + weight * miss, few - 1, 1)[:, :few]
+                gap = v[:, None, :] - w[near]
+                exact = np.round(np.sqrt((gap * gap).sum(2)) + weight * np.take_along_axis(miss, near, 1), digits)
+                new = [exact, tid[lo + near], y[lo + near], np.take_along_axis(miss, near, 1)]
+                top = new if not top else [np.hstack(z) for z in zip(top, new, strict=True)]
+                order = np.lexsort((top[1], top[0]), axis=1)[:, :k]
+                top = [np.take_along_axis(z, order, 1) for z in top]
+            ids = asking["qid"].to_numpy()[i : i + 256]
+            out.append(pd.DataFrame({"query": np.repeat(ids, top[0].shape[1]), "neighbour": top[1].ravel().astype(np.int64), "y": top[2].ravel(), "d": top[0].ravel(), "mismatches": top[3].ravel().astype(np.int32)}))
+        return pd.concat(out)
+
+    keys = ["cell", "block", "part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query bigint, neighbour bigint, y double, d double, mismatches int")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "neighbour"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def clipped(p: Column, lo: float = 0.01, hi: float = 0.99) -> Column:
@@ -137,18 +195,15 @@ def cap_buckets(train: DataFrame, bucket: str, key: str, most: int, seed: int =
 def nearest_in_bucket(train: DataFrame, queries: DataFrame, k: int, train_id: str, query_id: str, bucket: str, columns: list[str], label: str = "y", least: int = 1, most: int = 50_000) -> DataFrame:
     """query, p, source ('bucket' or 'global'): mean label of the k nearest capped training rows of the query's bucket; of all capped rows if the bucket has fewer than ``least``.
 
-    Both sides meet by bucket; a bucket has at most ``most`` training rows.
+    A bucket has at most ``most`` training rows. Buckets are the cells of the search, so both sides are split where a bucket is large.
     """
-    t = cap_buckets(train, bucket, train_id, most)
-    size = t.groupBy(bucket).agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
-    q = queries.join(size, bucket, "left")
-    refs = t.select(F.col(bucket), F.col(train_id).alias("__tid"), F.col(label).alias("__y"), *[F.col(c).alias(f"__t_{c}") for c in columns])
-    d = F.round(F.sqrt(sum(((F.col(c) - F.col(f"__t_{c}")) * (F.col(c) - F.col(f"__t_{c}")) for c in columns), F.lit(0.0))), 9)
-    pairs = q.where("__n is not null").join(refs, bucket).select(F.col(query_id).cast("long").alias("query"), d.alias("d"), F.col("__tid").cast("long").alias("neighbour"), F.col("__y").cast("double").alias("y"))
-    near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "neighbour"))).where(F.col("rank") <= k)
-    own = mean_posterior(near).withColumn("source", F.lit("bucket"))
     vec = lambda df: df.withColumn("vec", F.array(*[F.col(c).cast("double") for c in columns]))
-    rest = vec(q.where("__n is null"))
+    t = cap_buckets(train, bucket, train_id, most)
+    known = t.groupBy(bucket).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(bucket)
+    own_t = vec(t).select(F.col(train_id).cast("long").alias("tid"), F.col(label).cast("double").alias("y"), F.col("vec").alias("tv"), F.col(bucket).alias("cell"))
+    own_q = vec(queries.join(known, bucket, "left_semi")).select(F.col(query_id).cast("long").alias("qid"), F.col("vec").alias("qv"), F.col(bucket).alias("cell"))
+    own = mean_posterior(_ranked(_meet(own_t, own_q, k, [], 0.0, 9), k)).withColumn("source", F.lit("bucket"))
+    rest = vec(queries.join(known, bucket, "left_anti"))
     other = mean_posterior(nearest(vec(t).withColumn("y", F.col(label)), rest, k, train_id, query_id, digits=9)).withColumn("source", F.lit("global"))
     return own.unionByName(other)
 
@@ -173,7 +228,7 @@ class PosteriorBuffer:
         """``order`` must rise from batch to batch."""
         all_ = batch if self.rows is None else self.rows.unionByName(batch)
         rank = F.desc(order) if self.policy == "sliding" else F.md5(F.col(order).cast("string"))
-        kept = all_.orderBy(rank, order).limit(self.size)
+        kept = written(all_.orderBy(rank, order).limit(self.size), "buffer")
         n = self.since + batch.count()
         interval = max(1, self.interval // 2) if drift else self.interval
         rebuild = drift or n >= interval or self.frozen is None

@@ -258,8 +258,8 @@ def swarm(fitness: Callable[[np.ndarray], np.ndarray], layers: int, params: Swar
 
 
 def learn_thresholds(df: DataFrame, levels: list[str], label: str, params: SwarmParams = SwarmParams(), measure: ObjectiveParams = ObjectiveParams(), start: np.ndarray | None = None) -> SwarmResult:
-    """Swarm over the three-way objective. All particles of a round share one aggregation over the rows, which are rounded to a 1/1000 grid and counted first."""
-    cells = df.groupBy(F.col(label).alias(label), *[F.round(c, 3).alias(c) for c in levels]).agg(F.count("*").alias("__n")).persist()
+    """Swarm over the three-way objective. All particles of a round share one aggregation over the rows; equal rows are counted first."""
+    cells = df.groupBy(label, *levels).agg(F.count("*").alias("__n")).persist()
     layers = len(levels) - 1
 
     def fitness(x: np.ndarray) -> np.ndarray:

@@ -8,8 +8,6 @@ over them, so lineage stays short.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Row
@@ -21,6 +19,7 @@ from trivane.operators.drift import DriftState, DriftThresholds, next_level, psi
 from trivane.operators.encoding import z_scores
 from trivane.operators.metrics import METRICS, classification_metrics, yearly
 from trivane.operators.posterior import KernelParams, kernel_posterior, nearest
+from trivane.operators.steps import written
 from trivane.operators.thresholds import Grid, ema_clip, enforce_gap, limit_range, select_alpha_beta
 from trivane.operators.windows import SeasonWeights, drift_multiplier, plan_years, record_weight
 
@@ -60,21 +59,9 @@ class FlowResult:
     windows: list[int] = field(default_factory=list)
 
 
-def _write(df: DataFrame, label: str) -> DataFrame:
-    """A copy in the shared folder of spark.checkpoint.dir (a local one where that is unset)."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def enrich(rows: DataFrame, config: FlowConfig, warmup: list[int]) -> DataFrame:
     """Buckets by period, and g: the neighbours' posterior learnt from the warm-up years."""
-    bucketed = _write(assign_buckets(rows, config.buckets, ["period_idx"]), "rows")
+    bucketed = written(assign_buckets(rows, config.buckets, ["period_idx"]), "rows")
     return with_posterior(bucketed, bucketed.where(F.col("year").isin(warmup)), config)
 
 
@@ -83,7 +70,7 @@ def with_posterior(data: DataFrame, train: DataFrame, config: FlowConfig) -> Dat
     vec = lambda df: df.withColumn("vec", F.array(*[F.col(c).cast("double") for c in config.numeric]))
     near = nearest(vec(train), vec(data), config.k, "row_id", "row_id", label="label", categories=list(config.categories))
     g = kernel_posterior(near, config.kernel).select(F.col("query").alias("row_id"), F.when(~F.isnan("p"), F.col("p")).alias("g"))
-    return _write(data.drop("g").join(g, "row_id", "left").withColumn("g", F.coalesce("g", F.lit(0.5))), "rows")
+    return written(data.drop("g").join(g, "row_id", "left").withColumn("g", F.coalesce("g", F.lit(0.5))), "rows")
 
 
 def run_flow(rows: DataFrame, config: FlowConfig) -> FlowResult:
@@ -131,7 +118,7 @@ def run_flow(rows: DataFrame, config: FlowConfig) -> FlowResult:
         e = similarity_to_references(block, refs, "row_id", numeric, config.categories, state.sigma)
         p, n, b = three_way("e_pos", "e_neg")
         scored = block.select("row_id", "label", "year").join(e, "row_id").withColumns({"p_pos": p, "p_neg": n, "p_bnd": b})
-        probs[now] = current = _write(scored, "probs")
+        probs[now] = current = written(scored, "probs")
         use = replace(grid, gap=state.keep_gap, max_bnd=min(grid.max_bnd, state.bnd_cap) if grid.max_bnd < 1 else grid.max_bnd)
         found = select_alpha_beta(current, use).first()
         note = "ok" if found["feasible_count"] else "infeasible"

@@ -25,6 +25,7 @@ from trivane.operators import posterior as P
 from trivane.operators import thresholds as H
 from trivane.operators import threeway as W
 from trivane.operators import windows as T
+from trivane.operators.steps import shared_dir
 from trivane.plans import baselines, dynamic, flow
 from trivane.sources import tables
 from trivane.streaming import live
@@ -94,6 +95,26 @@ def s4(spark, d):
     return tables.synthetic(spark, 12_000, 32).groupBy("label").agg(F.count("*").alias("n"), F.avg("feat_00").alias("mean"))
 
 
+@query("s3_csv_round_trip", "SELECT count(*) AS n, round(sum(dist), 4) AS dist, count(DISTINCT carrier) AS carriers FROM flights")
+def s3(spark, d):
+    """Written as CSV by the sink (s5) and read back by the source, which finds the delimiter."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    tables.write_csv(flights(spark, d).select("row_id", "dist", "carrier"), path, single=False)
+    return tables.read_csv(spark, path).agg(F.count("*").alias("n"), F.round(F.sum("dist"), 4).alias("dist"), F.count_distinct("carrier").alias("carriers"))
+
+
+@query("s2_arff", "SELECT carrier, count(*) AS n, round(sum(delay), 4) AS delay FROM flights GROUP BY carrier")
+def s2(spark, d):
+    """An ARFF file of the table in the shared folder, read back by the source."""
+    path = f"{shared_dir(spark)}/arff-{uuid.uuid4().hex}"
+    rows = flights(spark, d)
+    head = spark.createDataFrame([(f"@relation flights\n@attribute row_id numeric\n@attribute carrier {{{', '.join(repr(r[0]) for r in rows.select('carrier').distinct().orderBy('carrier').limit(100).collect())}}}\n@attribute delay numeric\n@data",)], "value string")
+    body = rows.select(F.concat_ws(",", "row_id", F.concat(F.lit("'"), "carrier", F.lit("'")), "delay").alias("value"))
+    head.coalesce(1).write.text(f"{path}/0")
+    body.write.text(f"{path}/1")
+    return tables.read_arff(spark, f"{path}/0", f"{path}/1").groupBy("carrier").agg(F.count("*").alias("n"), F.round(F.sum("delay"), 4).alias("delay"))
+
+
 @query("s8_config", "SELECT * FROM (VALUES ('GWB.k', '10'), ('S3WD.sigma', '2.5'), ('S3WD.penalty_large', '100.0'), ('PSO.particles', '28'), ('DATA.threshold', '15')) t(name, value)")
 def s8(spark, d):
     c = tables_config()
@@ -237,12 +258,12 @@ def e10(spark, d):
 
 
 @query("e11_first_seen_codes", """
-WITH c AS (SELECT carrier || '/' || priority AS v, min(row_id) AS f FROM flights WHERE year <= 1996 AND row_id % 3 = 0 GROUP BY 1),
+WITH c AS (SELECT carrier || '/' || priority AS v, min(row_id) AS f FROM flights WHERE year <= 1995 GROUP BY 1),
 k AS (SELECT v, row_number() OVER (ORDER BY f) - 1 AS code FROM c)
 SELECT row_id, CAST(coalesce(code, (SELECT count(*) FROM k)) AS INT) AS v_enc, CAST(coalesce(code, -1) AS INT) AS v_strict FROM flights LEFT JOIN k ON v = carrier || '/' || priority""")
 def e11(spark, d):
     df = flights(spark, d).withColumn("v", F.concat_ws("/", "carrier", "priority"))
-    codes = E.first_seen_codes(df.where("year <= 1996 and row_id % 3 = 0"), "v", "row_id")
+    codes = E.first_seen_codes(df.where("year <= 1995"), "v", "row_id")
     out = E.apply_codes(E.apply_codes(df, "v", codes), "v", codes, unseen=-1, suffix="_strict")
     return out.select("row_id", "v_enc", "v_strict")
 
@@ -408,10 +429,18 @@ def a13(spark, d):
     return D.ks_distance(df.where("year <= 1996"), df.where("year > 1996"), "dist").select(*r6("ks"))
 
 
-@query("a14_monitor")
+_PSI_Q = """
+WITH q AS (SELECT unnest(quantile_cont({0}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS e FROM flights WHERE year <= 1996), u AS (SELECT DISTINCT e FROM q),
+k AS (SELECT e AS lo, lead(e) OVER (ORDER BY e) AS hi, row_number() OVER (ORDER BY e DESC) = 2 AS last FROM u), kk AS (SELECT * FROM k WHERE hi IS NOT NULL),
+s AS (SELECT lo, (SELECT count(*) FROM flights WHERE year <= 1996 AND {0} >= lo AND ({0} < hi OR last AND {0} <= hi)) / (SELECT count(*) FROM flights WHERE year <= 1996) AS x,
+  (SELECT count(*) FROM flights WHERE year > 1996 AND {0} >= lo AND ({0} < hi OR last AND {0} <= hi)) / (SELECT count(*) FROM flights WHERE year > 1996) AS y FROM kk)
+SELECT round(sum((CASE WHEN y = 0 THEN 1e-6 ELSE y END - CASE WHEN x = 0 THEN 1e-6 ELSE x END) * ln(CASE WHEN y = 0 THEN 1e-6 ELSE y END / CASE WHEN x = 0 THEN 1e-6 ELSE x END)), 6) AS psi FROM s"""
+
+
+@query("a14_monitor", " UNION ALL ".join(f"""SELECT '{c}' AS "column", ({_KS.format(c, "")}) AS ks, ({_PSI_Q.format(c)}) AS psi""" for c in ("dist", "p", "delay")))
 def a14(spark, d):
     df = flights(spark, d)
-    return D.monitor(df.where("year <= 1996"), df.where("year > 1996"), ["dist", "p", "delay"])
+    return D.monitor(df.where("year <= 1996"), df.where("year > 1996"), ["dist", "p", "delay"]).select("column", *r6("ks", "psi"))
 
 
 _METRICS = """
@@ -559,12 +588,12 @@ def m7(spark, d):
 
 
 @query("j5_bucket_posterior", """
-WITH t AS (SELECT *, count(*) OVER (PARTITION BY origin) AS c FROM flights WHERE year <= 1997 QUALIFY row_number() OVER (PARTITION BY origin ORDER BY md5(CAST(row_id AS VARCHAR) || '|0'), row_id) <= 30), q AS (SELECT * FROM flights WHERE year = 1999 AND month = 3),
+WITH t AS (SELECT *, count(*) OVER (PARTITION BY origin) AS c FROM flights WHERE year <= 1997 QUALIFY row_number() OVER (PARTITION BY origin ORDER BY md5(CAST(row_id AS VARCHAR) || '|0'), row_id) <= 50000), q AS (SELECT * FROM flights WHERE year > 1997),
 n AS (SELECT q.row_id, t.label, round(sqrt((q.p1 - t.p1) * (q.p1 - t.p1) + (q.delay - t.delay) * (q.delay - t.delay)), 9) AS d, t.row_id AS i FROM q JOIN t USING (origin) QUALIFY row_number() OVER (PARTITION BY q.row_id ORDER BY d, t.row_id) <= 5)
 SELECT row_id AS query, round(avg(label), 6) AS p, 'bucket' AS source FROM n GROUP BY row_id""")
 def j5(spark, d):
     df = flights(spark, d)
-    out = P.nearest_in_bucket(df.where("year <= 1997"), df.where("year = 1999 and month = 3"), 5, "row_id", "row_id", "origin", ["p1", "delay"], "label", least=5, most=30)
+    out = P.nearest_in_bucket(df.where("year <= 1997"), df.where("year > 1997"), 5, "row_id", "row_id", "origin", ["p1", "delay"], "label", least=5)
     return out.select("query", *r6("p"), "source")
 
 
@@ -574,17 +603,13 @@ def _baseline_rows(spark, d, rows="true"):
 
 
 @query("m9_kernel_baseline", f"""
-WITH f AS (SELECT * FROM flights WHERE row_id % 7 = 0), cc AS (SELECT carrier, row_number() OVER (ORDER BY min(row_id)) - 1 AS code FROM f WHERE year <= 1997 GROUP BY carrier), v AS (SELECT f.*, coalesce(code, -1) AS code FROM f LEFT JOIN cc USING (carrier)),
-n AS (SELECT q.row_id, q.year, q.label AS ql, t.label, round(sqrt((q.p1 - t.p1) ** 2 + (q.p3 - t.p3) ** 2 + (q.code - t.code) ** 2), 12) AS d FROM v q JOIN v t ON t.year <= 1997 WHERE q.year > 1997 QUALIFY row_number() OVER (PARTITION BY q.row_id ORDER BY d, t.row_id) <= 10),
-h AS (SELECT *, greatest(max(d) OVER (PARTITION BY row_id), 1e-6) AS h FROM n), w AS (SELECT row_id, year, ql, label, exp(-(d / h) * (d / h) / 2) AS w FROM h),
-ss AS (SELECT row_id, year, ql AS label, least(greatest((sum(w * label) + 1) / (sum(w) + 2), 0.01), 0.99) AS s FROM w GROUP BY ALL), d AS (SELECT year, label, round(s, 9) AS s, CAST(s >= 0.5 AS INT) AS pred FROM ss), {_METRICS.format(k='year')} SELECT year, n_samples, {_ROUNDED} FROM m""")
+WITH cc AS (SELECT carrier, row_number() OVER (ORDER BY min(row_id)) - 1 AS code FROM flights WHERE year <= 1997 GROUP BY carrier), v AS (SELECT f.*, coalesce(code, -1) AS code FROM flights f LEFT JOIN cc USING (carrier)),
+b AS (SELECT q.row_id, q.year, q.label AS ql, min({{'d': round(sqrt((q.p1 - t.p1) * (q.p1 - t.p1) + (q.p3 - t.p3) * (q.p3 - t.p3) + (q.code - t.code) * (q.code - t.code)), 12), 'i': t.row_id, 'y': t.label}}, 10) AS near FROM v q JOIN v t ON t.year <= 1997 WHERE q.year > 1997 GROUP BY ALL),
+n AS (SELECT row_id, year, ql, unnest(near) AS x FROM b), h AS (SELECT row_id, year, ql, x.d AS d, x.y AS label, greatest(max(x.d) OVER (PARTITION BY row_id), 1e-6) AS h FROM n), w AS (SELECT row_id, year, ql, label, exp(-(d / h) * (d / h) / 2) AS w FROM h),
+ss AS (SELECT row_id, year, ql AS label, least(greatest((sum(w * label) + 1) / (sum(w) + 2), 0.01), 0.99) AS s FROM w GROUP BY ALL), d AS (SELECT year, label, round(s, 9) AS s, CAST(round(s, 9) >= 0.5 AS INT) AS pred FROM ss), {_METRICS.format(k='year')} SELECT year, n_samples, {_ROUNDED} FROM m""")
 def m9(spark, d):
-    warm = [1992, 1993, 1994, 1995, 1996, 1997]
-    df = _baseline_rows(spark, d, "row_id % 7 = 0")
-    train, test = df.where(F.col("year").isin(warm)), df.where(~F.col("year").isin(warm))
-    p = P.kernel_posterior(P.nearest(train.withColumn("y", F.col("label")), test, 10, "row_id", "row_id")).withColumn("p", F.round("p", 9))
-    scored = test.select(F.col("row_id").alias("query"), "year", "label").join(p, "query").withColumn("predicted", (F.col("p") >= 0.5).cast("int"))
-    return M.classification_metrics(scored, ["year"], "label", "predicted", "p").select("year", "n_samples", *r6(*M.METRICS))
+    rows = _baseline_rows(spark, d)
+    return baselines.kernel_baseline(rows, [1992, 1993, 1994, 1995, 1996, 1997], "year", "label", "row_id").select("year", "n_samples", *r6(*M.METRICS))
 
 
 @query("m8_boosted_baseline")
@@ -621,6 +646,13 @@ def b4(spark, d):
     return B.assign_fine(df, known, "origin", "slot").groupBy("bucket").agg(F.count("*").alias("n"))
 
 
+@query("f6_bucket_mask", "SELECT row_id, CASE WHEN dep // 600 = 1 THEN 'slot' ELSE 'coarse' END AS kind FROM flights WHERE origin = 3 UNION ALL SELECT row_id, 'slot again' FROM flights WHERE origin = 3 AND dep // 600 = 1")
+def f6(spark, d):
+    df = flights(spark, d).withColumn("slot", F.floor(F.col("dep") / 600).cast("int"))
+    whole = B.bucket_mask(df, "3__COARSE", "origin", "slot").select("row_id", F.when(F.col("slot") == 1, "slot").otherwise("coarse").alias("kind"))
+    return whole.union(B.bucket_mask(df, "3__slot1", "origin", "slot").select("row_id", F.lit("slot again")))
+
+
 _REFS = """
 WITH s AS (SELECT row_id, origin AS bucket_id, carrier, p1, p3, label, CASE WHEN label = 1 THEN 'pos' ELSE 'neg' END AS side, least(greatest(1 + (row_id % 5) / 2.0, 1e-6), 10) AS weight, p FROM flights WHERE year <= 1996),
 c AS (SELECT *, weight * CASE WHEN label = 1 THEN greatest(p, 1e-6) ELSE greatest(1 - p, 1e-6) END AS score FROM s),
@@ -645,12 +677,12 @@ def b7(spark, d):
     return B.combine_history(r, r.where("rank <= 7"), 0.4).groupBy("bucket_id", "side").agg(F.count("*").alias("n"))
 
 
-@query("j1_similarity_to_references", _REFS + """, x AS (SELECT row_id, origin AS bucket_id, carrier, p1, p3 FROM flights WHERE year = 1999),
+@query("j1_similarity_to_references", _REFS + """, x AS (SELECT row_id, origin AS bucket_id, carrier, p1, p3 FROM flights WHERE year > 1996),
 sm AS (SELECT x.row_id, side, weight, exp(-((x.p1 - r.p1) ** 2 + (x.p3 - r.p3) ** 2) / (2 * 0.5 * 0.5)) * CASE WHEN x.carrier = r.carrier THEN 1 ELSE 0 END AS sim FROM x JOIN r USING (bucket_id)),
 e AS (SELECT row_id, sum(sim * weight) FILTER (side = 'pos') / sum(weight) FILTER (side = 'pos') AS a, sum(sim * weight) FILTER (side = 'neg') / sum(weight) FILTER (side = 'neg') AS b FROM sm GROUP BY row_id)
 SELECT x.row_id, round(coalesce(a, 0), 6) AS e_pos, round(coalesce(b, 0), 6) AS e_neg FROM x LEFT JOIN e USING (row_id)""")
 def j1(spark, d):
-    rows = flights(spark, d).where("year = 1999").withColumn("bucket_id", F.col("origin"))
+    rows = flights(spark, d).where("year > 1996").withColumn("bucket_id", F.col("origin"))
     return B.similarity_to_references(rows, _refs(spark, d), "row_id", ["p1", "p3"], {"carrier": 1.0}, 0.5).select("row_id", *r6("e_pos", "e_neg"))
 
 
@@ -675,6 +707,11 @@ def h1(spark, d):
     return spark.createDataFrame([(a, b) for a in H.grid_range(0.5, 0.92, 0.025) for b in H.grid_range(0.4, 0.0, 0.02)], "alpha double, beta double")
 
 
+@query("h4_limited_grid", f"SELECT a AS alpha FROM unnest({list(_GRID.alphas)}) x(a) WHERE abs(a - 0.7) <= 0.05 + 1e-12")
+def h4(spark, d):
+    return spark.createDataFrame([(a,) for a in H.limit_range(H.grid_range(0.92, 0.5, 0.025), 0.7, 0.05)], "alpha double")
+
+
 @query("h2_select_alpha_beta", _PAIRS + "SELECT year, max(a) FILTER (r = 1) AS alpha, max(b) FILTER (r = 1) AS beta, round(max(score) FILTER (r = 1), 6) AS best, round(max(score) FILTER (r = 2), 6) AS second, CAST(count(*) AS INT) AS feasible_count FROM f GROUP BY year")
 def h2(spark, d):
     return H.select_alpha_beta(_probs(spark, d), _GRID, ["year"], digits=9).select("year", "alpha", "beta", *r6("best", "second"), "feasible_count")
@@ -762,11 +799,12 @@ def d3(spark, d):
 
 
 @query("d3_adwin_cut", """
-WITH o AS (SELECT row_number() OVER (ORDER BY event_id) AS k, sum(x) OVER (ORDER BY event_id) AS s, count(*) OVER () AS n, sum(x) OVER () AS t FROM (SELECT event_id, value / 100 + CASE WHEN event_id % 1000 > 600 THEN 1 ELSE 0 END AS x FROM events WHERE event_id < 1000)),
+WITH o AS (SELECT row_number() OVER (ORDER BY event_id) AS k, sum(x) OVER (ORDER BY event_id) AS s, count(*) OVER () AS n, sum(x) OVER () AS t FROM (SELECT event_id, value / 100 + CASE WHEN event_id * 5 > 3 * (SELECT max(event_id) FROM events) THEN 1 ELSE 0 END AS x FROM events)),
 g AS (SELECT k, n, abs(s / k - (t - s) / (n - k)) AS gap FROM o WHERE k >= 5 AND n - k >= 5), m AS (SELECT k, gap, gap - sqrt(0.5 * (1.0 / k + 1.0 / (n - k)) * ln(2 / 0.002)) AS margin FROM g)
 SELECT k AS n_left, round(gap, 6) AS gap, round(margin, 6) AS margin FROM m WHERE margin > 0 ORDER BY round(margin, 12) DESC, k LIMIT 1""")
 def d3c(spark, d):
-    e = read(spark, d, "events").where("event_id < 1000").withColumn("x", F.col("value") / 100 + F.when(F.col("event_id") % 1000 > 600, 1).otherwise(0))
+    e = read(spark, d, "events")
+    e = e.join(F.broadcast(e.agg(F.max("event_id").alias("last"))), F.lit(True)).withColumn("x", F.col("value") / 100 + F.when(F.col("event_id") * 5 > F.col("last") * 3, 1).otherwise(0))
     return D.adwin_cut(e, ["event_id"], "x").select("n_left", *r6("gap", "margin"))
 
 
@@ -867,6 +905,15 @@ def t9(spark, d):
     return buffer.predict(q, 10, "vec_id", "vec_id")
 
 
+@query("t10_reservoir_posterior")
+def t10(spark, d):
+    t, q = _vectors(spark, d)
+    buffer = P.PosteriorBuffer(size=200, interval=100, policy="reservoir")
+    for part in range(3):
+        buffer = buffer.add(t.where(F.col("vec_id") % 3 == part).withColumn("o", F.lit(part * 1_000_000) + F.col("vec_id")), "o", drift=part == 2)
+    return buffer.predict(q, 10, "vec_id", "vec_id")
+
+
 @query("o_top_per_group", "SELECT origin, row_id, dist FROM flights QUALIFY row_number() OVER (PARTITION BY origin ORDER BY dist DESC, row_id) <= 5")
 def o2(spark, d):
     w = Window.partitionBy("origin").orderBy(F.desc("dist"), "row_id")
@@ -887,11 +934,12 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run_stream(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that is there now, as a table in memory (results of these queries are small)."""
-    table = f"{name}_{uuid.uuid4().hex[:8]}"
-    q = stream.writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True).start()
+    """All that is there now, written to the shared folder and read back. Complete results are one batch, that of the last epoch."""
+    path = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    put = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/epoch={epoch}")
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(table)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 @query("d1_kswin_stream")

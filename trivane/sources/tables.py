@@ -45,19 +45,26 @@ def arff_schema(header: list[str]) -> T.StructType:
     return T.StructType(out)
 
 
-def read_arff(spark: SparkSession, path: str, header_lines: int = 10_000) -> DataFrame:
-    """Dense ARFF: the header is read on the driver, the rows by tasks. '?' is null, quotes around nominal values go."""
+def read_arff(spark: SparkSession, path: str, rows: str | None = None, header_lines: int = 10_000) -> DataFrame:
+    """Dense ARFF: the header is read on the driver, the rows by tasks. '?' is null, quotes around nominal values go.
+
+    ``rows`` is where the rows are if not behind the header in the same file. A header of more than
+    ``header_lines`` lines is an error.
+    """
     lines = spark.read.text(path)
     header = []
     for r in lines.limit(header_lines).toLocalIterator():
         header.append(r.value)
         if r.value.strip().lower().startswith("@data"):
             break
+    else:
+        raise ValueError(f"no @data in the first {header_lines} lines of {path}")
+    lines = spark.read.text(rows) if rows else lines
     schema = arff_schema(header)
     texts = ", ".join(f"`{f.name}` string" for f in schema.fields)
     options = {"quote": "'", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-    rows = lines.where(~F.trim("value").rlike(r"^(@|%|$)"))
-    parsed = rows.select(F.from_csv("value", texts, options).alias("r")).select("r.*")
+    data = lines.where(~F.trim("value").rlike(r"^(@|%|$)"))
+    parsed = data.select(F.from_csv("value", texts, options).alias("r")).select("r.*")
     value = lambda f: F.when(F.col(f"`{f.name}`") != "?", F.col(f"`{f.name}`"))
     return parsed.select(*[(value(f).try_cast("double") if isinstance(f.dataType, T.DoubleType) else value(f)).alias(f.name) for f in schema.fields])
 
