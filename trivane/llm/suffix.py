@@ -30,6 +30,8 @@ from trivane.llm.wordhash import _BYTE, mix, powers, text_chunks
 #: Bytes of a gram; the position bits of an ordering value; runs settled together before the shuffle;
 #: runs of a bucket that is not split; bytes of a block; bytes compared at once.
 GRAM, POSITION, LOT, MOST_RUNS, BLOCK, COMPARED = 20, 28, 1 << 18, 1 << 16, 1 << 22, 1 << 20
+#: Shares of the buckets that are sorted one after the other.
+SHARES = 2
 #: Hot buckets that go to all tasks at once (16 bytes each); more are joined.
 FEW = 1 << 20
 #: Where a run is: 24 bits that tell texts under one id apart, 31 of its first byte, 8 of its number of suffixes.
@@ -378,7 +380,10 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     fetched = materialise(_fetch(read, wanted, length), "runs")
     first = F.shiftright("at", START).bitwiseAND(F.lit((1 << TEXT - START) - 1))
     whole = opened.where("end > 0").select("doc", F.shiftright("at", TEXT).alias("mark"), first.alias("start"), "end")
-    found = materialise(whole.union(_sorted_blocks(fetched, length)), "found")
+    found = materialise(whole, "found")
+    for share in range(SHARES):  # one after the other, so that the shuffle of one is gone before the next
+        own = fetched.where(F.pmod("key", F.lit(SHARES)) == share)
+        found = found.union(materialise(_sorted_blocks(own, length), "found"))
     for done in (opened, hot, fetched):
         discard(done)
     return found
