@@ -279,9 +279,11 @@ def components(n, pairs):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_classes_by_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, small, held", [(256, 64, 1 << 18), (2, 2, 1 << 18), (256, 3, 10)])
+def test_classes_by_brute_force(spark, monkeypatch, block, small, held):
     monkeypatch.setattr(jaccard, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "HELD", held)
     texts = sample(200, 3)
     sets = [shingles(t) for t in texts]
     pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
@@ -297,6 +299,37 @@ def test_classes_edge_cases(spark, odd):
     assert jaccard.jaccard_classes(odd.where("false")).count() == 0
 
 
+def test_prefixes_are_shortened_until_the_target_is_met():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        sizes = np.sort(rng.integers(1, 500, (rng.integers(1, 17), 4)), axis=1)[:, ::-1]
+        d = jaccard.shortened(sizes, 16, 0.8, 0.999, 6, 3)
+        miss = np.prod(1 - 0.8**d) * (1 - 0.8**3) ** (16 - len(d))
+        assert miss <= 0.001 and all(3 <= x <= 6 for x in d)
+    hot = np.full((16, 4), 10_000)
+    d = jaccard.shortened(hot, 16, 0.8, 0.999, 6, 3)
+    assert 3 < d.mean() < 6 and jaccard.shortened(hot // 1000, 16, 0.8, 0.999, 6, 3).tolist() == [3] * 16
+    # One step less of any tree would miss the target.
+    assert all(np.prod(1 - 0.8 ** np.where(np.arange(16) == k, d + 1, d)) > 0.001 for k in np.flatnonzero(d < 6)[-1:])
+
+
+def test_pairs_at_the_threshold_are_found_in_hot_nodes(spark, monkeypatch):
+    """Copies of one text with a few changed words: all trees are hot, and links are found all the same."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    rng = random.Random(30)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for k in rng.sample(range(120), rng.choice([0, 1, 2])):
+            w[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    pairs = {(i, j) for i in range(120) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
+    got = {r.doc_id: r.n_links for r in jaccard.jaccard_classes(docs_of(spark, texts)).collect()}
+    assert sum(got.values()) >= 0.995 * 2 * len(pairs) and len(pairs) > 1000
+
+
 def test_forest_depth_meets_the_target():
     d = jaccard.forest_depth(0.8, 16, 0.999, 8)
     assert 1 - (1 - 0.8**d) ** 16 >= 0.999 and 1 - (1 - 0.8 ** (d + 1)) ** 16 < 0.999
