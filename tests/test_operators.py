@@ -257,6 +257,42 @@ def test_config_mixes_grouped_and_flat_keys():
         config.from_dict({"label_col": "a", "continuous_label": "b", "threshold": 1})
 
 
+def test_config_sections_become_components():
+    c = config.from_dict({"DRIFT": {"method": "kswin", "window_size": 512, "stat_size": 128, "cooldown": 7}, "DYN": {"strategy": "windowed_pso", "stall_rounds": 16}, "INCR": {"buffer_size": 100, "cache_strategy": "reservoir", "min_rebuild_interval": 9}, "PSO": {"particles": 28, "iters": 5}})
+    x = config.components(c)
+    assert (x.detector.config.window, x.detector.config.stat, x.detector.config.cooldown) == (512, 128, 7) and x.swarm.particles == 28 and x.swarm.rounds == 5 and x.swarm.stall == 16
+    assert (x.updater.size, x.updater.policy, x.updater.least_interval) == (100, "reservoir", 9) and x.loop.strategy == "windowed_pso"
+    none = config.components(config.from_dict({}))
+    assert none.detector is None and none.updater is None and none.loop is None
+    with pytest.raises(ValueError):
+        config.from_dict({"DYN": {"strategy": "other"}})
+
+
+def test_levels_are_refined():
+    assert D.refined("S2", (0.01, 0.01, 0.0, 0.0)) == "NONE" and D.refined("S2", (0.1, 0.1, 0.01, 0.01)) == "S1"
+    assert D.refined("S2", (0.3, 0.1, 0.01, 0.01)) == "S2" and D.refined("S3", (0.0, 0.0, 0.0, 0.0)) == "S3"
+
+
+def test_a_users_estimator_takes_the_posteriors_place(spark):
+    rows = spark.range(10).select("id", F.col("id").alias("o"))
+    own = P.PosteriorBuffer(5, 1, estimator=lambda rows, queries, key: queries.where("id < 2").select(F.col(key).alias("query"), F.lit(0.25).alias("p")))
+    assert {r["query"]: r.p for r in own.add(rows, "o").predict(rows.where("id < 4"), 3, "id", "id").collect()} == {0: 0.25, 1: 0.25, 2: 0.5, 3: 0.5}
+
+
+def test_unknown_buckets_use_all_training_rows(spark):
+    from trivane.plans.buckets import BucketPlan, run_bucket_plan
+
+    rows = [(i, 2000 if i < 40 else 2001, "A" if i % 2 else "B", 0, float(i % 7), int(i % 3 == 0)) for i in range(60)] + [(99, 2001, "new", 0, 3.0, 1)]
+    df = spark.createDataFrame(rows, "id long, year int, airport string, slot int, x double, label int")
+    r = run_bucket_plan(df, BucketPlan("id", "label", "year", "airport", "slot", ("x",), (), (2000, 2000), (2001, 2001), 5, 5, 3))
+    got = {x["query"]: x for x in r.probabilities.collect()}
+    assert got[99].source == "global" and got[99].bucket == "new__COARSE" and {got[i].source for i in range(40, 60)} == {"bucket"}
+    for q, x, airport in ((99, 3.0, None), (41, 41 % 7, "A")):
+        near = sorted((abs(v - x), i, y) for i, year, a, _, v, y in rows if year == 2000 and airport in (None, a))[:3]
+        assert got[q].p == pytest.approx(sum(y for *_, y in near) / 3, abs=1e-9)
+    assert r.thresholds.columns[:3] == ["alpha", "beta", "score"]
+
+
 def test_csv_and_arff(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x;y;label\n1;2,5;yes\n3;4,5;no\n")
     assert tables.sniff_delimiter(spark, str(tmp_path / "a.csv")) == ";"
@@ -269,13 +305,17 @@ def test_csv_and_arff(spark, tmp_path):
     assert tables.read_csv(spark, str(tmp_path / "out")).count() == 2
 
 
-def test_flow_gives_a_row_for_each_streamed_period(spark, sf_dir):
+def test_flow_gives_a_row_for_each_streamed_period(spark, sf_dir, tmp_path):
     rows = quarters(spark, sf_dir).where("year <= 1997")
     r = flow.run_flow(rows, FLOW)
     n = rows.where("year > 1995").select("period_idx").distinct().count()
     m = r.window_metrics.collect()
     assert len(m) == n and all(x.alpha > x.beta for x in m) and all(x.psi >= 0 for x in m)
     assert {x.year for x in r.metrics_by_year.collect()} == {x.year for x in m}
+    assert all(0 <= x.mean_p_pos <= 1 and x.mean_e_pos is not None for x in m) and r.warmup_buckets.agg(F.sum("n_samples")).first()[0] == rows.where("year <= 1995").count()
+    flow.save(r, str(tmp_path))
+    assert {p.name for p in tmp_path.iterdir()} == set(flow.TABLES.values())
+    assert tables.read_csv(spark, f"{tmp_path}/window_metrics.csv").count() == n
 
 
 def test_flow_learns_its_posterior_from_all_training_rows(spark):

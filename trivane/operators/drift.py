@@ -244,6 +244,17 @@ def refine_level(level, psi, tv, posrate, perf_drop, dead=(0.05, 0.02, 0.01, 0.0
     return F.when(lv.isin("S1", "S2") & under(dead), "NONE").when((lv == "S2") & under(strong), "S1").otherwise(lv)
 
 
+#: Limits on psi, tv, shift of the rate and drop of F1 under which a level is refined.
+DEAD, STRONG = (0.05, 0.02, 0.01, 0.005), (0.25, 0.15, 0.05, 0.02)
+
+
+def refined(level: str, values: tuple[float, float, float, float], dead: tuple[float, ...] = DEAD, strong: tuple[float, ...] = STRONG) -> str:
+    """refine_level of one window."""
+    if level in ("S1", "S2") and all(v < x for v, x in zip(values, dead, strict=True)):
+        return "NONE"
+    return "S1" if level == "S2" and all(v < x for v, x in zip(values, strong, strict=True)) else level
+
+
 @dataclass(frozen=True)
 class DriftState:
     """Streaks of warnings and alerts, windows of cooldown left, and what reactions have changed."""

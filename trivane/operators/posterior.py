@@ -9,8 +9,8 @@ Neither side passes through the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -192,8 +192,8 @@ def cap_buckets(train: DataFrame, bucket: str, key: str, most: int, seed: int =
     return train.withColumn("__r", F.row_number().over(Window.partitionBy(bucket).orderBy(h, key))).where(F.col("__r") <= most).drop("__r")
 
 
-def nearest_in_bucket(train: DataFrame, queries: DataFrame, k: int, train_id: str, query_id: str, bucket: str, columns: list[str], label: str = "y", least: int = 1, most: int = 50_000) -> DataFrame:
-    """query, p, source ('bucket' or 'global'): mean label of the k nearest capped training rows of the query's bucket; of all capped rows if the bucket has fewer than ``least``.
+def nearest_in_bucket(train: DataFrame, queries: DataFrame, k: int, train_id: str, query_id: str, bucket: str, columns: list[str], label: str = "y", least: int = 1, most: int = 50_000, fallback: DataFrame | None = None) -> DataFrame:
+    """query, p, source ('bucket' or 'global'): mean label of the k nearest capped training rows of the query's bucket; of all capped rows (or of the rows in ``fallback``) if the bucket has fewer than ``least``.
 
     A bucket has at most ``most`` training rows. Buckets are the cells of the search, so both sides are split where a bucket is large.
     """
@@ -204,7 +204,7 @@ def nearest_in_bucket(train: DataFrame, queries: DataFrame, k: int, train_id: st
     own_q = vec(queries.join(known, bucket, "left_semi")).select(F.col(query_id).cast("long").alias("qid"), F.col("vec").alias("qv"), F.col(bucket).alias("cell"))
     own = mean_posterior(_ranked(_meet(own_t, own_q, k, [], 0.0, 9), k)).withColumn("source", F.lit("bucket"))
     rest = vec(queries.join(known, bucket, "left_anti"))
-    other = mean_posterior(nearest(vec(t).withColumn("y", F.col(label)), rest, k, train_id, query_id, digits=9)).withColumn("source", F.lit("global"))
+    other = mean_posterior(nearest(vec(t if fallback is None else fallback).withColumn("y", F.col(label)), rest, k, train_id, query_id, digits=9)).withColumn("source", F.lit("global"))
     return own.unionByName(other)
 
 
@@ -213,7 +213,8 @@ class PosteriorBuffer:
     """Training rows of a posterior that follows a stream: the newest ``size`` rows (sliding), or a keyed hash sample of all (reservoir).
 
     Brute-force search needs no index, so a rebuild is a new choice of rows. ``interval`` rows
-    between rebuilds shrink after drift.
+    between rebuilds shrink after drift. ``estimator`` (rows, queries, query id -> query, p) takes the place
+    of the neighbours' kernel posterior where a user has another one.
     """
 
     size: int = 8192
@@ -223,6 +224,9 @@ class PosteriorBuffer:
     since: int = 0
     rebuilds: int = 0
     frozen: DataFrame | None = field(default=None, repr=False)
+    shrink: float = 0.5
+    least_interval: int = 1
+    estimator: Callable[[DataFrame, DataFrame, str], DataFrame] | None = None
 
     def add(self, batch: DataFrame, order: str, drift: bool = False) -> PosteriorBuffer:
         """``order`` must rise from batch to batch."""
@@ -230,11 +234,13 @@ class PosteriorBuffer:
         rank = F.desc(order) if self.policy == "sliding" else F.md5(F.col(order).cast("string"))
         kept = written(all_.orderBy(rank, order).limit(self.size), "buffer")
         n = self.since + batch.count()
-        interval = max(1, self.interval // 2) if drift else self.interval
+        interval = max(self.least_interval, int(self.interval * self.shrink)) if drift else self.interval
         rebuild = drift or n >= interval or self.frozen is None
-        return PosteriorBuffer(self.size, self.interval, self.policy, kept, 0 if rebuild else n, self.rebuilds + rebuild, kept if rebuild else self.frozen)
+        return replace(self, rows=kept, since=0 if rebuild else n, rebuilds=self.rebuilds + rebuild, frozen=kept if rebuild else self.frozen)
 
     def predict(self, queries: DataFrame, k: int, train_id: str, query_id: str, params: KernelParams = KernelParams()) -> DataFrame:
         if self.frozen is None:
             raise ValueError("no rows yet")
+        if self.estimator is not None:
+            return with_default(queries, self.estimator(self.frozen, queries, query_id), query_id)
         return with_default(queries, kernel_posterior(nearest(self.frozen, queries, k, train_id, query_id), params), query_id)

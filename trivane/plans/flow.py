@@ -14,14 +14,15 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from trivane.functions.expressions import three_way
-from trivane.operators.bucketing import BucketConfig, ReferenceConfig, assign_buckets, reference_set, similarity_to_references
-from trivane.operators.drift import DriftState, DriftThresholds, next_level, psi_tv, react
+from trivane.operators.bucketing import BucketConfig, ReferenceConfig, assign_buckets, bucket_stats, reference_set, similarity_to_references
+from trivane.operators.drift import DEAD, STRONG, DriftState, DriftThresholds, next_level, psi_tv, react, refined
 from trivane.operators.encoding import z_scores
 from trivane.operators.metrics import METRICS, classification_metrics, yearly
 from trivane.operators.posterior import KernelParams, kernel_posterior, nearest
 from trivane.operators.steps import written
 from trivane.operators.thresholds import Grid, ema_clip, enforce_gap, limit_range, select_alpha_beta
 from trivane.operators.windows import SeasonWeights, drift_multiplier, plan_years, record_weight
+from trivane.sources.tables import write_csv
 
 
 @dataclass(frozen=True)
@@ -48,17 +49,34 @@ class FlowConfig:
     reset_after: int = 60
     factors: tuple[float, ...] = (0.9, 1.1)
     refit: bool = True
+    dead: tuple[float, float, float, float] = DEAD
+    strong: tuple[float, float, float, float] = STRONG
 
 
 @dataclass
 class FlowResult:
+    """The flow's tables; warmup_buckets counts the warm-up rows by bucket. Means of the similarities and probabilities are in window_metrics."""
+
     threshold_trace: DataFrame
     window_metrics: DataFrame
     drift_events: DataFrame
     metrics_by_year: DataFrame
+    warmup_buckets: DataFrame
     windows: list[int] = field(default_factory=list)
 
 
+#: What each window's mean is reported of.
+MEANS = ("e_pos", "e_neg", "p_pos", "p_neg", "p_bnd")
+#: File names of the tables that save() writes.
+TABLES = {"threshold_trace": "threshold_trace_v02.csv", "window_metrics": "window_metrics.csv", "drift_events": "drift_events.csv", "metrics_by_year": "yearly_metrics.csv", "warmup_buckets": "warmup_bucket_stats.csv"}
+
+
+def save(result: FlowResult, folder: str) -> None:
+    """Write the tables as CSV with headers, each as a folder of one part."""
+    for name, file in TABLES.items():
+        write_csv(getattr(result, name), f"{folder.rstrip('/')}/{file}")
+
+
 def enrich(rows: DataFrame, config: FlowConfig, warmup: list[int]) -> DataFrame:
     """Buckets by period, and g: the neighbours' posterior learnt from the warm-up years."""
     bucketed = written(assign_buckets(rows, config.buckets, ["period_idx"]), "rows")
@@ -121,24 +139,26 @@ def run_flow(rows: DataFrame, config: FlowConfig) -> FlowResult:
         probs[now] = current = written(scored, "probs")
         use = replace(grid, gap=state.keep_gap, max_bnd=min(grid.max_bnd, state.bnd_cap) if grid.max_bnd < 1 else grid.max_bnd)
         found = select_alpha_beta(current, use).first()
-        note = "ok" if found["feasible_count"] else "infeasible"
+        note = "ok" if found["feasible_count"] else "first window: raw solution"
         if not found["feasible_count"] and alpha is not None:
             near = replace(use, alphas=tuple(limit_range(list(use.alphas), alpha, config.search_radius)), betas=tuple(limit_range(list(use.betas), beta, config.search_radius)), max_bnd=1.0)
             again = select_alpha_beta(current, near).first()
-            note = "limited grid" if again["feasible_count"] else "previous"
+            relaxed = f"within {config.search_radius} of the last thresholds" + (f", deferred share over {use.max_bnd:g} allowed" if use.max_bnd < 1 else "")
+            note = f"limited grid: {relaxed}" if again["feasible_count"] else "previous thresholds: no pair is feasible"
             found = again if again["feasible_count"] else Row(**(found.asDict() | {"alpha": alpha, "beta": beta}))
         star = found["alpha"], found["beta"]
         alpha, beta = enforce_gap(ema_clip(star[0], alpha, config.ema, state.step_cap), ema_clip(star[1], beta, config.ema, state.step_cap), use.gap)
         cuts[now] = alpha, beta
         decided = current.withColumn("predicted", (F.col("p_pos") >= alpha).cast("int"))
         m = classification_metrics(decided, [], "label", "predicted", "p_pos").first()
-        extra = decided.agg(F.avg((F.col("p_pos") >= alpha).cast("double")).alias("cov"), F.avg(((F.col("p_pos") < alpha) & (F.col("p_pos") > beta)).cast("double")).alias("bnd"), F.avg("label").alias("rate"), F.max("year").alias("year")).first()
+        extra = decided.agg(F.avg((F.col("p_pos") >= alpha).cast("double")).alias("cov"), F.avg(((F.col("p_pos") < alpha) & (F.col("p_pos") > beta)).cast("double")).alias("bnd"), F.avg("label").alias("rate"), F.max("year").alias("year"), *[F.avg(c).alias(f"mean_{c}") for c in MEANS]).first()
         if baseline is None:
             baseline, base_rate, base_f1 = current, extra["rate"], m["F1"]
         shift = psi_tv(baseline, current, "p_pos").first()
         gap, drop = abs(extra["rate"] - base_rate), max(0.0, base_f1 - m["F1"])
         values = ((shift["psi"], config.drift.psi), (shift["tv"], config.drift.tv), (gap, config.drift.posrate), (drop, config.drift.perf_drop))
         level, state = next_level(state, max(2 if v >= hi else 1 if v >= lo else 0 for v, (lo, hi) in values), config.debounce)
+        level = refined(level, (shift["psi"], shift["tv"], gap, drop), config.dead, config.strong)
         quiet = 0 if level == "S3" else quiet + 1
         if quiet >= config.reset_after:
             level, quiet = "S3", 0
@@ -150,14 +170,15 @@ def run_flow(rows: DataFrame, config: FlowConfig) -> FlowResult:
                 data = with_posterior(data, data.where(F.col("period_idx") < now), config)
         year, season = int(extra["year"]), now % config.seasons + 1
         trace.append((now, index, year, season, *map(float, star), alpha, beta, _float(found["best"]), float(extra["bnd"]), float(extra["cov"]), note, _float(found["best"]), _float(found["second"]), _float(found["delta"]), int(found["feasible_count"] or 0)))
-        metrics.append((year, season, now, int(m["n_samples"]), *[_float(m[x]) for x in METRICS], float(shift["psi"]), float(shift["tv"]), gap, float(extra["rate"]), drop, float(extra["bnd"]), float(extra["cov"]), alpha, beta, note))
+        metrics.append((year, season, now, int(m["n_samples"]), *[_float(m[x]) for x in METRICS], float(shift["psi"]), float(shift["tv"]), gap, float(extra["rate"]), drop, float(extra["bnd"]), float(extra["cov"]), alpha, beta, note, *[_float(extra[f"mean_{c}"]) for c in MEANS]))
         if level != "NONE":
             events.append((now, level, float(shift["psi"]), float(shift["tv"]), gap, drop, f"sigma={state.sigma:.4f} keep={state.keep_ratio:.3f} cooldown={state.cooldown}"))
     num = lambda names: ", ".join(f"{x} double" for x in names)
     t = spark.createDataFrame(trace, f"window int, window_index int, year int, month int, {num(['alpha_star', 'beta_star', 'alpha_smoothed', 'beta_smoothed', 'objective_score', 'bnd_ratio', 'pos_coverage'])}, constraint_note string, {num(['grid_best_score', 'grid_second_score', 'grid_delta'])}, grid_feasible int")
-    w = spark.createDataFrame(metrics, f"year int, month int, window int, n_samples int, {num([*METRICS, 'psi', 'tv', 'posrate_gap', 'posrate', 'perf_drop', 'BND_ratio', 'POS_coverage', 'alpha', 'beta'])}, constraint_resolution string")
+    w = spark.createDataFrame(metrics, f"year int, month int, window int, n_samples int, {num([*METRICS, 'psi', 'tv', 'posrate_gap', 'posrate', 'perf_drop', 'BND_ratio', 'POS_coverage', 'alpha', 'beta'])}, constraint_resolution string, {num([f'mean_{c}' for c in MEANS])}")
     d = spark.createDataFrame(events, f"window int, level string, {num(['psi', 'tv', 'posrate_gap', 'perf_drop'])}, actions string")
-    return FlowResult(t, w, d, yearly(w), stream)
+    warm = bucket_stats(data.where(F.col("year").isin(list(plan.warmup))), "label")
+    return FlowResult(t, w, d, yearly(w), warm, stream)
 
 
 def _float(x) -> float | None:

@@ -26,7 +26,7 @@ from trivane.operators import thresholds as H
 from trivane.operators import threeway as W
 from trivane.operators import windows as T
 from trivane.operators.steps import shared_dir
-from trivane.plans import baselines, dynamic, flow
+from trivane.plans import baselines, buckets, dynamic, flow
 from trivane.sources import tables
 from trivane.streaming import live
 
@@ -969,6 +969,24 @@ def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLOW = flow.FlowConfig(("p1", "dist"), {"carrier": 1.0}, B.BucketConfig(("origin",), (), 5), B.ReferenceConfig(64, 0.8), seasons=4, history_cap=3, recent=2, k=5)
 
 
+@query("g1_bucket_plan", """
+WITH s AS (SELECT *, CAST(dep // 600 AS INT) AS slot FROM flights), tr AS (SELECT * FROM s WHERE year <= 1995), va AS (SELECT * FROM s WHERE year BETWEEN 1996 AND 1998),
+f AS (SELECT origin, slot FROM tr GROUP BY ALL HAVING count(*) >= 110),
+m AS (SELECT tr.*, tr.origin || '__slot' || tr.slot AS bucket FROM tr JOIN f USING (origin, slot) UNION ALL SELECT *, origin || '__COARSE' FROM tr),
+v AS (SELECT va.*, CASE WHEN f.slot IS NULL THEN va.origin || '__COARSE' ELSE va.origin || '__slot' || va.slot END AS bucket FROM va LEFT JOIN f USING (origin, slot)),
+b AS (SELECT v.row_id, v.year, v.label, min({'d': round(sqrt((v.p1 - m.p1) * (v.p1 - m.p1) + (v.delay - m.delay) * (v.delay - m.delay)), 9), 'i': m.row_id, 'y': m.label}, 7) AS near FROM v JOIN m USING (bucket) GROUP BY ALL),
+pr AS (SELECT row_id, year, label, round(avg(x.y), 9) AS p FROM (SELECT row_id, year, label, unnest(near) AS x FROM b) GROUP BY ALL),
+q AS (SELECT DISTINCT unnest(quantile_cont(p, [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])) AS c FROM pr),
+t AS (SELECT year, x.c AS alpha, y.c AS beta, sum(CASE WHEN label = 1 AND p >= x.c THEN 1.0 ELSE 0 END) AS tp, sum(CASE WHEN label = 0 AND p >= x.c THEN 1.0 ELSE 0 END) AS fp, sum(CASE WHEN label = 1 AND p < x.c THEN 1.0 ELSE 0 END) AS fn, sum(CASE WHEN label = 0 AND p < x.c THEN 1.0 ELSE 0 END) AS tn, avg(CASE WHEN p < x.c AND p > y.c THEN 1.0 ELSE 0 END) AS bnd
+  FROM pr, q x, q y WHERE x.c > y.c GROUP BY ALL),
+mm AS (SELECT year, alpha, beta, bnd, 2 * tp / (2 * tp + fp + fn) AS f1, (tp / (tp + fn) + tn / (tn + fp)) / 2 AS bac FROM t)
+SELECT round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(avg(f1) + avg(bac) - abs(avg(bnd) - 0.2) - var_pop(f1), 6) AS score FROM mm GROUP BY mm.alpha, mm.beta""")
+def g1(spark, d):
+    df = flights(spark, d).withColumn("slot", F.floor(F.col("dep") / 600).cast("int"))
+    plan = buckets.BucketPlan("row_id", "label", "year", "origin", "slot", ("p1", "delay"), (), (1992, 1995), (1996, 1998), 110, 1, 7)
+    return buckets.run_bucket_plan(df, plan).thresholds.select(*r6("alpha", "beta", "score"))
+
+
 @query("t11_rolling_flow")
 def t11(spark, d):
     return flow.run_flow(quarters(spark, d), FLOW).window_metrics
