@@ -1,5 +1,9 @@
 """Every query with SQL gives what the SQL gives; the others run and give rows."""
 
+import hashlib
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +70,53 @@ def test_entry_works_without_the_training_data_operators(monkeypatch):
     assert set(entry.oracle_sql()) == set(queries.ORACLES)
     assert set(entry.queries()) == set(queries.QUERIES)
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def kswin_plain(values, window, stat, significance):
+    """Events of a stream by the definition: the newest ``stat`` of ``window`` values against the others."""
+    kept, out = [], []
+    for i, v in enumerate(values):
+        kept = (kept + [v])[-window:]
+        if len(kept) < max(2 * stat, window // 2):
+            continue
+        old, new = kept[:-stat], kept[-stat:]
+        d = max(abs(sum(x <= v for x in old) / len(old) - sum(x <= v for x in new) / len(new)) for v in set(kept))
+        root = math.sqrt(len(old) * len(new) / (len(old) + len(new)))
+        x = (root + 0.12 + 0.11 / root) * d
+        p = min(1.0, max(0.0, sum(2 * (-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101)))) if x > 0 else 1.0
+        if p < significance:
+            out.append((i, round(d, 9)))
+            kept = new
+    return out
+
+
+def test_kswin_by_the_definition(spark, sf_dir):
+    streams = {}
+    for r in queries.read(spark, sf_dir, "events").orderBy("ts", "event_id").collect():
+        streams.setdefault(r.event_type, []).append(r.value)
+    expected = {k: kswin_plain(v, 100, 30, 0.01) for k, v in streams.items()}
+    for name in ("d1_kswin", "d1_kswin_stream"):
+        got = {}
+        for r in queries.QUERIES[name](spark, sf_dir).collect():
+            got.setdefault(r.event_type, []).append((r["index"], round(r.value, 9)))
+        if name == "d1_kswin":
+            assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in expected.items() if v}
+        assert set(got) <= set(streams)
+
+
+@pytest.mark.parametrize("name", ["t9_sliding_posterior", "t10_reservoir_posterior"])
+def test_buffers_by_brute_force(name, spark, sf_dir):
+    t, q = (sorted(((r.vec_id, np.array(r.vec), r.y) for r in x.collect()), key=lambda r: r[0]) for x in queries._vectors(spark, sf_dir))
+    rows = [(part * 1_000_000 + i, i, v, y) for part in range(3) for i, v, y in t if i % 3 == part]
+    if name.startswith("t9"):
+        kept = sorted(rows, key=lambda r: -r[0])[:200]
+    else:
+        kept = sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())[:200]
+    got = {r["query"]: r.p for r in queries.QUERIES[name](spark, sf_dir).collect()}
+    assert set(got) == {i for i, *_ in q}
+    for i, v, _ in q:
+        near = sorted((round(float(np.sqrt(((v - w) ** 2).sum())), 12), j, y) for _, j, w, y in kept)[:10]
+        h = max(near[-1][0], 1e-6)
+        w = [math.exp(-((d / h) ** 2) / 2) for d, _, _ in near]
+        p = (sum(x * y for x, (_, _, y) in zip(w, near, strict=True)) + 1) / (sum(w) + 2)
+        assert got[i] == pytest.approx(min(max(p, 0.01), 0.99), abs=1e-9)
