@@ -87,6 +87,14 @@ def test_chat_nulls_ties_and_no_rows(spark):
     assert chat.turns_from_rows(rows.where("false"), "c", "t", "r", "x").count() == 0
 
 
+def test_chat_long_texts_clashing_names_and_no_rows(spark):
+    long = "word </s> " * 40_000
+    df = spark.createDataFrame([(1, [("user", "q"), ("assistant", long)], "old", "old"), (1, [("user", "q"), ("assistant", long)], "old", "old"), (2, None, "old", "old")], "i int, turns array<struct<role: string, text: string>>, segments string, formatted string")
+    out = chat.format_chats(df).select("i", chat.parse_chats(F.col("formatted")).alias("back"), chat.loss_text(F.col("segments")).alias("loss")).orderBy("i").collect()
+    assert [r.loss for r in out[:2]] == [long, long] and out[0].back[1].text == long and len(out) == 3
+    assert chat.format_chats(df.where("false")).count() == 0 == chat.to_turns(df.where("false"), ["turns"]).count()
+
+
 # ---- 2 quality classifier --------------------------------------------------------------
 
 
@@ -115,6 +123,25 @@ def test_classifier_edge_cases(spark, odd):
     assert quality_gbt.quality_scores(odd.where("false"), none).count() == 0
 
 
+def test_classifier_with_repeated_ids_and_a_long_text(spark):
+    """More rows than may be learnt from, each id twice: both classes stay."""
+    texts = sample(80, 6) + ["long words of a text " * 20_000]
+    docs = docs_of(spark, texts).union(docs_of(spark, texts))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(81)], "doc_id long, quality int")
+    x, y = quality_gbt.labelled_statistics(docs, labels, "doc_id", "text", "quality", quality_gbt.Params(rows=60))
+    assert len(y) == 60 and 0 < y.sum() < 60
+    out = quality_gbt.quality_scores(docs, labels, params=quality_gbt.Params(rows=60, trees=5)).collect()
+    assert len(out) == 162 and all(0 <= r.score <= 1 for r in out)
+
+
+def test_statistics_by_plain_counts():
+    texts = ["", None, "One two, two.\nThree!\n\nOne two, two.", "AAAA bbbb 1234 ###"]
+    x = quality_gbt.statistics(texts)
+    assert x.shape == (4, len(quality_gbt.STATISTICS)) and np.isfinite(x).all() and (x[0] == x[1]).all()
+    again = quality_gbt.statistics(texts[2:] + texts[:2])
+    assert (np.vstack((again[2:], again[:2])) == x).all()
+
+
 def test_flat_trees_equal_plain_descent():
     rng = np.random.default_rng(0)
     x = rng.random((500, len(quality_gbt.STATISTICS)))

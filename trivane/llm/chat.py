@@ -170,7 +170,8 @@ def to_turns(records: DataFrame, fields: list[str] | None = None, layouts=LAYOUT
     """Add fingerprint string, layout string and turns array<struct<role, text>>.
 
     fields: the columns of the record (default: all). A row whose fingerprint no
-    layout has gets a null layout and no turns, so that callers can look at it.
+    layout has gets a null layout and no turns, so that callers can look at it. Columns of ``records`` named fingerprint, layout or turns
+    are replaced (turns may be the record's own); repeated rows stay; an empty table gives no rows.
     """
     fields = fields or records.columns
     schema = T.StructType([records.schema[f] for f in fields])
@@ -193,7 +194,12 @@ def read_json_records(lines: DataFrame, column: str = "value", layouts=LAYOUTS)
 
 
 def turns_from_rows(rows: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
-    """One record (key, turns) for each conversation kept as a row a turn, ordered by turn, then role and text."""
+    """One record (conv_id, turns) for each conversation kept as a row a turn, ordered by turn, then role and text.
+
+    Null turns come first, null roles and texts count as empty, rows with a null key are one conversation; repeated
+    rows are turns of their own; other columns are not looked at; an empty table gives no rows. A conversation is one value, so
+    it has to fit into a task's memory.
+    """
     packed = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.groupBy(F.col(key).alias("conv_id")).agg(F.sort_array(F.collect_list(packed)).alias("turns"))
 
@@ -220,7 +226,8 @@ def format_chats(chats: DataFrame) -> DataFrame:
 
     A turn is ``<s>role\\ntext</s>``, within ``[INST] `` and ``[/INST]`` unless the
     assistant speaks. Only the assistant's texts are under the loss mask. No
-    turns give an empty string. Null roles and texts count as empty.
+    turns give an empty string. Null roles and texts count as empty. Columns of ``chats`` named segments or formatted
+    are replaced; repeated rows stay; an empty table gives no rows.
     """
 
     def pieces(x):

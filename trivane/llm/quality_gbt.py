@@ -189,7 +189,10 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, id_col: str, text_co
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(x[:, j]) for j in range(x.shape[1])]], names=["__y", *STATISTICS])
 
     schema = ", ".join(f"`{c}` double" for c in ["__y", *STATISTICS])
-    rows = joined.mapInArrow(run, schema).orderBy("__y", *STATISTICS).limit(p.rows).toPandas().to_numpy(float).reshape(-1, 1 + len(STATISTICS))
+    # Ids that repeat give more rows; which of them stay hangs on a hash and not on the label.
+    columns = ["__y", *STATISTICS]
+    rows = joined.mapInArrow(run, schema).orderBy(F.xxhash64(*columns), *columns).limit(p.rows).toPandas().to_numpy(float).reshape(-1, len(columns))
+    rows = rows[np.lexsort(rows.T[::-1])]
     return rows[:, 1:], rows[:, 0]
 
 
