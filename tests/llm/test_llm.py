@@ -472,7 +472,7 @@ def test_lines_by_brute_force(spark, monkeypatch, small, cell):
                 own[at] = rng.choice(vocab)
             texts.append(" ".join(own) + "\nalone " + " ".join(rng.choices(vocab, k=8)) + "\n\nshort line")
     expected, share = line_groups(texts)
-    assert share > 0.9
+    assert share > 0.85
     docs = docs_of(spark, texts)
     assert {(r.doc, r.line): r.keep for r in fuzzy_lines.duplicate_lines(docs).collect()} == expected
     if cell == 2048:
