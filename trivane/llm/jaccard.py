@@ -172,14 +172,14 @@ def _matched(tries: DataFrame, trees: int, threshold: float, target: float, dept
                     label.append(r["p"][d - shortest])
             yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(at, pa.int32()), pa.array(label, pa.int64())], names=["tree", "depth", "label"])
 
-    wanted = materialise(hot.select("rows").mapInArrow(run, "tree int, depth int, label bigint").distinct(), "nodes")
+    wanted = materialise(hot.select("rows").mapInArrow(run, "tree int, depth int, label bigint").where(F.col("depth") < depth).distinct(), "nodes")
     rest = tries.where(F.col(f"s{shortest}") <= SMALL).select("tree", "key", F.col(f"p{shortest}").alias("label"))
     out = tries.where(F.col(f"s{shortest}") > SMALL)
-    # A node that one text wants is matched for all texts below it: the shortest wanted prefix counts.
-    for d in depths:
+    # A node that one text wants is matched for all texts below it: the shortest wanted prefix counts, else the longest of all.
+    for d in depths[:-1]:
         own = wanted.where(F.col("depth") == d).select("tree", F.col("label").alias(f"p{d}"), F.lit(True).alias(f"w{d}"))
         out = out.join(own, ["tree", f"p{d}"], "left")
-    label = F.coalesce(*[F.when(F.col(f"w{d}"), F.col(f"p{d}")) for d in depths])
+    label = F.coalesce(*[F.when(F.col(f"w{d}"), F.col(f"p{d}")) for d in depths[:-1]], F.col(f"p{depth}"))
     return rest.union(out.select("tree", "key", label.alias("label")))
 
 
