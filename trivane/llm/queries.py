@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import chat, decontaminate, fuzzy_lines, html_text, jaccard, line_hash, pieces, quality_gbt, suffix, weak_rules
+from trivane.llm import chat, decontaminate, fuzzy_lines, html_text, jaccard, line_hash, pieces, ppm, prefix_trie, quality_gbt, suffix, vector_codes, weak_rules
+from trivane.llm.common import materialise
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,6 +80,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return ppm.languages(docs, ppm.learn(docs))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.product_codes(_read(spark, sf_dir, "embeddings"))
+    out = vector_codes.with_label_errors(materialise(codes, "codes"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 OP1_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, lower(coalesce(role, '')) AS role, coalesce(text, '') AS text FROM conversations
@@ -156,6 +172,64 @@ def _rules_sql() -> str:
     return f"WITH {', '.join(ctes)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {posterior(last)} >= 0.5 AS kept FROM v, {last}"
 
 
+#: CRC-32 of decimal digits by its definition, a byte at a time; turns with their number are md5 digests, a node is the list of its turns.
+OP12_SQL = r"""
+WITH RECURSIVE own AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS r
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, count(*) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, bit: xor(c >> 1, 3988292384::BIGINT * (c & 1)))), 4294967295::BIGINT) % 9 AS h FROM own GROUP BY conv_id
+), joined AS (
+  SELECT c.conv_id, 0 AS later, o.r, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 5 AND o.r <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.r, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.r > c.h
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY later, r) AS d, md5(length(role) || ':' || role || text) AS t, strlen(text) AS bytes FROM joined
+), sized AS (
+  SELECT conv_id, coalesce(n, 0) AS n, coalesce(path, []) AS path, coalesce(sizes, []) AS sizes FROM convs LEFT JOIN (SELECT conv_id, list(t ORDER BY d) AS path, list(bytes ORDER BY d) AS sizes FROM turns GROUP BY conv_id) p USING (conv_id)
+), prefixes AS (
+  SELECT conv_id, d, array_to_string(path[1:d], '') AS node, CASE WHEN d > 0 THEN array_to_string(path[1:d - 1], '') END AS parent, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS bytes, d = len(path) AS ends
+  FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM sized)
+), nodes AS (
+  SELECT node, min(conv_id) AS conv_id, min(d) AS depth, min(parent) AS parent, count(*) AS n_convs, min(bytes) AS bytes, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY node
+), kids AS (
+  SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), known AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (node)
+), under AS (
+  SELECT node AS above, node FROM nodes
+  UNION ALL SELECT p.parent, u.node FROM under u JOIN nodes p ON p.node = u.above WHERE p.parent IS NOT NULL
+), sums AS (
+  SELECT above AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * bytes) AS saved_tokens FROM under JOIN known USING (node) GROUP BY above
+)
+SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM known k JOIN sums s USING (node) LEFT JOIN nodes p ON p.node = k.parent
+"""
+
+
+def _codes_sql() -> str:
+    """Every round as a common table expression; whole numbers of this size are exact in doubles."""
+    p = vector_codes.CodeParams()
+    assign = lambda i: (
+        f"a{i} AS MATERIALIZED (SELECT id, part, min_by(e, (d, e)) AS e, min(d) AS d FROM (SELECT id, part, e, list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c) AS d FROM v JOIN b{i} USING (part)) GROUP BY id, part)"
+    )
+    ctes = [
+        f"""kept AS (SELECT row_number() OVER () AS id, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {p.scale})) AS x FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"v AS MATERIALIZED (SELECT id, part, x[part * len(x) // {p.parts} + 1:(part + 1) * len(x) // {p.parts}] AS x FROM kept, range({p.parts}) r(part))",
+        f"s AS (SELECT id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {p.entries})",
+        "b0 AS MATERIALIZED (SELECT part, e, x AS c FROM v JOIN s USING (id))",
+    ]
+    for i in range(p.rounds):
+        ctes.append(assign(i))
+        ctes.append(f"m{i} AS (SELECT part, e, list(c ORDER BY j) AS c FROM (SELECT a.part, a.e, j, floor(sum(x[j]) / count(*)) AS c FROM v JOIN a{i} a USING (id, part), unnest(range(1, len(x) + 1)) u(j) GROUP BY ALL) GROUP BY part, e)")
+        ctes.append(f"b{i + 1} AS MATERIALIZED (SELECT part, e, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN m{i} m USING (part, e))")
+    ctes.append(assign(p.rounds))
+    ctes.append(f"o AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{p.rounds} GROUP BY id)")
+    ctes.append(f"book AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{p.rounds})")
+    return f"WITH {', '.join(ctes)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN o USING (id), book"
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_classifier": op2_quality_classifier,
@@ -167,9 +241,14 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_language_id": op11_language_id,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLES = {
     "op1_chat_formatting": OP1_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op10_quality_rules": _rules_sql(),
+    "op12_prefix_trie": OP12_SQL,
+    "op13_vector_codes": _codes_sql(),
 }
