@@ -185,7 +185,8 @@ def product_codes(df: DataFrame, id_col: str = "vec_id", vector: str = "embeddin
     """
     kept = df.select(F.col(id_col).alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     kept = kept.where(~F.exists("v", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    kept = kept.withColumn("v", F.transform("v", lambda v: F.rint(v * params.scale) - (F.rint(v * params.scale) > v * params.scale).cast("double")))  # floor, as a double of any size
+    far = float(1 << 60)
+    kept = kept.withColumn("v", F.transform("v", lambda v: F.floor(F.greatest(F.least(v * params.scale, F.lit(far)), F.lit(-far))).cast("double")))
     ids = kept.select("vec_id").where("vec_id is not null").distinct().orderBy("vec_id").limit(params.entries)
     seeds = kept.join(F.broadcast(ids), "vec_id").groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").collect()  # params.entries rows at most
     long = len(seeds[0]["v"]) if seeds else 0
