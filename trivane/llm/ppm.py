@@ -49,15 +49,15 @@ class Table:
     """Finds the place of 64-bit keys (ascending, different ones) by open addressing; -1: not there."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, int(4 * len(keys) + 1).bit_length())
+        bits = max(4, int(3 * len(keys) + 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.keys, self.place = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self.keys, self.place = keys, np.full(1 << bits, -1, np.int32)
         left, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
         while len(left):
             free = np.flatnonzero(self.place[at] < 0)
             _, first = np.unique(at[free], return_index=True)
             won = free[first]
-            self.place[at[won]], self.keys[at[won]] = left[won], keys[left[won]]
+            self.place[at[won]] = left[won]
             rest = np.ones(len(left), bool)
             rest[won] = False
             left, at = left[rest], (at[rest] + 1) & self.mask
@@ -68,12 +68,14 @@ class Table:
     def find(self, keys: np.ndarray) -> np.ndarray:
         at = self._home(keys)
         out = self.place[at]
-        more = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
+        if not len(self.keys):
+            return out
+        more = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
         at = at[more]
         while len(more):
             at = (at + 1) & self.mask
             out[more] = self.place[at]
-            on = (out[more] >= 0) & (self.keys[at] != keys[more])
+            on = (out[more] >= 0) & (self.keys[out[more]] != keys[more])
             more, at = more[on], at[on]
         return out
 
@@ -90,7 +92,7 @@ class Trees:
     """The context trees of all languages as flat tables.
 
     counts[language][k - 1]: (keys, counts) of the strings of k bytes, the last byte lowest, for k = 1 to order + 1. Each string's last k - 1 bytes are among the shorter
-    ones, with at least its count.
+    ones, with at least its count. ``counts`` is used up.
     """
 
     def __init__(self, languages: list[str], counts: list[list[tuple[np.ndarray, np.ndarray]]], order: int):
@@ -103,25 +105,23 @@ class Trees:
             self.first[:, i] = self._first(levels[0], bytes_)
         self.tables: list[Table | None] = [None]
         self.costs: list[np.ndarray] = [np.round(self.first * UNIT).astype(np.int32)]
-        exact = [self.first]
         self.contexts: list[Table | None] = [None]
         self.escapes: list[np.ndarray] = [np.zeros((1, n), np.int32)]
-        keys_of = [bytes_]
+        keys_before, cost_before = bytes_, self.first
         for k in range(2, order + 2):
             contexts = self._union([own[i][k - 2][1] for i in range(n)])
             escapes = np.zeros((len(contexts), n))
             keys = self._union([counts[i][k - 1][0] for i in range(n)])
             for i in range(n):
                 escapes[_at(contexts, own[i][k - 2][1]), i] = own[i][k - 2][2]
-            keys_of.append(keys)
             # A string that a language lacks costs the escape of its context there, and what it costs without its first byte.
-            shorter = _at(keys_of[k - 2], keys & np.uint64((1 << 8 * (k - 1)) - 1))
-            cost = exact[k - 2][shorter] if len(keys) else np.zeros((0, n))
-            context = _at(contexts, keys >> np.uint64(8))
-            cost = cost + np.where(context[:, None] >= 0, escapes[np.maximum(context, 0)], 0.0) if len(keys) else cost
+            cost = cost_before[_at(keys_before, keys & np.uint64((1 << 8 * (k - 1)) - 1))]
+            if len(keys):
+                cost += escapes[_at(contexts, keys >> np.uint64(8))]  # some language has the string, and so its context
             for i in range(n):
                 cost[_at(keys, counts[i][k - 1][0]), i] = own[i][k - 2][0]
-            exact.append(cost)
+                own[i][k - 2] = counts[i][k - 1] = None
+            keys_before, cost_before = keys, cost
             self.tables.append(Table(keys))
             self.costs.append(np.round(cost * UNIT).astype(np.int32))
             self.contexts.append(Table(contexts))
@@ -289,17 +289,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     down = Window.partitionBy("language").orderBy(F.desc("step"))
     limits = every.groupBy("language", "step").agg(F.count("*").alias("strings")).withColumn("strings", F.sum("strings").over(down)).where(F.col("strings") <= params.each(len(names)))
     limits = limits.groupBy("language").agg(F.min("step").alias("least"))
-    kept = every.join(F.broadcast(limits), "language").where("step >= least").select("language", "k", "string", "n")
-    table = kept.toPandas()  # at most params.each() rows a language
+    kept = every.join(F.broadcast(limits), "language").where("step >= least")
     counts = []
     for name in names:
-        own, per = table[table["language"] == name], []
-        for k in range(1, levels + 1):
-            part = own[own["k"] == k]
-            keys, n = part["string"].to_numpy(np.int64).astype(np.uint64), part["n"].to_numpy(np.int64)
-            order = np.argsort(keys)
-            per.append((keys[order], n[order].astype(float)))
-        counts.append(per)
+        own = kept.where(F.col("language") == name).select("k", "string", "n").toArrow()  # at most params.each() rows
+        k, string, n = (own.column(c).to_numpy() for c in ("k", "string", "n"))
+        order = np.lexsort((string, k))
+        k, string, n = k[order], string[order].astype(np.uint64), n[order].astype(float)
+        cut = np.searchsorted(k, np.arange(1, levels + 2))
+        counts.append([(string[lo:hi], n[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:], strict=True)])
     return Trees(names, counts, params.order)
 
 
