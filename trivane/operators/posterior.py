@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,7 +79,7 @@ def _by_pivot(t: DataFrame, q: DataFrame, pivots: int, k: int, slack: float) ->
                 cell[lo : lo + len(d)], gap[lo : lo + len(d)] = d.argmin(1), d.min(1)
             yield frame.assign(cell=cell, gap=gap)
 
-    placed = t.mapInPandas(place, T.StructType([*t.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())]))
+    placed = written(t.mapInPandas(place, T.StructType([*t.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())])), "placed")
     found = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).orderBy("cell").collect()  # one row a pivot
     used = t.sparkSession.sparkContext.broadcast((centres[[r["cell"] for r in found]], np.array([r["cell"] for r in found]), np.array([r["n"] for r in found]), np.array([r["radius"] for r in found])))
 
@@ -100,44 +101,82 @@ def _by_pivot(t: DataFrame, q: DataFrame, pivots: int, k: int, slack: float) ->
 
 
 def _meet(t: DataFrame, q: DataFrame, k: int, cats: list[str], weight: float, digits: int) -> DataFrame:
-    """query, neighbour, y, d, mismatches: the k best of every part for each of its cell's queries."""
+    """query, neighbour, y, d, mismatches: the k best of every part for each of its cell's queries. Both sides are written first, as each is read twice."""
+    t, q = written(t, "train"), written(q, "queries")
     parts = t.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     blocks = q.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
     grid = parts.join(blocks, "cell")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = q.join(grid, "cell").withColumn("block", F.expr("cast(pmod(xxhash64(qid), blocks) as int)")).withColumn("part", each("parts")).drop("parts", "blocks")
     right = t.join(grid, "cell").withColumn("part", F.expr("cast(pmod(xxhash64(tid), parts) as int)")).withColumn("block", each("blocks")).drop("parts", "blocks")
-
-    def best(asking: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(asking) or not len(rows):
-            return pd.DataFrame({"query": [], "neighbour": [], "y": [], "d": [], "mismatches": []}).astype({"query": "int64", "neighbour": "int64", "mismatches": "int32"})
-        vectors, x = (np.array(c.tolist(), float).reshape(len(c), -1) for c in (asking["qv"], rows["tv"]))
-        tid, y = rows["tid"].to_numpy(), rows["y"].to_numpy()
-        out = []
-        for i in range(0, len(asking), 256):
-            v = vectors[i : i + 256]
-            top: list[np.ndarray] = []
-            for lo in range(0, len(rows), 2048):
-                w = x[lo : lo + 2048]
-                # The product finds candidates fast; their distances are then summed exactly.
-                d = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (w * w).sum(1)[None, :] - 2 * v @ w.T, 0))
-                miss = np.zeros(d.shape)
-                for c in cats:
-                    miss += asking[c].to_numpy()[i : i + 256, None] != rows[c].to_numpy()[None, lo : lo + 2048]
-                few = min(k + 8, len(w))
-                near = np.argpartition(d + weight * miss, few - 1, 1)[:, :few]
-                gap = v[:, None, :] - w[near]
-                exact = np.round(np.sqrt((gap * gap).sum(2)) + weight * np.take_along_axis(miss, near, 1), digits)
-                new = [exact, tid[lo + near], y[lo + near], np.take_along_axis(miss, near, 1)]
-                top = new if not top else [np.hstack(z) for z in zip(top, new, strict=True)]
-                order = np.lexsort((top[1], top[0]), axis=1)[:, :k]
-                top = [np.take_along_axis(z, order, 1) for z in top]
-            ids = asking["qid"].to_numpy()[i : i + 256]
-            out.append(pd.DataFrame({"query": np.repeat(ids, top[0].shape[1]), "neighbour": top[1].ravel().astype(np.int64), "y": top[2].ravel(), "d": top[0].ravel(), "mismatches": top[3].ravel().astype(np.int32)}))
-        return pd.concat(out)
+    names = ["query", "neighbour", "y", "d", "mismatches"]
+
+    def vectors(table: pa.Table, name: str) -> np.ndarray:
+        column = table.column(name).combine_chunks()
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+    def best(asking: pa.Table, rows: pa.Table) -> pa.Table:
+        if not asking.num_rows or not rows.num_rows:
+            return pa.table([pa.array([], x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32())], names=names)
+        v, x = vectors(asking, "qv"), vectors(rows, "tv")
+        tid, y, ids = rows.column("tid").to_numpy(), rows.column("y").to_numpy(), asking.column("qid").to_numpy()
+        codes = [np.unique(np.concatenate([np.array(side.column(c).to_pylist(), object) for side in (asking, rows)]), return_inverse=True)[1] for c in cats]
+        out = [_nearest_rows(v[i : i + 256], x, tid, k, [(c[: len(v)][i : i + 256], c[len(v) :]) for c in codes], weight, digits) for i in range(0, len(v), 256)]
+        at, d, miss = (np.concatenate(z) for z in zip(*out, strict=True))
+        per = min(k, len(x))
+        return pa.table([pa.array(np.repeat(ids, per)), pa.array(tid[at]), pa.array(y[at]), pa.array(d), pa.array(miss.astype(np.int32))], names=names)
 
     keys = ["cell", "block", "part"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query bigint, neighbour bigint, y double, d double, mismatches int")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query bigint, neighbour bigint, y double, d double, mismatches int")
+
+
+def _nearest_rows(v: np.ndarray, x: np.ndarray, tid: np.ndarray, k: int, codes: list[tuple[np.ndarray, np.ndarray]], weight: float, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in x, distance, mismatches) of the min(k, rows) best rows of each v, v by v.
+
+    A matrix product finds candidates fast; after the first block only those that may be nearer than the k-th best so far
+    are looked at again, and their distances summed exactly.
+    """
+    n, size, norm = len(v), max(2048, 4 * k), (v * v).sum(1)
+    at, d, miss, of = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bound = np.full(n, np.inf)
+    for lo in range(0, len(x), size):
+        w = x[lo : lo + size]
+        square = norm[:, None] + (w * w).sum(1)[None, :] - 2 * v @ w.T
+        slack = 1e-9 * (1 + norm.max(initial=0) + float((w * w).sum(1).max(initial=0)))
+        wrong = np.zeros(square.shape, np.int64) if codes else None
+        for a, b in codes:
+            wrong += a[:, None] != b[None, lo : lo + size]
+        if np.isinf(bound).all() and len(w) > k:
+            rough = np.sqrt(np.maximum(square, 0)) + weight * wrong if codes else square
+            reach = np.partition(rough, k - 1, 1)[:, k - 1]
+            near = rough <= reach[:, None] + (np.sqrt(slack) if codes else slack)
+        elif codes:
+            near = np.sqrt(np.maximum(square - slack, 0)) + weight * wrong <= bound[:, None]
+        else:
+            near = square <= (bound * bound)[:, None] + slack
+        i, j = np.nonzero(near)
+        if not len(i):
+            continue
+        gap = v[i] - w[j]
+        extra = wrong[i, j] if codes else np.zeros(len(i), np.int64)
+        exact = np.round(np.sqrt((gap * gap).sum(1)) + weight * extra, digits)
+        of, at, d, miss = np.concatenate((of, i)), np.concatenate((at, lo + j)), np.concatenate((d, exact)), np.concatenate((miss, extra))
+        order = np.lexsort((tid[at], d, of))
+        of, at, d, miss = of[order], at[order], d[order], miss[order]
+        first = np.searchsorted(of, np.arange(n))
+        keep = np.arange(len(of)) - first[of] < k
+        of, at, d, miss = of[keep], at[keep], d[keep], miss[keep]
+        count = np.bincount(of, minlength=n)
+        full = np.flatnonzero(count >= k)
+        last = np.cumsum(count) - 1
+        # Distances are rounded: an equal one may still win by its id.
+        bound[full] = d[last[full]] + 2 * 10.0**-digits
+    return at, d, miss
+
+
+def nearest_in_cells(train: DataFrame, queries: DataFrame, k: int, digits: int = 12) -> DataFrame:
+    """query, neighbour, y, d, mismatches, rank: the k nearest rows of train(tid, y, tv, cell) for each of queries(qid, qv, cell) in its own cell. Ids of queries are unique."""
+    return _ranked(_meet(train, queries, k, [], 0.0, digits), k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -198,12 +237,14 @@ def nearest_in_bucket(train: DataFrame, queries: DataFrame, k: int, train_id: st
     A bucket has at most ``most`` training rows. Buckets are the cells of the search, so both sides are split where a bucket is large.
     """
     vec = lambda df: df.withColumn("vec", F.array(*[F.col(c).cast("double") for c in columns]))
-    t = cap_buckets(train, bucket, train_id, most)
+    t = written(cap_buckets(train, bucket, train_id, most), "capped")
     known = t.groupBy(bucket).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(bucket)
     own_t = vec(t).select(F.col(train_id).cast("long").alias("tid"), F.col(label).cast("double").alias("y"), F.col("vec").alias("tv"), F.col(bucket).alias("cell"))
     own_q = vec(queries.join(known, bucket, "left_semi")).select(F.col(query_id).cast("long").alias("qid"), F.col("vec").alias("qv"), F.col(bucket).alias("cell"))
     own = mean_posterior(_ranked(_meet(own_t, own_q, k, [], 0.0, 9), k)).withColumn("source", F.lit("bucket"))
-    rest = vec(queries.join(known, bucket, "left_anti"))
+    rest = written(vec(queries.join(known, bucket, "left_anti")), "rest")
+    if rest.isEmpty():
+        return own
     other = mean_posterior(nearest(vec(t if fallback is None else fallback).withColumn("y", F.col(label)), rest, k, train_id, query_id, digits=9)).withColumn("source", F.lit("global"))
     return own.unionByName(other)
 

@@ -8,16 +8,18 @@ hundred rows, and every pair is a sum over that.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trivane.functions.expressions import region
-from trivane.operators.threeway import ObjectiveParams, objective
+from trivane.operators.steps import written
+from trivane.operators.threeway import ObjectiveParams
 
 
 def grid_range(start: float, stop: float, step: float) -> list[float]:
@@ -225,8 +227,8 @@ class SwarmResult:
     history: list[float] = field(default_factory=list)
 
 
-def swarm(fitness: Callable[[np.ndarray], np.ndarray], layers: int, params: SwarmParams = SwarmParams(), start: np.ndarray | None = None) -> SwarmResult:
-    """Particle swarm for ``fitness`` of rows (alphas, betas, gamma), minimised."""
+def _swarm_steps(layers: int, params: SwarmParams, start: np.ndarray | None) -> Generator[np.ndarray, np.ndarray, SwarmResult]:
+    """Yields the particles of each round and takes their fitness."""
     rng = np.random.default_rng(params.seed)
     dims = 2 * layers + 1
     x = np.hstack((rng.uniform(0.5, 0.95, (params.particles, layers)), rng.uniform(0.05, 0.5, (params.particles, layers)), rng.uniform(0.3, 0.7, (params.particles, 1))))
@@ -240,7 +242,7 @@ def swarm(fitness: Callable[[np.ndarray], np.ndarray], layers: int, params: Swar
     history: list[float] = []
     quiet = 0
     for r in range(params.rounds):
-        f = fitness(x)
+        f = yield x
         better = f < own_f
         own[better], own_f[better] = x[better], f[better]
         best = own[own_f.argmin()]
@@ -257,19 +259,124 @@ def swarm(fitness: Callable[[np.ndarray], np.ndarray], layers: int, params: Swar
     return SwarmResult(b[:layers].tolist(), b[layers : 2 * layers].tolist(), float(b[-1]), float(own_f.min()), history)
 
 
+def swarms(fitness: Callable[[dict[object, np.ndarray]], dict[object, np.ndarray]], groups: list, layers: int, params: SwarmParams = SwarmParams(), starts: dict | None = None) -> dict[object, SwarmResult]:
+    """A particle swarm for each group, all in step: ``fitness`` gets the particles of every group that is not done yet and gives theirs, to be minimised."""
+    running = {g: _swarm_steps(layers, params, (starts or {}).get(g)) for g in groups}
+    asked = {g: next(s) for g, s in running.items()}
+    out: dict[object, SwarmResult] = {}
+    while asked:
+        found, now = fitness(asked), {}
+        for g in asked:
+            try:
+                now[g] = running[g].send(found[g])
+            except StopIteration as end:
+                out[g] = end.value
+        asked = now
+    return out
+
+
+def swarm(fitness: Callable[[np.ndarray], np.ndarray], layers: int, params: SwarmParams = SwarmParams(), start: np.ndarray | None = None) -> SwarmResult:
+    """Particle swarm for ``fitness`` of rows (alphas, betas, gamma), minimised."""
+    return swarms(lambda x: {0: fitness(x[0])}, [0], layers, params, {} if start is None else {0: start})[0]
+
+
+#: Regrets are summed as whole multiples of 1 / FIXED. Sums of a layer: counts of label 1 and 0 accepted, deferred and rejected, regret of false accepts and false rejects, counts of label 1 and 0.
+FIXED, SLOTS = float(1 << 24), 10
+
+
+def _layer_sums(p: np.ndarray, y: np.ndarray, n: np.ndarray, alphas: np.ndarray, betas: np.ndarray, measure: ObjectiveParams) -> np.ndarray:
+    """[particle, slot] over counted cells: rows are sorted once, and each pair of thresholds is two places in the order."""
+    known = ~np.isnan(p)
+    order = np.argsort(p[known], kind="stable")
+    q, one, m = p[known][order], y[known][order] == 1, n[known][order]
+    up = (1 - np.exp(-measure.theta_pos * np.maximum(2 * q - 1, 0))) ** measure.theta_pos
+    un = (1 - np.exp(-measure.theta_neg * np.maximum(1 - 2 * q, 0))) ** measure.theta_neg
+    regret = lambda d: np.rint((1 - np.exp(-measure.sigma * np.maximum(d, 0))) * FIXED).astype(np.int64)
+    run = lambda v: np.concatenate(([0], np.cumsum(v)))
+    n1, n0 = run(np.where(one, m, 0)), run(np.where(one, 0, m))
+    false_up, false_down = run(np.where(one, 0, m * regret(un - up))), run(np.where(one, m * regret(up - un), 0))
+    a, b = np.searchsorted(q, alphas, "left"), np.searchsorted(q, betas, "right")
+    b = np.minimum(a, b)  # what both thresholds take is accepted
+    end = len(q)
+    parts = [n1[end] - n1[a], n1[a] - n1[b], n1[b], n0[end] - n0[a], n0[a] - n0[b], n0[b], false_up[end] - false_up[a], false_down[b]]
+    whole = [np.full(len(a), n[y == 1].sum()), np.full(len(a), n[y != 1].sum())]
+    return np.stack([*parts, *whole], 1).astype(np.int64)
+
+
+def objective_sums(cells: DataFrame, by: str, levels: list[str], label: str, count: str, particles: dict[object, np.ndarray], measure: ObjectiveParams) -> dict[object, np.ndarray]:
+    """[particle, layer, slot] of each group: tasks sum their cells by particle, Spark adds those few sums. Particles and groups are few (they travel to all tasks)."""
+    shared = cells.sparkSession.sparkContext.broadcast(particles)
+    kind, layers = cells.schema[by].dataType.simpleString(), len(levels) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[object, np.ndarray] = {}
+        for batch in batches:
+            groups = np.array(batch.column(0).to_pylist(), object)
+            y, n = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            ps = [batch.column(3 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(layers + 1)]
+            for g in dict.fromkeys(groups.tolist()):
+                x, rows = shared.value.get(g), groups == g
+                if x is None:
+                    continue
+                own = [_layer_sums(p[rows], y[rows], n[rows], x[:, i] if i < layers else x[:, -1], x[:, layers + i] if i < layers else np.nextafter(x[:, -1], -np.inf), measure) for i, p in enumerate(ps)]
+                total[g] = total.get(g, 0) + np.stack(own, 1)
+        for g, t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * t.size, batch.column(0).type), pa.array(np.arange(t.size)), pa.array(t.ravel())], names=["g", "slot", "v"])
+
+    rows = cells.where(F.col(label).isNotNull()).select(by, F.col(label).cast("int").alias("y"), F.col(count).cast("long").alias("n"), *[F.col(p).cast("double") for p in levels])
+    found = rows.mapInArrow(run, f"g {kind}, slot long, v long").groupBy("g", "slot").agg(F.sum("v").alias("v")).collect()
+    out = {g: np.zeros(len(x) * (layers + 1) * SLOTS, np.int64) for g, x in particles.items()}
+    for r in found:
+        out[r["g"]][r["slot"]] = r["v"]
+    return {g: v.reshape(len(particles[g]), layers + 1, SLOTS) for g, v in out.items()}
+
+
+def objective_of_sums(sums: np.ndarray, x: np.ndarray, q: ObjectiveParams = ObjectiveParams()) -> np.ndarray:
+    """The objective of each particle from its sums."""
+    layers = sums.shape[1] - 1
+    s = sums.astype(float)
+    share = lambda a, b: np.divide(a, b, out=np.zeros(np.broadcast(a, b).shape), where=np.asarray(b) > 0)
+
+    def entropy(w1: np.ndarray, w0: np.ndarray) -> np.ndarray:
+        a, b = share(w1, w1 + w0), share(w0, w1 + w0)
+        return -sum(v * np.log2(v, out=np.zeros(v.shape), where=v > 0) for v in (a, b))
+
+    def regret(t: np.ndarray) -> np.ndarray:
+        if q.regret == "utility":
+            fp, fn = share(t[:, 6] / FIXED, t[:, 3]), share(t[:, 7] / FIXED, t[:, 2])
+            return q.theta_pos * fp + q.theta_neg * fn
+        bend = lambda v: 1 - np.exp(-q.sigma * v)
+        return q.theta_pos * bend(share(t[:, 3], t[:, 0] + t[:, 3])) + q.theta_neg * bend(share(t[:, 2], t[:, 2] + t[:, 5]))
+
+    total = regret(s[:, layers])
+    for i in range(layers):
+        t, c = s[:, i], (q.c1, q.c0)
+        w1, w0 = c[0] * t[:, 8], c[1] * t[:, 9]
+        gain = entropy(w1, w0)
+        for k in range(3):
+            a, b = c[0] * t[:, k], c[1] * t[:, 3 + k]
+            gain = gain - share(a + b, w1 + w0) * entropy(a, b)
+        deferred = share(t[:, 1] + t[:, 4], t[:, 8] + t[:, 9])
+        total = total - gain + regret(t) + np.where(deferred < q.xi_min, q.penalty_large, 0) + np.where(x[:, i] < x[:, layers + i] + q.gap, q.penalty_large, 0)
+    return total
+
+
+def learn_thresholds_by(df: DataFrame, by: str, levels: list[str], label: str, params: SwarmParams = SwarmParams(), measure: ObjectiveParams = ObjectiveParams(), starts: dict | None = None) -> dict[object, SwarmResult]:
+    """A swarm over the three-way objective for each value of ``by`` (few, none null), all in step: a round is one pass over counted cells and one small sum. Rows without a label do not count."""
+    cells = written(df.groupBy(by, label, *levels).agg(F.count("*").alias("__n")), "cells")
+    groups = sorted(r[0] for r in cells.select(by).distinct().collect())
+
+    def fitness(x: dict[object, np.ndarray]) -> dict[object, np.ndarray]:
+        sums = objective_sums(cells, by, levels, label, "__n", x, measure)
+        return {g: objective_of_sums(sums[g], x[g], measure) for g in x}
+
+    return swarms(fitness, groups, len(levels) - 1, params, starts)
+
+
 def learn_thresholds(df: DataFrame, levels: list[str], label: str, params: SwarmParams = SwarmParams(), measure: ObjectiveParams = ObjectiveParams(), start: np.ndarray | None = None) -> SwarmResult:
-    """Swarm over the three-way objective. All particles of a round share one aggregation over the rows; equal rows are counted first."""
-    cells = df.groupBy(label, *levels).agg(F.count("*").alias("__n")).persist()
-    layers = len(levels) - 1
-
-    def fitness(x: np.ndarray) -> np.ndarray:
-        out = cells.agg(*[objective(levels, label, r[:layers].tolist(), r[layers : 2 * layers].tolist(), float(r[-1]), measure, F.col("__n").cast("double")).alias(f"f{i}") for i, r in enumerate(x)]).first()
-        return np.array([float(out[f"f{i}"]) for i in range(len(x))])
-
-    try:
-        return swarm(fitness, layers, params, start)
-    finally:
-        cells.unpersist()
+    """The same over all rows, as one group."""
+    found = learn_thresholds_by(df.withColumn("__all", F.lit(0)), "__all", levels, label, params, measure, {} if start is None else {0: start})
+    return found[0] if found else swarm(lambda x: np.zeros(len(x)), len(levels) - 1, params, start)
 
 
 def adapt_windowed(df: DataFrame, levels: list[str], label: str, p: str, previous: SwarmResult | None, params: SwarmParams = SwarmParams(), least: int = 30) -> SwarmResult:

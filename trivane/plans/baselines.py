@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trivane.operators.boosting import BoostParams, boost, with_probability
 from trivane.operators.encoding import apply_codes, first_seen_codes
 from trivane.operators.metrics import classification_metrics
 from trivane.operators.posterior import KernelParams, kernel_posterior, nearest
@@ -27,12 +28,8 @@ def kernel_baseline(df: DataFrame, warmup: list[int], year: str, label: str, key
     return classification_metrics(scored, [year], label, "predicted", "p")
 
 
-def boosted_baseline(df: DataFrame, warmup: list[int], year: str, label: str, rounds: int = 20, depth: int = 4, seed: int = 42) -> DataFrame:
-    """The same with pyspark.ml's gradient-boosted trees."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = df.withColumn("features", array_to_vector("vec")).withColumn("label", F.col(label).cast("double"))
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed).fit(rows.where(F.col(year).isin(warmup)))
-    scored = model.transform(rows.where(~F.col(year).isin(warmup))).withColumns({"p": vector_to_array("probability")[1], "predicted": F.col("prediction").cast("int"), "label": F.col("label").cast("int")})
-    return classification_metrics(scored.drop("prediction", "rawPrediction", "probability"), [year], "label", "predicted", "p")
+def boosted_baseline(df: DataFrame, warmup: list[int], year: str, label: str, key: str, params: BoostParams = BoostParams(), cut: float = 0.5) -> DataFrame:
+    """The same with second-order boosted trees."""
+    forest = boost(df.where(F.col(year).isin(warmup)), label, key, "vec", params)
+    scored = with_probability(df.where(~F.col(year).isin(warmup)).select(year, label, "vec"), forest).withColumn("p", F.round("p", 9))
+    return classification_metrics(scored.withColumn("predicted", (F.col("p") >= cut).cast("int")), [year], label, "predicted", "p")

@@ -18,6 +18,7 @@ from trivane.functions import expressions as X
 from trivane.operators import bucketing as B
 from trivane.operators import drift as D
 from trivane.operators import encoding as E
+from trivane.operators import information as I
 from trivane.operators import labels as L
 from trivane.operators import metrics as M
 from trivane.operators import ordered as O
@@ -25,6 +26,7 @@ from trivane.operators import posterior as P
 from trivane.operators import thresholds as H
 from trivane.operators import threeway as W
 from trivane.operators import windows as T
+from trivane.operators.boosting import BoostParams
 from trivane.operators.steps import shared_dir
 from trivane.plans import baselines, buckets, dynamic, flow
 from trivane.sources import tables
@@ -527,6 +529,30 @@ def a22(spark, d):
     return E.binned_information(flights(spark, d), ["dist", "p", "p1", "delay"], "label").select("feature", *r6("score"))
 
 
+def _psi_sql(n: str) -> str:
+    """Digamma of a whole number: harmonic recurrence over eight places, then the expansion."""
+    x = f"({n} + 8.0)"
+    return f"(ln({x}) - 1 / (2 * {x}) - 1 / (12 * {x} ** 2) + 1 / (120 * {x} ** 4) - 1 / (252 * {x} ** 6) + 1 / (240 * {x} ** 8) - 1 / (132 * {x} ** 10) - ({' + '.join(f'1.0 / ({n} + {j})' for j in range(8))}))"
+
+
+@query("a22_neighbour_information", f"""
+WITH l AS (SELECT label AS y, row_id, unnest(['dist', 'p', 'p1', 'delay']) AS feature, unnest([dist, p, p1, delay]) AS x FROM flights), e AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM l GROUP BY feature),
+g AS (SELECT feature, y, row_id, CAST(floor((x - lo) / (hi - lo) * 1099511627776) AS BIGINT) AS q FROM l JOIN e USING (feature)),
+w AS (SELECT *, list_concat(list(q) OVER (a ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), list(q) OVER (a ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) AS near, count(*) OVER (PARTITION BY feature, y) AS ny FROM g WINDOW a AS (PARTITION BY feature, y ORDER BY q, row_id)),
+r AS (SELECT feature, y, q, ny, list_sort(list_transform(near, lambda z: abs(z - q)))[3] AS r FROM w),
+m AS (SELECT feature, ny, count(*) OVER (PARTITION BY feature ORDER BY q RANGE BETWEEN greatest(r - 1, 0) PRECEDING AND greatest(r - 1, 0) FOLLOWING) AS m, count(*) OVER (PARTITION BY feature) AS n FROM r)
+SELECT feature, round(greatest(max({_psi_sql('n')}) + {_psi_sql('3')} - avg({_psi_sql('ny')}) - avg({_psi_sql('m')}), 0), 6) AS score FROM m GROUP BY feature""")
+def a22_neighbours(spark, d):
+    return I.neighbour_information(flights(spark, d), ["dist", "p", "p1", "delay"], "label").select("feature", *r6("score"))
+
+
+@query("a22_counted_information", """
+WITH l AS (SELECT label AS y, unnest(['carrier', 'priority', 'month']) AS feature, unnest([carrier, priority, CAST(month AS VARCHAR)]) AS x FROM flights), c AS (SELECT feature, x, y, count(*) AS n FROM l GROUP BY ALL)
+SELECT feature, round(sum(t), 6) AS score FROM (SELECT feature, n / sum(n) OVER (PARTITION BY feature) * ln(n * sum(n) OVER (PARTITION BY feature) / (sum(n) OVER (PARTITION BY feature, x) * sum(n) OVER (PARTITION BY feature, y))) AS t FROM c) GROUP BY feature""")
+def a22_counted(spark, d):
+    return I.counted_information(flights(spark, d), ["carrier", "priority", "month"], "label").select("feature", *r6("score"))
+
+
 @query("a23_level_sizes", "SELECT * FROM (VALUES (5, 3, 4, 5), (10, 6, 8, 10), (1, 1, 2, 1)) t(n, a, b, c)")
 def a23(spark, d):
     return spark.createDataFrame([(n, *E.level_sizes(n)) for n in (5, 10, 1)], "n int, a int, b int, c int")
@@ -614,7 +640,7 @@ def m9(spark, d):
 
 @query("m8_boosted_baseline")
 def m8(spark, d):
-    return baselines.boosted_baseline(_baseline_rows(spark, d), [1995, 1996, 1997], "year", "label", rounds=5, depth=3)
+    return baselines.boosted_baseline(_baseline_rows(spark, d), [1995, 1996, 1997], "year", "label", "row_id", BoostParams(trees=8))
 
 
 # ---- buckets and references --------------------------------------------------------
@@ -999,8 +1025,28 @@ def t13(spark, d):
     return spark.createDataFrame([(s.window, s.alphas[0], s.betas[0], s.signal, s.drift, float(s.metrics["F1"])) for s in steps], "window int, alpha double, beta double, signal double, drift boolean, F1 double")
 
 
+_SPLIT_FEATURES = ["f1", "f2", "f3", "f4"]
+
+
+def _split_rows(spark, d):
+    df = flights(spark, d)
+    return df.select("row_id", "label", F.col("p").alias("f1"), F.col("p1").alias("f2"), F.col("p3").alias("f3"), F.col("dist").alias("f4"))
+
+
+@query("g0_split_runs", """
+WITH s AS (SELECT row_id, label, unnest(range(10)) AS run FROM flights), o AS (SELECT *, row_number() OVER (PARTITION BY run, label ORDER BY md5(CAST(row_id AS VARCHAR) || '|' || run), row_id) <= floor(count(*) OVER (PARTITION BY run, label) * 0.3 + 0.5) AS test FROM s),
+i AS (SELECT *, row_number() OVER (PARTITION BY test, run, label ORDER BY md5(CAST(row_id AS VARCHAR) || '|' || (run + 1)), row_id) <= floor(count(*) OVER (PARTITION BY test, run, label) * 0.3 + 0.5) AS validation FROM o)
+SELECT CAST(run AS INT) AS run, CASE WHEN test THEN 'test' WHEN validation THEN 'validation' ELSE 'fit' END AS part, label, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM i GROUP BY ALL""")
+def g0_split_runs(spark, d):
+    return dynamic.split_runs(_split_rows(spark, d), "label", "row_id", list(range(10))).groupBy("run", "part", "label").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
+
+
 @query("g0_static_split")
 def g0(spark, d):
-    df = flights(spark, d)
-    rows = df.select("row_id", "label", F.col("p").alias("f1"), F.col("p1").alias("f2"), F.col("p3").alias("f3"), F.col("dist").alias("f4"))
-    return dynamic.run_split(rows, ["f1", "f2", "f3", "f4"], "label", "row_id", 1, 6, H.SwarmParams(4, 2))
+    """Ten splits of the static experiment."""
+    return dynamic.run_splits(_split_rows(spark, d), _SPLIT_FEATURES, "label", "row_id", list(range(10)), 6, H.SwarmParams(8, 6))
+
+
+@query("g0_repeated_splits")
+def g0_repeated(spark, d):
+    return dynamic.repeated_splits(_split_rows(spark, d), _SPLIT_FEATURES, "label", "row_id", swarm=H.SwarmParams(8, 6))
