@@ -303,3 +303,49 @@ def react(state: DriftState, level: str, factors: tuple[float, ...] = (0.9, 1.1)
 
 def composite_signal(mean_p: Column, ks: Column, psi: Column) -> Column:
     return 0.6 * mean_p + 0.3 * ks + 0.1 * psi
+
+
+#: Factors of the weights' multiplier after S3, S2 and S1, and how it falls in quiet windows.
+MULTIPLIERS, CALM = {"S3": 1.5, "S2": 1.3, "S1": 1.15}, 0.9
+_STATE = {"warn": "int", "alert": "int", "cooldown": "int", "sigma": "double", "sigma_step": "int", "keep_ratio": "double", "keep_gap": "double", "bnd_cap": "double", "step_cap": "double", "multiplier": "double"}
+
+
+def _step_state(s: Column, severity: Column, debounce: int, decay_streaks: bool, factors: tuple[float, ...], cooldown: int) -> tuple[Column, dict[str, Column]]:
+    """(level, new state) of one window as columns: next_level, react and the weights' multiplier in one step."""
+    less = lambda c: F.greatest(c - 1, F.lit(0))
+    warn, alert = (less(s["warn"]), less(s["alert"])) if decay_streaks else (s["warn"], s["alert"])
+    cool = less(s["cooldown"])
+    resting = cool > 0
+    warn_now = F.when(resting, warn).otherwise(F.when(severity == 0, 0).otherwise(warn + 1))
+    alert_now = F.when(resting, alert).otherwise(F.when(severity == 2, alert + 1).otherwise(0))
+    strong = (alert_now >= max(debounce, 1)) & (F.lit(debounce > 1) | (alert_now > 1))
+    level = F.when(resting | (severity == 0), "NONE").when(severity == 1, "S1").when(strong, "S3").otherwise("S2")
+    one, two, three = level == "S1", level == "S2", level == "S3"
+    factor = F.element_at(F.array(*[F.lit(float(f)) for f in factors]), (s["sigma_step"] % len(factors)).cast("int") + 1)
+    up = F.when(three, MULTIPLIERS["S3"]).when(two, MULTIPLIERS["S2"]).when(one, MULTIPLIERS["S1"])
+    return level, {
+        "warn": F.when(three, 0).otherwise(warn_now), "alert": F.when(three, 0).otherwise(alert_now), "cooldown": F.when(three, cooldown).otherwise(cool),
+        "sigma": F.when(one, s["sigma"] * factor).otherwise(s["sigma"]), "sigma_step": s["sigma_step"] + one.cast("int"),
+        "keep_ratio": F.when(two, F.least(F.lit(1.0), s["keep_ratio"] * 1.5)).otherwise(s["keep_ratio"]), "keep_gap": F.when(three, s["keep_gap"] * 1.2).otherwise(s["keep_gap"]),
+        "bnd_cap": F.when(three, s["bnd_cap"] * 0.9).otherwise(s["bnd_cap"]), "step_cap": F.when(three, s["step_cap"] * 0.8).otherwise(s["step_cap"]),
+        "multiplier": F.when(level == "NONE", F.greatest(F.lit(1.0), s["multiplier"] * CALM)).otherwise(F.greatest(s["multiplier"], up)),
+    }
+
+
+def reaction_fold(windows: DataFrame, order: str, severity: str, by: list[str] | None = None, start: DriftState = DriftState(), debounce: int = 1, decay_streaks: bool = False, factors: tuple[float, ...] = (0.9, 1.1), cooldown: int = 3) -> DataFrame:
+    """by, order, level and the state after each window (streaks, cooldown, what the reactions have changed, the weights' multiplier): one fold over the ordered windows of each run.
+
+    Windows are as many as months, so a run's array is bounded. A null severity counts as 0; windows of equal order are taken by severity.
+    """
+    kind = windows.schema[order].dataType.simpleString()
+    row = f"struct<{order}:{kind},level:string,{','.join(f'{k}:{v}' for k, v in _STATE.items())}>"
+    zero = F.struct(*[F.lit(getattr(start, k) if k != "multiplier" else 1.0).cast(v).alias(k) for k, v in _STATE.items()])
+
+    def step(acc: Column, x: Column) -> Column:
+        level, new = _step_state(acc["state"], F.coalesce(x["s"], F.lit(0)), debounce, decay_streaks, factors, cooldown)
+        values = [new[k].cast(v).alias(k) for k, v in _STATE.items()]
+        return F.struct(F.struct(*values).alias("state"), F.concat(acc["out"], F.array(F.struct(x["o"].alias(order), level.alias("level"), *values))).alias("out"))
+
+    listed = windows.groupBy(*(by or [])).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(severity).cast("int").alias("s")))).alias("w"))
+    begin = F.struct(zero.alias("state"), F.array().cast(f"array<{row}>").alias("out"))
+    return listed.select(*(by or []), F.explode(F.aggregate("w", begin, step)["out"]).alias("r")).select(*(by or []), "r.*")

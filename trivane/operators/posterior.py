@@ -126,7 +126,9 @@ def _meet(t: DataFrame, q: DataFrame, k: int, cats: list[str], weight: float, di
         per = min(k, len(x))
         return pa.table([pa.array(np.repeat(ids, per)), pa.array(tid[at]), pa.array(y[at]), pa.array(d), pa.array(miss.astype(np.int32))], names=names)
 
-    keys = ["cell", "block", "part"]
+    keys, tasks = ["cell", "block", "part"], int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Few bytes are much work here: a number of partitions that is asked for is not made smaller at run time.
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query bigint, neighbour bigint, y double, d double, mismatches int")
 
 
@@ -249,13 +251,56 @@ def nearest_in_bucket(train: DataFrame, queries: DataFrame, k: int, train_id: st
     return own.unionByName(other)
 
 
+@dataclass(frozen=True)
+class NeighbourTable:
+    """The k nearest training rows of fixed queries, kept up as training rows arrive.
+
+    New rows meet all queries once; what they give is a segment of at most k rows a query, and the answer is the k best over the segments. Without ``keep``
+    a new segment is merged with the one before, so that there is one table of k rows a query; with it the newest ``keep`` segments stay
+    apart and the oldest is dropped whole (a sliding history). Work is in proportion to the new rows, whatever has been learnt before.
+    """
+
+    queries: DataFrame
+    k: int
+    train_id: str
+    query_id: str
+    label: str = "y"
+    vector: str = "vec"
+    categories: tuple[str, ...] = ()
+    category_weight: float = 0.0
+    digits: int = 12
+    keep: int | None = None
+    segments: tuple[DataFrame, ...] = ()
+
+    def add(self, rows: DataFrame) -> NeighbourTable:
+        """The table after ``rows``, whose ids are new."""
+        found = nearest(rows, self.queries, self.k, self.train_id, self.query_id, self.vector, self.label, list(self.categories), self.category_weight, self.digits)
+        if self.keep is not None:
+            return replace(self, segments=(*self.segments, written(found, "segment"))[-self.keep :])
+        merged = _best_of([*self.segments, found], self.k) if self.segments else found
+        return replace(self, segments=(written(merged, "segment"),))
+
+    def neighbours(self) -> DataFrame:
+        """query, neighbour, y, d, mismatches, rank, as nearest() over all rows that count."""
+        if not self.segments:
+            raise ValueError("no rows yet")
+        return _best_of(list(self.segments), self.k) if len(self.segments) > 1 else self.segments[0]
+
+
+def _best_of(segments: list[DataFrame], k: int) -> DataFrame:
+    all_ = segments[0]
+    for s in segments[1:]:
+        all_ = all_.unionByName(s)
+    return _ranked(all_.drop("rank"), k)
+
+
 @dataclass
 class PosteriorBuffer:
     """Training rows of a posterior that follows a stream: the newest ``size`` rows (sliding), or a keyed hash sample of all (reservoir).
 
-    Brute-force search needs no index, so a rebuild is a new choice of rows. ``interval`` rows
-    between rebuilds shrink after drift. ``estimator`` (rows, queries, query id -> query, p) takes the place
-    of the neighbours' kernel posterior where a user has another one.
+    A sliding buffer is a list of segments, one a batch: only the new batch is written, and a segment that has no row left is dropped whole. Brute-force search needs
+    no index, so a rebuild is a new choice of rows. ``interval`` rows between rebuilds shrink after drift. ``estimator`` (rows, queries, query id ->
+    query, p) takes the place of the neighbours' kernel posterior where a user has another one.
     """
 
     size: int = 8192
@@ -268,16 +313,29 @@ class PosteriorBuffer:
     shrink: float = 0.5
     least_interval: int = 1
     estimator: Callable[[DataFrame, DataFrame, str], DataFrame] | None = None
+    segments: tuple[tuple[DataFrame, int], ...] = ()
 
     def add(self, batch: DataFrame, order: str, drift: bool = False) -> PosteriorBuffer:
         """``order`` must rise from batch to batch."""
-        all_ = batch if self.rows is None else self.rows.unionByName(batch)
-        rank = F.desc(order) if self.policy == "sliding" else F.md5(F.col(order).cast("string"))
-        kept = written(all_.orderBy(rank, order).limit(self.size), "buffer")
-        n = self.since + batch.count()
+        batch = written(batch, "batch")
+        new = batch.count()
+        segments = self.segments
+        if self.policy == "sliding":
+            segments = (*segments, (batch, new))
+            while len(segments) > 1 and sum(n for _, n in segments[1:]) >= self.size:
+                segments = segments[1:]
+            rest = self.size - sum(n for _, n in segments[1:])
+            oldest, n = segments[0]
+            kept = oldest if n <= rest else oldest.orderBy(F.desc(order)).limit(rest)
+            for s, _ in segments[1:]:
+                kept = kept.unionByName(s)
+        else:
+            all_ = batch if self.rows is None else self.rows.unionByName(batch)
+            kept = written(all_.orderBy(F.md5(F.col(order).cast("string")), order).limit(self.size), "buffer")
+        n = self.since + new
         interval = max(self.least_interval, int(self.interval * self.shrink)) if drift else self.interval
         rebuild = drift or n >= interval or self.frozen is None
-        return replace(self, rows=kept, since=0 if rebuild else n, rebuilds=self.rebuilds + rebuild, frozen=kept if rebuild else self.frozen)
+        return replace(self, rows=kept, since=0 if rebuild else n, rebuilds=self.rebuilds + rebuild, frozen=kept if rebuild else self.frozen, segments=segments)
 
     def predict(self, queries: DataFrame, k: int, train_id: str, query_id: str, params: KernelParams = KernelParams()) -> DataFrame:
         if self.frozen is None:

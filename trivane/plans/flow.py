@@ -18,7 +18,7 @@ from trivane.operators.bucketing import BucketConfig, ReferenceConfig, assign_bu
 from trivane.operators.drift import DEAD, STRONG, DriftState, DriftThresholds, next_level, psi_tv, react, refined
 from trivane.operators.encoding import z_scores
 from trivane.operators.metrics import METRICS, classification_metrics, yearly
-from trivane.operators.posterior import KernelParams, kernel_posterior, nearest
+from trivane.operators.posterior import KernelParams, NeighbourTable, kernel_posterior
 from trivane.operators.steps import written
 from trivane.operators.thresholds import Grid, ema_clip, enforce_gap, limit_range, select_alpha_beta
 from trivane.operators.windows import SeasonWeights, drift_multiplier, plan_years, record_weight
@@ -77,24 +77,34 @@ def save(result: FlowResult, folder: str) -> None:
         write_csv(getattr(result, name), f"{folder.rstrip('/')}/{file}")
 
 
-def enrich(rows: DataFrame, config: FlowConfig, warmup: list[int]) -> DataFrame:
-    """Buckets by period, and g: the neighbours' posterior learnt from the warm-up years."""
+def learnt(rows: DataFrame, config: FlowConfig, warmup: list[int]) -> tuple[DataFrame, NeighbourTable]:
+    """(rows with buckets by period and g, the neighbours' posterior learnt from the warm-up years; the table that learns more)."""
     bucketed = written(assign_buckets(rows, config.buckets, ["period_idx"]), "rows")
-    return with_posterior(bucketed, bucketed.where(F.col("year").isin(warmup)), config)
+    table = NeighbourTable(_with_vector(bucketed, config), config.k, "row_id", "row_id", "label", categories=config.categories)
+    return with_posterior(bucketed, bucketed.where(F.col("year").isin(warmup)), table, config)
+
+
+def enrich(rows: DataFrame, config: FlowConfig, warmup: list[int]) -> DataFrame:
+    return learnt(rows, config, warmup)[0]
+
+
+def _with_vector(df: DataFrame, config: FlowConfig) -> DataFrame:
+    return df.withColumn("vec", F.array(*[F.col(c).cast("double") for c in config.numeric]))
 
 
-def with_posterior(data: DataFrame, train: DataFrame, config: FlowConfig) -> DataFrame:
-    """``data`` with g, the kernel posterior of the k nearest of all rows of ``train``, categories that differ penalised; 0.5 where nothing can be learnt."""
-    vec = lambda df: df.withColumn("vec", F.array(*[F.col(c).cast("double") for c in config.numeric]))
-    near = nearest(vec(train), vec(data), config.k, "row_id", "row_id", label="label", categories=list(config.categories))
-    g = kernel_posterior(near, config.kernel).select(F.col("query").alias("row_id"), F.when(~F.isnan("p"), F.col("p")).alias("g"))
-    return written(data.drop("g").join(g, "row_id", "left").withColumn("g", F.coalesce("g", F.lit(0.5))), "rows")
+def with_posterior(data: DataFrame, new: DataFrame, table: NeighbourTable, config: FlowConfig) -> tuple[DataFrame, NeighbourTable]:
+    """(``data`` with g, ``table`` after the rows of ``new``): g is the kernel posterior of the k nearest of all rows learnt so far, categories that
+    differ penalised; 0.5 where nothing can be learnt. Only the new rows are searched."""
+    table = table.add(_with_vector(new, config))
+    g = kernel_posterior(table.neighbours(), config.kernel).select(F.col("query").alias("row_id"), F.when(~F.isnan("p"), F.col("p")).alias("g"))
+    return written(data.drop("g").join(g, "row_id", "left").withColumn("g", F.coalesce("g", F.lit(0.5))), "rows"), table
 
 
 def run_flow(rows: DataFrame, config: FlowConfig) -> FlowResult:
     """rows: row_id, label, period_idx, year and the config's columns. Deferred rows count as rejected in the metrics."""
     plan = plan_years(rows, "year")
-    data = enrich(rows, config, list(plan.warmup))
+    data, table = learnt(rows, config, list(plan.warmup))
+    known = F.col("year").isin(list(plan.warmup))
     periods = sorted(r[0] for r in data.select("period_idx").distinct().collect())
     stream = sorted(r[0] for r in data.where(F.col("year").isin(list(plan.stream))).select("period_idx").distinct().collect())
     spark = rows.sparkSession
@@ -167,7 +177,8 @@ def run_flow(rows: DataFrame, config: FlowConfig) -> FlowResult:
         if level == "S3":
             baseline, base_rate, base_f1 = current, extra["rate"], m["F1"]
             if config.refit:  # labels of all periods up to the last one are known by now
-                data = with_posterior(data, data.where(F.col("period_idx") < now), config)
+                data, table = with_posterior(data, data.where((F.col("period_idx") < now) & ~known), table, config)
+                known = known | (F.col("period_idx") < now)
         year, season = int(extra["year"]), now % config.seasons + 1
         trace.append((now, index, year, season, *map(float, star), alpha, beta, _float(found["best"]), float(extra["bnd"]), float(extra["cov"]), note, _float(found["best"]), _float(found["second"]), _float(found["delta"]), int(found["feasible_count"] or 0)))
         metrics.append((year, season, now, int(m["n_samples"]), *[_float(m[x]) for x in METRICS], float(shift["psi"]), float(shift["tv"]), gap, float(extra["rate"]), drop, float(extra["bnd"]), float(extra["cov"]), alpha, beta, note, *[_float(extra[f"mean_{c}"]) for c in MEANS]))

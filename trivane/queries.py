@@ -852,15 +852,18 @@ def d6(spark, d):
     return _signals(spark, d).withColumn("lv", lv).select("period_idx", D.refine_level("lv", "psi", "tv", "pr", "pd", strong=(0.25, 0.15, 0.05, 0.06)).alias("level"))
 
 
-@query("d7_reactions")
+@query("d7_reactions", _SIGNALS + """, v AS (SELECT period_idx, row_number() OVER (ORDER BY period_idx) AS i,
+  greatest(CASE WHEN psi >= 0.2 THEN 2 WHEN psi >= 0.1 THEN 1 ELSE 0 END, CASE WHEN tv >= 0.2 THEN 2 WHEN tv >= 0.1 THEN 1 ELSE 0 END, CASE WHEN pr >= 0.1 THEN 2 WHEN pr >= 0.05 THEN 1 ELSE 0 END, CASE WHEN pd >= 0.1 THEN 2 WHEN pd >= 0.05 THEN 1 ELSE 0 END) AS s FROM s),
+f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS INT) AS period_idx, 'NONE' AS level, 0 AS warn, 0 AS alert, 0 AS cool, CAST(1 AS DOUBLE) AS sigma, 0 AS turns, CAST(0.3 AS DOUBLE) AS keep_ratio, CAST(0.3 AS DOUBLE) AS bnd_cap, CAST(1 AS DOUBLE) AS multiplier
+  UNION ALL SELECT i, period_idx, level, CASE WHEN level = 'S3' THEN 0 ELSE w END, CASE WHEN level = 'S3' THEN 0 ELSE a END, CASE WHEN level = 'S3' THEN 3 ELSE c END, CASE WHEN level = 'S1' THEN sigma * CASE WHEN turns % 2 = 0 THEN 0.9 ELSE 1.1 END ELSE sigma END,
+    turns + CASE WHEN level = 'S1' THEN 1 ELSE 0 END, CASE WHEN level = 'S2' THEN least(1.0, keep_ratio * 1.5) ELSE keep_ratio END, CASE WHEN level = 'S3' THEN bnd_cap * 0.9 ELSE bnd_cap END,
+    CASE level WHEN 'S3' THEN greatest(multiplier, 1.5) WHEN 'S2' THEN greatest(multiplier, 1.3) WHEN 'S1' THEN greatest(multiplier, 1.15) ELSE greatest(1.0, multiplier * 0.9) END
+  FROM (SELECT *, CASE WHEN c > 0 OR s = 0 THEN 'NONE' WHEN s = 1 THEN 'S1' WHEN a >= 3 THEN 'S3' ELSE 'S2' END AS level FROM (SELECT v.i, v.period_idx, v.s, greatest(cool - 1, 0) AS c, sigma, turns, keep_ratio, bnd_cap, multiplier,
+    CASE WHEN cool > 1 THEN warn WHEN s = 0 THEN 0 ELSE warn + 1 END AS w, CASE WHEN cool > 1 THEN alert WHEN s = 2 THEN alert + 1 ELSE 0 END AS a FROM f JOIN v ON v.i = f.i + 1)))
+SELECT period_idx, level, cool AS cooldown, round(sigma, 6) AS sigma, round(keep_ratio, 6) AS keep_ratio, round(bnd_cap, 6) AS bnd_cap, round(multiplier, 6) AS multiplier FROM f WHERE i > 0""")
 def d7(spark, d):
-    rows = _signals(spark, d).select("period_idx", D.severity("psi", "tv", "pr", "pd").alias("s")).orderBy("period_idx").collect()
-    state, out, m = D.DriftState(), [], 1.0
-    for r in rows:
-        level, state = D.next_level(state, r["s"], 3)
-        state, m = D.react(state, level), T.drift_multiplier(m, level)
-        out.append((r["period_idx"], level, state.sigma, state.keep_ratio, m))
-    return spark.createDataFrame(out, "period_idx int, level string, sigma double, keep_ratio double, multiplier double")
+    rows = _signals(spark, d).select("period_idx", D.severity("psi", "tv", "pr", "pd").alias("s"))
+    return D.reaction_fold(rows, "period_idx", "s", debounce=3).select("period_idx", "level", "cooldown", *r6("sigma", "keep_ratio", "bnd_cap", "multiplier"))
 
 
 @query("d9_composite_signal", _SIGNALS + " SELECT period_idx, round(0.6 * psi + 0.3 * tv + 0.1 * pr, 6) AS signal FROM s")
@@ -973,6 +976,23 @@ def d1s(spark, d):
     return _run_stream(live.detect_stream(_event_stream(spark, d), "event_type", "ts", "value", D.DetectorConfig(window=100, stat=30, significance=0.01)), "kswin")
 
 
+@query("t6_late_labels_stream", """
+WITH o AS (SELECT o_orderkey, o_orderdate, (o_orderkey * 37 + o_custkey * 11) % 60 AS a FROM orders), y AS (SELECT DISTINCT l_orderkey, l_shipdate FROM lineitem),
+j AS (SELECT CASE WHEN a >= 40 THEN 1 WHEN a <= 20 THEN -1 ELSE 0 END AS region, l_shipdate - o_orderdate AS wait FROM o JOIN y ON l_orderkey = o_orderkey AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 60 DAY)
+SELECT region, count(*) AS n, CAST(sum(date_diff('day', TIMESTAMP '2000-01-01', TIMESTAMP '2000-01-01' + wait)) AS BIGINT) AS days FROM j GROUP BY region""")
+def t6s(spark, d):
+    """Orders are scored as they come; each shipment of up to 60 days later is a label. Both sides are streams; results are written batch by batch."""
+    source = lambda t: spark.readStream.schema(read(spark, d, t).schema).option("pathGlobFilter", f"{t}.parquet").parquet(d)
+    scored = source("orders").select("o_orderkey", "o_orderdate", F.expr("(o_orderkey * 37 + o_custkey * 11) % 60").alias("a"))
+    labels = source("lineitem").select("l_orderkey", "l_shipdate", F.lit(1).alias("label"))
+    joined = live.with_late_labels(scored, labels.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "o_orderdate", "l_shipdate", "60 days", "4000 days")
+    path = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    decide = lambda df: live.decide_stream(df.withColumn("p", F.col("a").cast("double")), "p", 40.0, 20.0).select("o_orderkey", "region", "waited")
+    live.write_batches(joined, f"{path}/rows", f"{path}/checkpoint", decide).awaitTermination()
+    rows = spark.read.parquet(f"{path}/rows").distinct()  # a shipment date counts once for an order
+    return rows.groupBy("region").agg(F.count("*").alias("n"), F.sum("waited").alias("days"))
+
+
 @query("t2_day_windows_stream", "SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def t2s(spark, d):
     out = _run_stream(live.window_summary(_event_stream(spark, d), "ts", "value", ["event_type"], "1 day", "400 days"), "days", "complete")

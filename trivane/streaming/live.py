@@ -4,33 +4,75 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from trivane.functions.expressions import region
 from trivane.operators.drift import Detector, DetectorConfig
 
 
-def detect_stream(stream: DataFrame, key: str, time: str, value: str, config: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """key, index, value of drift events. State holds a key's last values; rows of a micro-batch are taken in time order."""
-    kind = stream.schema[key].dataType.simpleString()
+#: Fixed value: the class that Spark names for state kept in RocksDB.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class DriftProcessor(StatefulProcessor):
+    """One key's detector: its window of values as a list, the number of its next value and the place of its last event as a value.
+
+    With ``idle`` milliseconds a timer of a key that has seen no row for so long clears its state; the key begins anew after that.
+    """
+
+    def __init__(self, config: DetectorConfig, key: str, idle: int = 0):
+        self.config, self.key, self.idle = config, key, idle
 
-    def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        values, last, index = state.get if state.exists else ([], -1, 0)
-        detector = Detector(config, list(values), None if last < 0 else last)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.values = handle.getListState("values", "value double")
+        self.place = handle.getValueState("place", "next long, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer: TimerValues) -> Iterator[pd.DataFrame]:
+        parts = [f.iloc[:, -2:].to_numpy() for f in rows]  # time and value of each row of this micro-batch
+        new = np.concatenate(parts)
+        new = new[np.lexsort((new[:, 1].astype(float), new[:, 0].astype("int64")))]
+        index, last = self.place.get() if self.place.exists() else (0, -1)
+        detector = Detector(self.config, [v for (v,) in self.values.get()], None if last < 0 else last)
         out = []
-        for v in pd.concat(list(frames)).sort_values(["__time", "__value"])["__value"]:
+        for v in new[:, 1].astype(float).tolist():
             if (found := detector.update(v, index)) is not None:
-                out.append((group[0], index, found))
+                out.append((key[0], index, found))
             index += 1
-        state.update((detector.values, -1 if detector.last is None else detector.last, index))
-        yield pd.DataFrame(out, columns=[key, "index", "value"])
-
-    rows = stream.select(key, F.col(time).alias("__time"), F.col(value).cast("double").alias("__value")).where("__value is not null")
-    return rows.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, index bigint, value double", "values array<double>, last bigint, next bigint", "append", GroupStateTimeout.NoTimeout)
+        self.values.put([(v,) for v in detector.values])
+        self.place.update((index, -1 if detector.last is None else detector.last))
+        if self.idle:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timer.getCurrentProcessingTimeInMs() + self.idle)
+        yield pd.DataFrame(out, columns=[self.key, "index", "value"])
+
+    def handleExpiredTimer(self, key: tuple, timer: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.values.clear()
+        self.place.clear()
+        yield pd.DataFrame([], columns=[self.key, "index", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+def detect_stream(stream: DataFrame, key: str, time: str, value: str, config: DetectorConfig = DetectorConfig(), idle: int = 0) -> DataFrame:
+    """key, index, value of drift events. State holds a key's last values; rows of a micro-batch are taken in the order of time and value, null values are left out.
+
+    State lives in RocksDB under the query's checkpoint, so that a stream that is stopped and started again goes on where it was. A source that limits
+    the files or bytes of a micro-batch bounds what is held of a key at once.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    kind = stream.schema[key].dataType.simpleString()
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    rows = stream.select(key, micros.alias("__time"), F.col(value).cast("double").alias("__value")).where("__value is not null")
+    return rows.groupBy(key).transformWithStateInPandas(DriftProcessor(config, key, idle), f"`{key}` {kind}, index bigint, value double", "Append", "ProcessingTime" if idle else "None")
 
 
 def window_summary(stream: DataFrame, time: str, value: str, keys: list[str], width: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -40,11 +82,16 @@ def window_summary(stream: DataFrame, time: str, value: str, keys: list[str], wi
     return out.select(*keys, F.col("window.start").alias("start"), "n", "mean")
 
 
-def with_late_labels(scored: DataFrame, labels: DataFrame, key: str, scored_time: str, label_time: str, wait: str = "31 days") -> DataFrame:
-    """Scored rows joined with labels that arrive up to ``wait`` after them (a stream-stream join with bounded state)."""
-    s = scored.withColumn("__s", F.col(scored_time).cast("timestamp")).withWatermark("__s", wait)
-    y = labels.select(F.col(key).alias("__key"), "label", F.col(label_time).cast("timestamp").alias("__y")).withWatermark("__y", wait)
-    return s.join(y, F.expr(f"{key} = __key and __y >= __s and __y <= __s + interval {wait}")).drop("__key", "__s", "__y")
+def with_late_labels(scored: DataFrame, labels: DataFrame, key: str, scored_time: str, label_time: str, wait: str = "31 days", late: str = "31 days") -> DataFrame:
+    """Scored rows joined with labels that arrive up to ``wait`` after them, and waited long (whole days), by a stream-stream join.
+
+    ``late`` is how far the rows of either stream may be out of order; with it and the interval, state of either side is
+    dropped once no partner can come any more. Rows that come later than that are not joined.
+    """
+    s = scored.withColumn("__s", F.col(scored_time).cast("timestamp")).withWatermark("__s", late)
+    y = labels.select(F.col(key).alias("__key"), "label", F.col(label_time).cast("timestamp").alias("__y")).withWatermark("__y", late)
+    both = s.join(y, F.expr(f"{key} = __key and __y >= __s and __y <= __s + interval {wait}"))
+    return both.withColumn("waited", F.datediff("__y", "__s").cast("long")).drop("__key", "__s", "__y")
 
 
 def decide_stream(stream: DataFrame, p: str, alpha: float, beta: float) -> DataFrame:
