@@ -63,7 +63,7 @@ class PsoConfig:
 
 @dataclass(frozen=True)
 class LoopConfig:
-    """The dynamic loop: strategy windowed_pso or s_lite; seasons blend in by seasonal_prior_weight once they have seasonal_min_samples rows."""
+    """The keys of a file's loop section. strategy windowed_pso or s_lite; seasons blend in by seasonal_prior_weight once they have seasonal_min_samples rows."""
 
     strategy: str = "windowed_pso"
     step: int = 512
@@ -77,6 +77,10 @@ class LoopConfig:
     stall_rounds: int = 6
     search_gamma: bool = True
     approx_bins: int = 256
+    ema_gamma: float = 0.6
+    rlite_interval: int = 10
+    rlite_grid_step: float = 0.02
+    rlite_grid_radius: int = 2
     step_max: float = 0.05
     hysteresis: float = 0.01
     replay_size: int = 20

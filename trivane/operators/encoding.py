@@ -106,5 +106,11 @@ def level_sizes(n: int) -> tuple[int, int, int]:
     return first, max(first + 1, round(0.8 * n)), n
 
 
+def level_size_columns(n: Column) -> tuple[Column, Column, Column]:
+    """The same of a column of whole numbers."""
+    first = F.greatest(F.lit(1), F.bround(0.6 * n, 0).cast("int"))
+    return first, F.greatest(first + 1, F.bround(0.8 * n, 0).cast("int")), n.cast("int")
+
+
 def log2_or_zero(x: Column) -> Column:
     return F.when(x > 0, F.log(x) / math.log(2)).otherwise(0.0)

@@ -20,6 +20,7 @@ from trivane.operators import drift as D
 from trivane.operators import encoding as E
 from trivane.operators import information as I
 from trivane.operators import labels as L
+from trivane.operators import light as G
 from trivane.operators import metrics as M
 from trivane.operators import ordered as O
 from trivane.operators import posterior as P
@@ -92,9 +93,12 @@ def s1(spark, d):
     return out.groupBy("label").agg(F.count("*").alias("n"), F.sum("carrier").alias("carriers"), F.sum("priority").alias("priorities"), F.round(F.avg("dist"), 6).alias("dist"))
 
 
-@query("s4_synthetic_source")
+@query("s4_synthetic_source", """
+WITH f AS (SELECT o_orderkey AS k, list_transform(range(6), lambda i: ('0x' || substr(md5(o_orderkey || '|' || i), 1, 8))::BIGINT / 2147483648.0 - 1) AS x FROM orders)
+SELECT CAST(x[2] + x[4] - x[1] - x[3] + x[6] > 0 AS INT) AS label, count(*) AS n, round(avg(x[1]), 6) AS mean, round(max(x[5]), 6) AS most FROM f GROUP BY 1""")
 def s4(spark, d):
-    return tables.synthetic(spark, 12_000, 32).groupBy("label").agg(F.count("*").alias("n"), F.avg("feat_00").alias("mean"))
+    rows = tables.synthetic_by_key(read(spark, d, "orders"), "o_orderkey", 5, 4)
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("feat_00"), 6).alias("mean"), F.round(F.max("feat_04"), 6).alias("most"))
 
 
 @query("s3_csv_round_trip", "SELECT count(*) AS n, round(sum(dist), 4) AS dist, count(DISTINCT carrier) AS carriers FROM flights")
@@ -117,10 +121,12 @@ def s2(spark, d):
     return tables.read_arff(spark, f"{path}/0", f"{path}/1").groupBy("carrier").agg(F.count("*").alias("n"), F.round(F.sum("delay"), 4).alias("delay"))
 
 
-@query("s8_config", "SELECT * FROM (VALUES ('GWB.k', '10'), ('S3WD.sigma', '2.5'), ('S3WD.penalty_large', '100.0'), ('PSO.particles', '28'), ('DATA.threshold', '15')) t(name, value)")
+@query("s8_config", "SELECT CAST(delay > 15 AS INT) AS label, count(*) AS n, CAST(10 AS INT) AS k, round(avg(1 - exp(-2.5 * p)), 6) AS regret FROM flights GROUP BY 1")
 def s8(spark, d):
-    c = tables_config()
-    return spark.createDataFrame([(k, v) for k, v in c if k in ("GWB.k", "S3WD.sigma", "S3WD.penalty_large", "PSO.particles", "DATA.threshold")], "name string, value string")
+    """A configuration of mixed keys says how the table is labelled and measured."""
+    c = from_dict({"GWB": {"k": 10}, "S3_sigma": 2.5, "S3_pentalty_large": 100.0, "PSO_particles": 28, "continuous_label": "delay", "threshold": 15})
+    rows = L.binarize_continuous(flights(spark, d).drop("label"), c.DATA.continuous_label, c.DATA.threshold, c.DATA.threshold_op)
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.lit(c.GWB.k).alias("k"), F.round(F.avg(1 - F.exp(-c.S3WD.sigma * F.col("p"))), 6).alias("regret"))
 
 
 def tables_config() -> list[tuple[str, str]]:
@@ -553,9 +559,12 @@ def a22_counted(spark, d):
     return I.counted_information(flights(spark, d), ["carrier", "priority", "month"], "label").select("feature", *r6("score"))
 
 
-@query("a23_level_sizes", "SELECT * FROM (VALUES (5, 3, 4, 5), (10, 6, 8, 10), (1, 1, 2, 1)) t(n, a, b, c)")
+@query("a23_level_sizes", """
+WITH t AS (SELECT p_brand AS brand, count(DISTINCT p_type) AS n FROM part GROUP BY 1), f AS (SELECT *, greatest(1, CAST(round_even(0.6 * n, 0) AS INT)) AS a FROM t)
+SELECT brand, a, greatest(a + 1, CAST(round_even(0.8 * n, 0) AS INT)) AS b, CAST(n AS INT) AS c FROM f""")
 def a23(spark, d):
-    return spark.createDataFrame([(n, *E.level_sizes(n)) for n in (5, 10, 1)], "n int, a int, b int, c int")
+    n = read(spark, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count_distinct("p_type").alias("n"))
+    return n.select("brand", *[x.alias(c) for x, c in zip(E.level_size_columns(F.col("n")), "abc", strict=True)])
 
 
 # ---- neighbours and posteriors -----------------------------------------------------
@@ -728,14 +737,23 @@ f AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY round(score, 9), a
 """
 
 
-@query("h1_grid", f"SELECT CAST(a AS DOUBLE) AS alpha, CAST(b AS DOUBLE) AS beta FROM unnest({list(_GRID.alphas)}) x(a), unnest({list(_GRID.betas)}) y(b)")
+@query("h1_grid", f"""SELECT CAST(a AS DOUBLE) AS alpha, CAST(b AS DOUBLE) AS beta, round(avg(CAST(p >= a AS INT)), 6) AS coverage, round(avg(CAST(p < a AND p > b AS INT)), 6) AS bnd_ratio
+FROM flights, unnest({list(_GRID.alphas)}) x(a), unnest({list(_GRID.betas)}) y(b) GROUP BY ALL""")
 def h1(spark, d):
-    return spark.createDataFrame([(a, b) for a in H.grid_range(0.5, 0.92, 0.025) for b in H.grid_range(0.4, 0.0, 0.02)], "alpha double, beta double")
+    grid = H.Grid(alphas=tuple(H.grid_range(0.5, 0.92, 0.025)), betas=tuple(H.grid_range(0.4, 0.0, 0.02)))
+    rows = flights(spark, d).select(F.col("p").alias("p_pos"), (1 - F.col("p")).alias("p_neg"), F.lit(0.0).alias("p_bnd"))
+    return H.grid_scores(rows, grid).select("alpha", "beta", *r6("coverage", "bnd_ratio"))
 
 
-@query("h4_limited_grid", f"SELECT a AS alpha FROM unnest({list(_GRID.alphas)}) x(a) WHERE abs(a - 0.7) <= 0.05 + 1e-12")
+_NEAR = tuple(x for x in _GRID.alphas if abs(x - 0.7) <= 0.05 + 1e-12)
+
+
+@query("h4_limited_grid", f"""SELECT year, CAST(a AS DOUBLE) AS alpha, round(avg(CAST(p >= a AS INT)), 6) AS coverage FROM flights, unnest({list(_NEAR)}) x(a) GROUP BY ALL""")
 def h4(spark, d):
-    return spark.createDataFrame([(a,) for a in H.limit_range(H.grid_range(0.92, 0.5, 0.025), 0.7, 0.05)], "alpha double")
+    """Accepted shares of each year for the alphas near the last threshold."""
+    grid = H.Grid(alphas=tuple(H.limit_range(H.grid_range(0.92, 0.5, 0.025), 0.7, 0.05)), betas=(0.2,))
+    rows = flights(spark, d).select("year", F.col("p").alias("p_pos"), (1 - F.col("p")).alias("p_neg"), F.lit(0.0).alias("p_bnd"))
+    return H.grid_scores(rows, grid, ["year"]).select("year", "alpha", *r6("coverage"))
 
 
 @query("h2_select_alpha_beta", _PAIRS + "SELECT year, max(a) FILTER (r = 1) AS alpha, max(b) FILTER (r = 1) AS beta, round(max(score) FILTER (r = 1), 6) AS best, round(max(score) FILTER (r = 2), 6) AS second, CAST(count(*) AS INT) AS feasible_count FROM f GROUP BY year")
@@ -798,6 +816,17 @@ def h10(spark, d):
     return spark.createDataFrame(out, "period_idx int, tau double, alpha double, beta double")
 
 
+@query("h10_light_thresholds")
+def h10_light(spark, d):
+    """Decayed histograms of three levels, year by year, calibrated over the replayed years."""
+    df, names, params = flights(spark, d), ["p1", "p", "p3"], G.LightParams(target_bnd=0.18, every=2)
+    strategy, out, last = dynamic.LightStrategy(params), [], None
+    for y in sorted(r[0] for r in df.select("year").distinct().collect()):
+        last = strategy.adapt(df.where(F.col("year") == y), names, "label", last, False)
+        out += [(y, i, a, b, last.gamma, last.fitness) for i, (a, b) in enumerate(zip(last.alphas, last.betas, strict=True), 1)]
+    return spark.createDataFrame(out, "year int, layer int, alpha double, beta double, gamma double, fitness double")
+
+
 @query("h12_enforce_gap", "SELECT row_id, round(least(greatest(CASE WHEN p - p1 < 0.1 THEN (p + p1) / 2 + 0.05 ELSE p END, 0), 0.999), 6) AS a, round(least(greatest(CASE WHEN p - p1 < 0.1 THEN (p + p1) / 2 - 0.05 ELSE p1 END, 0), 0.999), 6) AS b FROM flights")
 def h12(spark, d):
     a, b = H.enforce_gap_columns("p", "p1", 0.1)
@@ -1070,3 +1099,18 @@ def g0(spark, d):
 @query("g0_repeated_splits")
 def g0_repeated(spark, d):
     return dynamic.repeated_splits(_split_rows(spark, d), _SPLIT_FEATURES, "label", "row_id", swarm=H.SwarmParams(8, 6))
+
+
+@query("t13_loop_strategies")
+def t13_strategies(spark, d):
+    """Both strategies of the loop on the same windows of a year, as one configuration says."""
+    rows = flights(spark, d).withColumn("day", F.make_date("year", "month", F.lit(1)))
+    config = from_dict({
+        "DYN": {"strategy": "s_lite", "time_unit": "years", "seasonal_group": "year", "seasonal_prior_weight": 0.2, "seasonal_min_samples": 100, "target_bnd": 0.18, "rlite_interval": 2},
+        "DRIFT": {"window_size": 12, "stat_size": 3}, "PSO": {"particles": 6, "iters": 4},
+    })
+    out = []
+    for name in ("s_lite", "windowed_pso"):
+        steps = dynamic.run_loop(rows, 3, config, ["p1", "p", "p3"], "label", ["row_id"], "day", name)
+        out += [(name, s.window, s.alphas[0], s.betas[0], s.gamma, s.drift, float(s.metrics["F1"])) for s in steps]
+    return spark.createDataFrame(out, "strategy string, window int, alpha double, beta double, gamma double, drift boolean, F1 double")

@@ -97,6 +97,14 @@ def synthetic(spark: SparkSession, rows: int = 12_000, features: int = 32, infor
     return df.withColumn("label", (total + F.randn(seed + features) > 0).cast("int"))
 
 
+def synthetic_by_key(df: DataFrame, key: str, features: int = 32, informative: int = 8) -> DataFrame:
+    """key, feat_00, ..., label for each row of a table: features uniform in [-1, 1), the label explained by the first ``informative`` and noise. MD5 of key and number draws them, so they stay with the key."""
+    draw = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(i)))), 1, 8), 16, 10).cast("long") / 2147483648.0 - 1
+    out = df.select(key, *[draw(i).alias(f"feat_{i:02d}") for i in range(features)], draw(features).alias("__noise"))
+    total = sum((F.col(f"feat_{i:02d}") * (1.0 if i % 2 else -1.0) for i in range(min(informative, features))), F.lit(0.0))
+    return out.withColumn("label", (total + F.col("__noise") > 0).cast("int")).drop("__noise")
+
+
 def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
     """CSV with a header; ``single`` for the small result tables of a run."""
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
