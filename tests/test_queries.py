@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from tests.compare import assert_same, connect
 from trivane import queries
 
-SLOW = {"t11_rolling_flow", "t13_dynamic_loop", "g0_static_split", "h7_swarm_thresholds", "h8_windowed_swarm", "m8_boosted_baseline"}
+#: Queries without SQL, with the rows that they give on the smallest tables (None: any number) and bounds of their numbers.
+ROWS = {
+    "g0_static_split": 10, "g0_repeated_splits": 7, "m8_boosted_baseline": 4, "h7_swarm_thresholds": 2, "h10_light_thresholds": 14, "h10_histogram_thresholds": 80, "t9_sliding_posterior": 100, "t10_reservoir_posterior": 100,
+    "t13_loop_strategies": 8, "d1_kswin": None, "d1_kswin_stream": None, "d3_adwin": None,
+}
+#: Minutes each: tests/test_operators.py and tests/test_loop.py hold their parts against plain versions.
+SLOW = {"t11_rolling_flow", "t13_dynamic_loop", "h8_windowed_swarm"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +31,12 @@ def test_same_as_sql(name, spark, sf_dir, con):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES) - SLOW))
 def test_runs(name, spark, sf_dir):
-    assert queries.QUERIES[name](spark, sf_dir).count() >= 0
+    rows = queries.QUERIES[name](spark, sf_dir).collect()
+    assert ROWS[name] is None or len(rows) == ROWS[name]
+    for r in rows:
+        for c in ("alpha", "beta", "gamma", "tau", "p", "F1", "BAC", "AUC", "Precision", "Recall"):
+            assert c not in r or 0 <= r[c] <= 1
+        assert not {"alpha", "beta"} <= set(r.asDict()) or r.alpha > r.beta
 
 
 def test_boosted_baseline_reads_every_row(monkeypatch, spark, sf_dir):
@@ -104,6 +115,33 @@ def test_kswin_by_the_definition(spark, sf_dir):
         assert set(got) <= set(streams)
 
 
+def adwin_plain(values, window, delta, least=5):
+    """Events of a stream by the definition: the cut with the greatest margin of the means' gap over its bound."""
+    kept, out = [], []
+    for i, v in enumerate(values):
+        kept = (kept + [v])[-window:]
+        best, at = 0.0, 0
+        for k in range(least, len(kept) - least + 1):
+            a, b = kept[:k], kept[k:]
+            margin = abs(sum(a) / len(a) - sum(b) / len(b)) - math.sqrt(0.5 * (1 / len(a) + 1 / len(b)) * math.log(2 / delta))
+            if margin > best + 1e-12:
+                best, at = margin, k
+        if at:
+            out.append((i, round(abs(sum(kept[:at]) / at - sum(kept[at:]) / (len(kept) - at)), 6)))
+            kept = kept[at:]
+    return out
+
+
+def test_adwin_by_the_definition(spark, sf_dir):
+    streams = {}
+    for r in queries.read(spark, sf_dir, "events").orderBy("ts", "event_id").collect():
+        streams.setdefault(r.event_type, []).append(r.value + (30 if r.event_id % 400 > 200 else 0))
+    got = {}
+    for r in queries.QUERIES["d3_adwin"](spark, sf_dir).collect():
+        got.setdefault(r.event_type, []).append((r["index"], round(r.value, 6)))
+    assert {k: sorted(v) for k, v in got.items()} == {k: e for k, v in streams.items() if (e := adwin_plain(v, 60, 0.01))}
+
+
 @pytest.mark.parametrize("name", ["t9_sliding_posterior", "t10_reservoir_posterior"])
 def test_buffers_by_brute_force(name, spark, sf_dir):
     t, q = (sorted(((r.vec_id, np.array(r.vec), r.y) for r in x.collect()), key=lambda r: r[0]) for x in queries._vectors(spark, sf_dir))

@@ -80,8 +80,7 @@ def save(result: FlowResult, folder: str) -> None:
 def learnt(rows: DataFrame, config: FlowConfig, warmup: list[int]) -> tuple[DataFrame, NeighbourTable]:
     """(rows with buckets by period and g, the neighbours' posterior learnt from the warm-up years; the table that learns more)."""
     bucketed = written(assign_buckets(rows, config.buckets, ["period_idx"]), "rows")
-    table = NeighbourTable(_with_vector(bucketed, config), config.k, "row_id", "row_id", "label", categories=config.categories)
-    return with_posterior(bucketed, bucketed.where(F.col("year").isin(warmup)), table, config)
+    return learn_more(bucketed, bucketed.where(F.col("year").isin(warmup)), _table(bucketed, config), config)
 
 
 def enrich(rows: DataFrame, config: FlowConfig, warmup: list[int]) -> DataFrame:
@@ -92,7 +91,16 @@ def _with_vector(df: DataFrame, config: FlowConfig) -> DataFrame:
     return df.withColumn("vec", F.array(*[F.col(c).cast("double") for c in config.numeric]))
 
 
-def with_posterior(data: DataFrame, new: DataFrame, table: NeighbourTable, config: FlowConfig) -> tuple[DataFrame, NeighbourTable]:
+def _table(data: DataFrame, config: FlowConfig) -> NeighbourTable:
+    return NeighbourTable(_with_vector(data, config), config.k, "row_id", "row_id", "label", categories=tuple(config.categories))
+
+
+def with_posterior(data: DataFrame, train: DataFrame, config: FlowConfig) -> DataFrame:
+    """``data`` with g, learnt from all rows of ``train`` at once."""
+    return learn_more(data, train, _table(data, config), config)[0]
+
+
+def learn_more(data: DataFrame, new: DataFrame, table: NeighbourTable, config: FlowConfig) -> tuple[DataFrame, NeighbourTable]:
     """(``data`` with g, ``table`` after the rows of ``new``): g is the kernel posterior of the k nearest of all rows learnt so far, categories that
     differ penalised; 0.5 where nothing can be learnt. Only the new rows are searched."""
     table = table.add(_with_vector(new, config))
@@ -177,7 +185,7 @@ def run_flow(rows: DataFrame, config: FlowConfig) -> FlowResult:
         if level == "S3":
             baseline, base_rate, base_f1 = current, extra["rate"], m["F1"]
             if config.refit:  # labels of all periods up to the last one are known by now
-                data, table = with_posterior(data, data.where((F.col("period_idx") < now) & ~known), table, config)
+                data, table = learn_more(data, data.where((F.col("period_idx") < now) & ~known), table, config)
                 known = known | (F.col("period_idx") < now)
         year, season = int(extra["year"]), now % config.seasons + 1
         trace.append((now, index, year, season, *map(float, star), alpha, beta, _float(found["best"]), float(extra["bnd"]), float(extra["cov"]), note, _float(found["best"]), _float(found["second"]), _float(found["delta"]), int(found["feasible_count"] or 0)))

@@ -18,6 +18,7 @@ from trivane.functions import expressions as X
 from trivane.operators import bucketing as B
 from trivane.operators import drift as D
 from trivane.operators import encoding as E
+from trivane.operators import frames as R
 from trivane.operators import information as I
 from trivane.operators import labels as L
 from trivane.operators import light as G
@@ -136,6 +137,29 @@ def tables_config() -> list[tuple[str, str]]:
     return [(k, str(v)) for k, v in flatten(from_dict(mixed)).items()]
 
 
+@query("s7_histogram", """
+WITH k AS (SELECT DISTINCT year FROM flights), b AS (SELECT unnest(range(20)) AS bin), c AS (SELECT year, least(floor(p1 * 20), 19) AS bin, count(*) AS n FROM flights WHERE p1 BETWEEN 0 AND 1 GROUP BY ALL)
+SELECT year, CAST(b.bin AS INT) AS bin, round(b.bin / 20, 6) AS lo, round((b.bin + 1) / 20, 6) AS hi, coalesce(n, 0) AS n, round(coalesce(coalesce(n, 0) / sum(n) OVER (PARTITION BY year), 0), 6) AS share FROM k, b LEFT JOIN c ON c.year = k.year AND c.bin = b.bin""".replace("FROM k, b LEFT", "FROM k CROSS JOIN b LEFT").replace("SELECT year, CAST(b", "SELECT k.year, CAST(b").replace("PARTITION BY year", "PARTITION BY k.year"))
+def s7_histogram(spark, d):
+    return R.probability_histogram(flights(spark, d), "p1", 20, ["year"]).select("year", "bin", *r6("lo", "hi"), "n", *r6("share"))
+
+
+@query("s7_trajectory", """
+WITH m AS (SELECT year, month, avg(p) AS p, avg(p1) AS q FROM flights GROUP BY ALL), s AS (SELECT *, row_number() OVER w AS step, p - lag(p) OVER w AS dp, q - lag(q) OVER w AS dq FROM m WINDOW w AS (PARTITION BY year ORDER BY month))
+SELECT year, CAST(step AS INT) AS step, 'p' AS name, round(p, 6) AS value, round(dp, 6) AS change FROM s UNION ALL SELECT year, CAST(step AS INT), 'q', round(q, 6), round(dq, 6) FROM s""")
+def s7_trajectory(spark, d):
+    trace = flights(spark, d).groupBy("year", "month").agg(F.avg("p").alias("p"), F.avg("p1").alias("q"))
+    return R.trajectory(trace, "month", ["p", "q"], ["year"]).select("year", "step", "name", *r6("value", "change"))
+
+
+@query("s7_drift_timeline", """
+WITH e AS (SELECT period_idx AS i, avg(p1) AS v FROM flights GROUP BY 1 HAVING avg(p1) > 0.45)
+SELECT CAST(row_number() OVER (ORDER BY i) AS INT) AS number, CAST(i AS BIGINT) AS index, round(v, 6) AS value, 'mean' AS method, CAST(i - lag(i) OVER (ORDER BY i) AS BIGINT) AS gap, round(i / 30000, 6) AS place FROM e""")
+def s7_timeline(spark, d):
+    e = flights(spark, d).groupBy(F.col("period_idx").alias("i")).agg(F.avg("p1").alias("v")).where("v > 0.45").withColumn("how", F.lit("mean"))
+    return R.drift_timeline(e, "i", "v", "how", 30_000).select("number", "index", *r6("value"), "method", "gap", *r6("place"))
+
+
 @query("l1_continuous_label", "SELECT row_id, CAST(delay > 15 AS INT) AS label FROM flights")
 def l1(spark, d):
     return L.binarize_continuous(flights(spark, d).drop("label"), "delay", 15.0).select("row_id", "label")
@@ -761,6 +785,13 @@ def h2(spark, d):
     return H.select_alpha_beta(_probs(spark, d), _GRID, ["year"], digits=9).select("year", "alpha", "beta", *r6("best", "second"), "feasible_count")
 
 
+@query("s7_score_grid", _PAIRS + """, q AS (SELECT year, a, b, round(score, 9) AS score, row_number() OVER (PARTITION BY year ORDER BY (NOT (a >= b + 0.05 - 1e-12 AND cov >= 0.1 AND bnd <= 0.6)), round(score, 9), a, b) AS i, a >= b + 0.05 - 1e-12 AND cov >= 0.1 AND bnd <= 0.6 AS ok FROM s)
+SELECT year, a AS alpha, b AS beta, round(score, 6) AS score, CAST(dense_rank() OVER (PARTITION BY year ORDER BY a) - 1 AS INT) AS row, CAST(dense_rank() OVER (PARTITION BY year ORDER BY b) - 1 AS INT) AS col, i = 1 AND ok AS best FROM q""")
+def s7_grid(spark, d):
+    scores = H.grid_scores(_probs(spark, d), _GRID, ["year"]).withColumn("score", F.round("score", 9))
+    return R.score_grid(scores, ["year"]).select("year", "alpha", "beta", *r6("score"), "row", "col", "best")
+
+
 @query("h3_ema_clip", _PAIRS + """, w AS (SELECT year, a, b, row_number() OVER (ORDER BY year) AS i FROM f WHERE r = 1),
 e AS (SELECT i, year, a, b, a AS sa, b AS sb FROM w WHERE i = 1 UNION ALL SELECT w.i, w.year, w.a, w.b, least(greatest(e.sa + least(greatest(0.4 * w.a + 0.6 * e.sa - e.sa, -0.05), 0.05), 0), 1), least(greatest(e.sb + least(greatest(0.4 * w.b + 0.6 * e.sb - e.sb, -0.05), 0.05), 0), 1) FROM e JOIN w ON w.i = e.i + 1)
 SELECT year, round(sa, 6) AS alpha_smoothed, round(sb, 6) AS beta_smoothed FROM e""")
