@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trivane.llm.wordhash import Words, mix, text_chunks
 
@@ -232,7 +233,8 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_c
     floor((1 - similarity) * n) word edits of the item's n words (lower case,
     punctuation ignored). start and end are code points of the first nearest run in the
     lower-case text. Null, empty and wordless texts and items match nothing; repeated rows
-    of either table each give their matches, and rows with null ids take part. Candidates come from the
+    of either table each give their matches, and rows with null ids take part (ids of any type). Very long texts are searched whole, in a chunk of their own; of ties
+    between runs the first counts. Only the columns named here are read and returned. Candidates come from the
     hashes alone (recall: see Params). The index of the benchmark goes to the tasks in blocks of ITEMS_PER_PASS items
     or WORDS_PER_PASS words, however many it has; documents are not shuffled.
     """
@@ -256,6 +258,7 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_c
 
 def _one_pass(docs: DataFrame, held: list[tuple], params: Params, schema: T.StructType) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Index([x[0] for x in held], [x[1] for x in held], params))
+    item_type = to_arrow_type(schema["item_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -273,7 +276,7 @@ def _one_pass(docs: DataFrame, held: list[tuple], params: Params, schema: T.Stru
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(cols[0])), pa.array(cols[1]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.int64()), pa.array(cols[6], pa.int64())],
+                    [ids.take(pa.array(cols[0])), pa.array(cols[1], item_type), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.int64()), pa.array(cols[6], pa.int64())],
                     names=["doc_id", "item_id", "edits", "n_words", "similarity", "start", "end"],
                 )
 
