@@ -1,12 +1,12 @@
 """Main text of web pages: the best-scoring contiguous run of tokens.
 
 A page is a row of words and tags. Their weights are log odds of lying in the content, learnt from labelled
-pages: words by the kind and size of their block and whether they are link text, tags by name.
-One linear scan finds the contiguous run with the greatest sum.
+pages: words by the kind and size of their block, whether they are link text and what the elements around them
+are called, tags by name. One linear scan finds the contiguous run with the greatest sum; at a fixed cost each, the run
+may pass over stretches that elements around them call something else, which takes adverts and
+notices out of the middle of an article.
 
-What is never content by itself (scripts, styles, forms, hidden elements) is cut before; so are
-elements whose section name, class, id or role the labelled pages know from outside of
-the content only, which takes adverts and notices out of the middle of an article.
+Only what is never content by itself (scripts, styles, forms, hidden elements) is cut before the scan.
 """
 
 from __future__ import annotations
@@ -36,13 +36,16 @@ _BLOCK = {
 _NEVER = {"form", "button", "fieldset", *_RAW}
 #: Elements whose name says what they hold; the names of others (div, p, table) say nothing.
 _SECTION = {"nav", "header", "footer", "aside", "menu", "dialog", "article", "main"}
+_PARAGRAPH = {"p", "blockquote", "pre"}
+_ITEM = {"li", "td", "th", "dt", "dd", "caption"}
+_CALLED = {-1: "called something else", 0: "not called", 1: "called content"}
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _LETTERS = re.compile(r"[a-z]+")
 
 
 @dataclass
 class Token:
-    """A piece of text or a tag; outside is true in an element that is cut, called in one called content, place names the block element, link is true in a link, group is the block without regard to line breaks."""
+    """A piece of text or a tag; outside is true in an element that is never content, called is -1 in an element called something else, 1 in one called content, else 0, place names the block element, link is true in a link, group is the block without regard to line breaks."""
 
     kind: str
     text: str = ""
@@ -50,7 +53,7 @@ class Token:
     block: int = 0
     place: str = ""
     link: bool = False
-    called: bool = False
+    called: int = 0
     group: int = 0
 
 
@@ -74,13 +77,13 @@ def _marks(name: str, attributes: str) -> Iterator[str]:
 
 
 def _standing(name: str, attributes: str, marks: dict[str, float]) -> int:
-    """-1 for an element that is cut, 1 for one that is called content, else 0."""
+    """-2 for an element that is never content, -1 for one that is called something else, 1 for one that is called content, else 0."""
     if name in _NEVER:
-        return -1
+        return -2
     for key, value in _ATTRIBUTE.findall(attributes or "") if name not in ("html", "body") else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return -1
+            return -2
     total = sum(marks.get(m, 0.0) for m in set(_marks(name, attributes)))
     return (total > 0) - (total < 0)
 
@@ -88,20 +91,35 @@ def _standing(name: str, attributes: str, marks: dict[str, float]) -> int:
 def tokens(page: str, marks: dict[str, float]) -> Iterator[Token]:
     """Words and tags of a page in order. End tags that match no open element are only marks; open ones end with their parents."""
     stack: list[tuple[str, int]] = []
-    at = block = group = outside = links = called = 0
+    at = block = group = links = 0
+    inside = {-2: 0, -1: 0, 0: 0, 1: 0}
     lower, place = None, ""
     n = len(page)
+
+    def close() -> str:
+        nonlocal links
+        gone, was = stack.pop()
+        inside[was] -= 1
+        links -= gone == "a"
+        return gone
+
+    def text(found: str) -> Token:
+        return Token("text", found, inside[-2] > 0, block, place, links > 0, -1 if inside[-1] else min(inside[1], 1), group)
+
+    def tag(name: str, attributes: str = "", own: int = 0) -> Token:
+        return Token(name, attributes, inside[-2] > 0 or own == -2, block, called=-1 if inside[-1] or own == -1 else 0)
+
     while at < n:
         cut = page.find("<", at)
         m = None
         end = n if cut < 0 else cut
         if end > at:
-            yield Token("text", page[at:end], outside > 0, block, place, links > 0, called > 0, group)
+            yield text(page[at:end])
         if cut < 0:
             return
         m = _TOKEN.match(page, cut)
         if not m:
-            yield Token("text", "<", outside > 0, block, place, links > 0, called > 0, group)
+            yield text("<")
             at = cut + 1
             continue
         at = m.end() if m.end() > cut else cut + 1
@@ -114,63 +132,69 @@ def tokens(page: str, marks: dict[str, float]) -> Iterator[Token]:
             place = place if name == "br" else "" if m[1] else name
         if m[1]:
             if any(x[0] == name for x in reversed(stack)):
-                while stack:
-                    gone, was = stack.pop()
-                    outside -= was < 0
-                    called -= was > 0
-                    links -= gone == "a"
-                    if gone == name:
-                        break
-            yield Token("/" + name, "", outside > 0, block)
+                while close() != name:
+                    pass
+            yield tag("/" + name)
             continue
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
             # These end an open one of the same kind, unless a list or table lies between.
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     while len(stack) > k:
-                        gone, was = stack.pop()
-                        outside -= was < 0
-                        called -= was > 0
-                        links -= gone == "a"
+                        close()
                     break
                 if stack[k][0] in ("ul", "ol", "table", "dl", "div", "article", "section", "main", "body", "blockquote", "nav", "aside", "footer", "header", "form"):
                     break
         own = _standing(name, m[3], marks)
-        yield Token(name, m[3], outside > 0 or own < 0, block)
+        yield tag(name, m[3], own)
         if name in _OPAQUE:
             lower = page.lower() if lower is None else lower
             stop = lower.find("</" + name, at)
             at = n if stop < 0 else stop
             if stop >= 0:
-                close = page.find(">", stop)
-                at = n if close < 0 else close + 1
+                shut = page.find(">", stop)
+                at = n if shut < 0 else shut + 1
             continue
         if name in _VOID or m[4] == "/" and name not in _BLOCK:
             continue
         stack.append((name, own))
-        outside += own < 0
-        called += own > 0
+        inside[own] += 1
         links += name == "a"
 
 
 def features(toks: list[Token]) -> list[tuple[str, ...]]:
-    """What the weight of each token is the sum of: a tag's name; the place and size of words' block, link text or not, and their standing."""
+    """What the weight of each token is the sum of: a tag's name; the place and size of words' block, link text or not, and what the elements around are called.
+
+    Words outside of paragraphs count by whether paragraphs hold a fifth of the page's running words.
+    """
     size: Counter = Counter()
+    running = 0
     for t in toks:
         if t.kind == "text" and not t.outside:
-            size[t.group] += len(t.text.split())
+            n = len(t.text.split())
+            size[t.group] += n
+            if not t.link and t.called >= 0 and t.place not in _HEADING | _ITEM:
+                running += 4 * n if t.place in _PARAGRAPH else -n
 
     def of(t: Token) -> tuple[str, ...]:
         if t.kind != "text":
             return ("<" + t.kind.lstrip("/") + ">",)
         many = "few" if size[t.group] < 5 else "some" if size[t.group] < 12 else "many"
-        place = "heading" if t.place in _HEADING else f"{many} in a paragraph" if t.place in ("p", "blockquote", "pre") else f"{many} elsewhere"
-        return place, "link" if t.link else "no link", "called content" if t.called else "not called so"
+        if t.place in _HEADING:
+            place = "heading"
+        elif t.place in _PARAGRAPH:
+            place = f"{many} in a paragraph"
+        else:
+            place = f"{many} in {'an item' if t.place in _ITEM else 'other blocks'}{' among paragraphs' if running > 0 else ''}"
+        return place, "link" if t.link else "no link", _CALLED[t.called]
 
     return [of(t) for t in toks]
 
 
-#: Labelled pages: html with the content between [[ and ]], which may come several times. They have the usual sections, names
+#: What it costs the best run to pass over a stretch that is called something else, in nats.
+PASS_COST = 4.0
+
+#: Labelled pages, written by hand as there are no labels in the table: html with the content between [[ and ]], which may come several times. They have the usual sections, names
 #: of boilerplate (one of them an element), and pages without any telling name.
 LABELLED = (
     '<html><head><title>a b</title><script>x</script></head><body><nav class="navbar navigation menu"><ul><li><a href="/x">home</a></li><li><a href="/y">news</a></li></ul></nav><div class="ad">buy this now please</div><div class="breadcrumb"><a href="/">home</a></div>'
@@ -188,6 +212,8 @@ LABELLED = (
     '<body><div class="x1"><a href="/a">start</a> <a href="/b">shop</a> <a href="/c">about</a></div><div><ul><li><a href="/1">first page</a></li><li><a href="/2">second page</a></li><li><a href="/3">third page</a></li></ul></div>[[<div class="x2"><h1>the small harbour</h1><p>the harbour is small and holds nine boats when the tide is in and none when it is out</p><p>men mend <a href="/n">nets</a> on the wall</p></div><div><p>in winter it is closed and the boats stand in the street before the houses</p></div>]]'
     '<div><a href="/4">an other harbour</a> <a href="/5">the light house</a></div><div>one two three</div><div><span>tel 123</span></div></body>',
     '<body><table><tr><td><a href="/a">home</a></td><td><a href="/b">links</a></td><td>menu</td></tr></table><table><tr><td>[[<h2>bees</h2>bees fly from march to october and dance to tell the others where to go<br>a hive holds forty thousand of them in a good summer<p>they sleep little</p>]]</td></tr></table><table><tr><td><a href="/c">next</a></td><td>page 3</td><td>hits 100</td></tr></table></body>',
+    '<body><div><a href="/">start</a></div><div>a line of an advert in a few words</div><div>[[<h1>tides</h1><p>the tide comes in two times a day and the boats rise with it until they float</p><p>Then it turns.</p><ul><li>at low tide the sand is dry for an hour or more</li><li>walk fast</li></ul><p>nobody who lives here walks out to the island without a table of the tides in the pocket</p>]]</div><div>the tide site of the north coast and its makers, all of it written with care</div></body>',
+    '<body><div><ul><li><a href="/m">mills</a></li><li><a href="/d">dams</a></li></ul></div><div>come and see our new shop of lamps and chairs today</div><div>[[<h1>the old mill</h1><p>the mill stands by the weir and its wheel has not turned since the great flood of that winter</p><p>Stones lie in the grass.</p>]]</div><div>mill pages, a site about mills and weirs and the people who keep them</div></body>',
     '<body><div class="skip"><a href="#c">skip</a></div><div class="toolbar"><a href="/p">print</a></div><div class="login signup"><p>log in or sign up</p></div><div class="overlay gdpr"><p>we and our partners keep data on your device to show you what you may like</p></div>[[<div class="story text"><h1>Snow</h1><p>snow fell for two days and shut the road over the pass</p><h2>Trains</h2><p>no train ran</p></div>]]<div class="disqus discussion replies commentlist"><p>we had no snow at all where i live and it was quite warm</p></div><div class="sponsor adsense"><p>tyres for snow and ice</p></div><div class="contentinfo complementary"><p>about us</p></div></body>',
 )
 
@@ -196,7 +222,7 @@ def learn(pages: tuple[str, ...] = LABELLED) -> Weights:
     """Weights from labelled pages, half a count added to each.
 
     Marks are counted by element, which is inside if it touches the content, and those met both in and out say nothing; features
-    are counted by word or tag of what the marks leave.
+    are counted by word or tag, without what is never content.
     """
     texts = []
     for page in pages:
@@ -243,34 +269,59 @@ def learn(pages: tuple[str, ...] = LABELLED) -> Weights:
 
 
 def score(weights: Weights, t: Token, own: tuple[str, ...]) -> float:
-    """Tags are always negative; what is cut weighs nothing."""
+    """Tags are always negative; what is never content weighs nothing."""
     if t.outside:
         return 0.0
     total = sum(weights.features.get(k, 0.0) for k in own)
     return len(t.text.split()) * total if t.kind == "text" else min(total, -0.1)
 
 
+def best_region(scores: list[float], passable: list[bool], cost: float = PASS_COST) -> tuple[int, int, list[tuple[int, int]]]:
+    """(start, end, gaps) of the run whose sum is greatest, where gaps of passable tokens count nothing but ``cost`` each.
+
+    One scan with two sums, of the best run that ends here and of the best one that is in a gap here; (0, 0, []) if no sum is
+    positive. Ties go to the run that ends first and then to the one with fewer gaps.
+    """
+    best: tuple = (0.0, 0, 0, None)
+    run: tuple = (0.0, 0, None)
+    gap: tuple | None = None
+    for i, (s, free) in enumerate(zip(scores, passable, strict=True)):
+        before = run
+        if run[0] <= 0:
+            run = (0.0, i, None)
+        if gap is not None and gap[0] > run[0]:
+            run = (gap[0], gap[1], (gap[2], gap[3], i))
+        run = (run[0] + s, run[1], run[2])
+        if not free:
+            gap = None
+        elif before[0] > cost and (gap is None or before[0] - cost > gap[0]):
+            gap = (before[0] - cost, before[1], before[2], i)
+        if run[0] > best[0]:
+            best = (run[0], run[1], i + 1, run[2])
+    gaps, link = [], best[3]
+    while link is not None:
+        gaps.append((link[1], link[2]))
+        link = link[0]
+    return best[1], best[2], gaps[::-1]
+
+
 def best_run(scores: list[float]) -> tuple[int, int]:
-    """(start, end) of the contiguous run with the greatest sum, (0, 0) if none is positive. One scan."""
-    best, span = 0.0, (0, 0)
-    total, start = 0.0, 0
-    for i, s in enumerate(scores):
-        if total <= 0:
-            total, start = 0.0, i
-        total += s
-        if total > best:
-            best, span = total, (start, i + 1)
-    return span
+    """(start, end) of the contiguous run with the greatest sum and no gaps, (0, 0) if none is positive."""
+    return best_region(scores, [False] * len(scores))[:2]
 
 
 def main_text(page: str | None, weights: Weights) -> str:
     """The blocks of the best run, white space inside a block as one space, blocks joined by one space."""
     toks = list(tokens(page or "", weights.marks))
+    chosen = toks
     # Without a tag there is nothing to tell apart.
-    a, b = (0, len(toks)) if all(t.kind == "text" for t in toks) else best_run([score(weights, t, k) for t, k in zip(toks, features(toks), strict=True)])
+    if any(t.kind != "text" for t in toks):
+        a, b, gaps = best_region([score(weights, t, k) for t, k in zip(toks, features(toks), strict=True)], [t.called < 0 or t.outside or t.kind != "text" or t.text.isspace() for t in toks])
+        edges = [a, *[x for g in gaps for x in g], b]
+        chosen = [t for i in range(0, len(edges), 2) for t in toks[edges[i] : edges[i + 1]]]
     blocks: list[str] = []
     last, part = None, []
-    for t in [*toks[a:b], None]:
+    for t in [*chosen, None]:
         if t is not None and (t.kind != "text" or t.outside):
             continue
         if t is None or t.block != last:
