@@ -322,6 +322,8 @@ def test_html_text_is_decided_by_the_scan(spark, sf_dir, monkeypatch):
     assert len(wrong) <= 0.1 * len(pages) and all(len(e.split()) <= 12 for e in wrong)
     notice = "<main><p>The first part of a text that is long enough.</p><div class=advert><p>Buy these very good things for less money today and only today, all of you.</p></div><p>And the second part.</p></main>"
     assert html_text.main_text(notice, weights) == "The first part of a text that is long enough. And the second part."
+    plain = notice.replace("main>", "div>").replace("second part.", "end.")
+    assert html_text.main_text(plain, weights) == "The first part of a text that is long enough. And the end."
     monkeypatch.setattr(html_text, "best_region", lambda scores, passable: (0, len(scores), []))
     assert not any(html_text.main_text(x, weights) == e for x, e in zip(pages, expected, strict=True))
     assert "Buy" in html_text.main_text(notice, weights)
