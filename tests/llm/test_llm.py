@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -533,6 +534,33 @@ def test_blocks_meet_for_nine_in_ten_pairs_of_the_table(sf_dir):
     assert line_groups(texts)[1] >= 0.95
 
 
+def test_edits_of_long_lines_of_few_words_take_no_squared_time():
+    rng = random.Random(12)
+    v = rng.choices(["la", "do", "re", "mi"], k=60_000)
+    for k in range(40):
+        v[1_500 * k] = f"single{k}"
+    w = list(v)
+    for at in rng.sample(range(len(w)), 50):
+        w[at] = "changed"
+    took = time.process_time()
+    assert 50 <= fuzzy_lines.word_edits(v, w) <= 7 * 1_500 * 51
+    assert fuzzy_lines.word_edits(v, v) == 0 and fuzzy_lines.word_edits([], ["a"]) == 2
+    assert time.process_time() - took < 5
+
+
+def test_unlike_lines_under_one_block_travel_once(spark):
+    """20,000 unlike lines that share a block of words: as many rows for the comparison, and no pair of them."""
+    rng = random.Random(13)
+    n = 20_000
+    shared = spark.createDataFrame([(1, k, rng.getrandbits(64) - (1 << 63)) for k in range(n)], "key long, d1 long, sim long")
+    alone = shared.select("d1", F.col("d1").alias("component")).where("false")
+    assert fuzzy_lines._cells(shared, alone).count() <= 2 * n
+    met = {(r.a, r.b) for r in fuzzy_lines._cross_pairs(shared, alone).collect()}
+    sims = [r.sim for r in shared.orderBy("d1").collect()]
+    own = np.array(sims).view(np.uint64)
+    assert met == {(i, int(j)) for i in range(n) for j in np.flatnonzero(np.bitwise_count(own ^ own[i]) <= fuzzy_lines.SIM_BITS) if i < j}
+
+
 def test_lines_of_texts_under_one_id(spark):
     line = "the same line of seven words here"
     docs = spark.createDataFrame([(1, line), (2, line + "\nother words that stand alone in two"), (2, "wholly unlike text of quite some words\n" + line)], "doc_id long, text string")
