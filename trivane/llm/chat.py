@@ -227,7 +227,7 @@ def format_chats(chats: DataFrame) -> DataFrame:
     A turn is ``<s>role\\ntext</s>``, within ``[INST] `` and ``[/INST]`` unless the
     assistant speaks. Only the assistant's texts are under the loss mask. No
     turns give an empty string. Null roles and texts count as empty. Columns of ``chats`` named segments or formatted
-    are replaced; repeated rows stay; an empty table gives no rows.
+    are replaced; repeated rows stay; an empty table gives no rows. Very long texts are formatted whole.
     """
 
     def pieces(x):

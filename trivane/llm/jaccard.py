@@ -297,7 +297,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts linked rows, copies included. Copies of a text are one node until the
     end. Null, empty and wordless texts are linked with nothing and have their own
     id as class. Rows with a null id take part and give it no class. Rows that
-    repeat an id are copies, or, with other texts, nodes of their own. An empty table gives no rows.
+    repeat an id are copies, or, with other texts, nodes of their own. An empty table gives no rows. A very long text
+    counts with all its shingles. Other columns are neither read nor returned, whatever their names.
     """
     shortest = max(1, min(forest_depth(threshold, trees, target, max_depth) - 1, max_depth))
     sig = materialise(signatures(docs.select(F.col(id_col).alias("__id"), F.col(text_col)), text_col, ["__id"], words, trees, max_depth), "signatures")

@@ -104,7 +104,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last one, with the one before it); a sentence goes alone, and its line stays, if only as an empty one.
     Null texts give an empty kept_text; empty texts, short units and
     texts without repeats stay as they are; an empty table gives no rows. Rows that share an id but not a text lose
-    their own repeats only. Columns of ``docs`` named spans or kept_text are replaced.
+    their own repeats only. Columns of ``docs`` named spans or kept_text are replaced. A very long text is
+    cut in all its units, which travel as digests.
     """
     spans = repeated_units(docs, id_col, text_col, unit, min_words).groupBy(F.col("row.id").alias("__id"), F.col("row.hash").alias("__hash")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     rest = [c for c in docs.columns if c not in ("spans", "kept_text")]

@@ -219,7 +219,8 @@ def _added(docs: DataFrame, source: str, out: str, kind: str, build, carry: list
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: str = "ids", carry: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``carry``, which spares the tasks the others) with ``out`` array<int>. Null and empty texts have no ids; a column named ``out`` is replaced.
 
-    Rows are independent and not shuffled, so repeated rows, ties and null ids need nothing; an empty table gives no rows.
+    Rows are independent and not shuffled, so repeated rows, ties and null ids need nothing; an empty table gives no rows. A very long text is encoded
+    whole, word by word; of splits with equal scores the one with the longer last piece counts.
     """
     return _added(docs, text_col, out, "array<int>", lambda: _shared("encode", vocabulary).encode_column, carry)
 

@@ -406,7 +406,8 @@ def without_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col:
     smaller id; all is judged on the input. Null texts count as empty. Rows with a null
     id have no place in the order: they lose nothing and nothing is lost for them. Rows that
     repeat an id are one document, whose texts lose nothing for each other; each text has its own spans (texts under one id are told
-    apart by 24 bits of their hash). An empty table gives no rows.
+    apart by 24 bits of their hash). An empty table gives no rows. Very long texts are taken whole; other columns are
+    neither read nor returned, whatever their names.
     """
     found = repeated_strings(docs, id_col, text_col, length)
     spans = found.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("found"))

@@ -171,7 +171,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", carry: list[str] | No
     written once to the shared folder, so the texts are read once. Null and
     empty texts have no words and so fail the base rules; repeated rows count
     each time; an empty table gives no rows. Columns of ``docs`` that clash with added
-    names are replaced unless they are carried under another name.
+    names are replaced unless they are carried under another name. Very long texts count whole; documents with
+    equal votes have equal posteriors, and a posterior of keep_at itself is enough.
     """
     keep = list(docs.columns) if carry is None else carry
     keep = [c for c in keep if c not in {*FEATURES, "base_failed", "posterior", "kept"}]
