@@ -677,6 +677,17 @@ def test_equal_strings_by_brute_force():
     assert len(set(got.tolist())) == len(seen)
 
 
+def test_many_classes_with_one_beginning_take_no_squared_time():
+    rng = np.random.default_rng(5)
+    n = 8_000
+    rows = np.hstack([np.tile(rng.integers(97, 123, 40, np.uint8), (n, 1)), rng.integers(97, 123, (n, 30), np.uint8)])
+    at = (np.arange(n)[:, None] * 70 + np.arange(12)).ravel()
+    began = time.process_time()
+    got = suffix.equal_strings(np.concatenate([rows.ravel(), np.zeros(128, np.uint8)]), at, 50)
+    assert time.process_time() - began < 3
+    assert len(np.unique(got)) == len({rows.tobytes()[i : i + 50] for i in at.tolist()})
+
+
 def test_suffixes_edge_cases(spark, odd):
     out = suffix.without_repeated_strings(odd).collect()
     assert len(out) == odd.count() and all(r.spans == [] for r in out)

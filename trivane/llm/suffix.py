@@ -29,7 +29,7 @@ from trivane.llm.wordhash import _BYTE, mix, powers, text_chunks
 
 #: Bytes of a gram; the position bits of an ordering value; runs settled together before the shuffle;
 #: runs of a bucket that is not split; bytes of a block; bytes compared at once.
-GRAM, POSITION, LOT, MOST_RUNS, BLOCK, COMPARED = 20, 28, 1 << 18, 1 << 16, 1 << 22, 1 << 20
+GRAM, POSITION, LOT, MOST_RUNS, BLOCK, COMPARED = 20, 28, 1 << 18, 1 << 16, 1 << 21, 1 << 20
 #: Shares of the buckets that are sorted one after the other.
 SHARES = 2
 #: Hot buckets that go to all tasks at once (16 bytes each); more are joined.
@@ -185,45 +185,46 @@ def equal_strings(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """A class for each data[at:at + length]; ``data`` ends with 64 bytes of padding. length is 45 to 50.
 
     Sorted by 32 bytes; ties of more are resolved against the first of their group
-    by cover ranks of 32 bytes at an offset of length - 32 up to 31, and by the bytes left if the ranks differ.
+    by cover ranks of 32 bytes at an offset of length - 32 up to 31, and by the bytes left if the ranks differ. What
+    is not equal to the first is sorted by the bytes left, so that a group of many classes takes no more rounds than one of two.
     """
-    eight = np.zeros(len(data) - 8, np.uint64)
-    for j in range(8):
-        eight |= data[j : len(data) - 8 + j].astype(np.uint64) << np.uint64(56 - 8 * j)
-    columns = lambda p: (eight[p + 24], eight[p + 16], eight[p + 8], eight[p])
-
-    def ranks(p):
-        order = np.lexsort(columns(p))
-        q = p[order]
-        new = np.zeros(len(p), bool)
-        for c in columns(q):
+    eight = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    columns = lambda p, *offsets: tuple(eight[p + o].astype(np.uint64) for o in offsets)
+
+    def sort(*by):
+        """(order, whether each of that order differs from the one before) by the last column first."""
+        order = np.lexsort(by)
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for c in by:
+            c = c[order]
             new[1:] |= c[1:] != c[:-1]
-        out = np.empty(len(p), np.int64)
-        out[order] = np.cumsum(new)
-        return out, order
-
-    inside = np.arange(len(data) - 40)
-    sample = inside[np.isin(inside % PERIOD, COVER)]
-    cover = np.full(len(data), -1, np.int64)
-    cover[sample] = ranks(sample)[0]
-    first, order = ranks(at)
+        return order, new
+
+    order, new = sort(*columns(at, 24, 16, 8, 0))
     out = order.copy()
     out[order] = order
-    group = first[order]
-    tied = np.flatnonzero(np.concatenate((group[1:] == group[:-1], [False])) | np.concatenate(([False], group[1:] == group[:-1])))
-    todo, group = order[tied], group[tied]
+    tied = np.flatnonzero(~new | np.concatenate((~new[1:], [False])))
+    if not len(tied):
+        return out
+    todo, group, start = order[tied], np.cumsum(new)[tied], np.flatnonzero(new[tied])
+    leader = np.repeat(todo[start], np.diff(np.concatenate((start, [len(todo)]))))
+    i, j = at[todo], at[leader]
     near, far = length - 32, length - 8
-    while len(todo):
-        start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        leader = np.repeat(todo[start], np.diff(np.concatenate((start, [len(todo)]))))
-        i, j = at[todo], at[leader]
-        d = near + OFFSET[(i + near) % PERIOD, (j + near) % PERIOD]
-        same = cover[i + d] == cover[j + d]
-        rest = np.flatnonzero(~same)
-        a, b = i[rest], j[rest]
-        same[rest] = (eight[a + 32] == eight[b + 32]) & (eight[a + far - 4] == eight[b + far - 4]) & (eight[a + far] == eight[b + far])
-        out[todo[same]] = leader[same]
-        todo, group = todo[~same], group[~same]
+    d = near + OFFSET[(i + near) % PERIOD, (j + near) % PERIOD]
+    # Of the sample only what the ties ask for is ranked.
+    sample, asked = np.unique(np.concatenate((i + d, j + d)), return_inverse=True)
+    order, new = sort(*columns(sample, 24, 16, 8, 0))
+    cover = np.empty(len(sample), np.int64)
+    cover[order] = np.cumsum(new)
+    same = cover[asked[: len(i)]] == cover[asked[len(i) :]]
+    rest = np.flatnonzero(~same)
+    same[rest] = np.logical_and.reduce([x == y for x, y in zip(columns(i[rest], 32, far - 4, far), columns(j[rest], 32, far - 4, far), strict=True)])
+    out[todo[same]] = leader[same]
+    todo, group = todo[~same], group[~same]
+    order, new = sort(*columns(at[todo], far, far - 4, 32), group)
+    todo, start = todo[order], np.flatnonzero(new)
+    out[todo] = np.repeat(todo[start], np.diff(np.concatenate((start, [len(todo)]))))
     return out
 
 
