@@ -561,6 +561,57 @@ def test_unlike_lines_under_one_block_travel_once(spark):
     assert met == {(i, int(j)) for i in range(n) for j in np.flatnonzero(np.bitwise_count(own ^ own[i]) <= fuzzy_lines.SIM_BITS) if i < j}
 
 
+def test_distances_of_many_pairs_equal_those_of_one(monkeypatch):
+    monkeypatch.setattr(fuzzy_lines, "ENOUGH", 1)
+    rng = random.Random(14)
+    texts = []
+    for size in [0, 1, 5, 30, 63, 64, 65, 100, 128, 129, 200, 500, 1_030] * 8:
+        texts.append("".join(rng.choices("ab cdeé", k=size)))
+        for _ in range(3):
+            own = list(texts[-1])
+            for _ in range(rng.randint(0, max(1, size // 3))):
+                at, kind = rng.randrange(len(own) + 1), rng.random()
+                own[at : at + (kind < 0.66)] = rng.choice("abc ") * (kind > 0.33)
+            texts.append("".join(own))
+    i = np.arange(len(texts) - 1)
+    got = fuzzy_lines.Alike(texts, 0.8)(i, i + 1)
+    exact = [fuzzy_lines.edit_distance(s, t) <= 0.2 * max(len(s), len(t)) + 1e-9 for s, t in zip(texts, texts[1:], strict=False)]
+    assert got.tolist() == exact and 0.1 < got.mean() < 0.9
+
+
+def test_links_of_near_copies_grow_with_the_lines(spark):
+    """500 near copies, none of which is near to all: one link a line at most, and the groups of all their pairs."""
+    rng = random.Random(15)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(500)]
+    base = rng.choices(vocab, k=40)
+    forms = sorted({" ".join(rng.choice(vocab) if rng.random() < 0.1 else w for w in base) for _ in range(500)})
+    rows = [(k % 3, d, d, 0, f, [k % 3, 7]) for k, (d, f) in enumerate(zip(range(1, 501), forms, strict=False))]
+    rows += [(7, *r[1:]) for r in rows]
+    shared = spark.createDataFrame(rows, "key long, d1 long, d2 long, sim long, normal string, keys array<long>")
+    alone = shared.select("d1", F.col("d1").alias("component")).where("false")
+    links = [(r.src.d1, r.dst.d1) for r in fuzzy_lines._links(shared, alone, 0.8).collect()]
+    assert len(links) <= len(rows)
+
+    def groups(pairs):
+        least = list(range(len(forms) + 1))
+
+        def root(x):
+            while least[x] != x:
+                x = least[x]
+            return x
+
+        for a, b in pairs:
+            x, y = sorted((root(a), root(b)))
+            least[y] = x
+        return [root(x) for x in range(1, len(forms) + 1)]
+
+    alike = fuzzy_lines.Alike(forms, 0.8)
+    a, b = np.triu_indices(len(forms), 1)
+    use = alike(a, b)
+    assert use.sum() > 20 * len(rows)
+    assert groups(links) == groups(zip((a[use] + 1).tolist(), (b[use] + 1).tolist(), strict=True))
+
+
 def test_lines_of_texts_under_one_id(spark):
     line = "the same line of seven words here"
     docs = spark.createDataFrame([(1, line), (2, line + "\nother words that stand alone in two"), (2, "wholly unlike text of quite some words\n" + line)], "doc_id long, text string")
