@@ -612,6 +612,31 @@ def test_links_of_near_copies_grow_with_the_lines(spark):
     assert groups(links) == groups(zip((a[use] + 1).tolist(), (b[use] + 1).tolist(), strict=True))
 
 
+def test_forms_of_one_cell_travel_once(spark):
+    """A form that asks and is asked in one cell is one row of it; in more cells it asks and is asked once in each."""
+    shared = spark.createDataFrame([(1, k, 0) for k in range(100)], "key long, d1 long, sim long")
+    alone = shared.select("d1", F.col("d1").alias("component")).where("false")
+    assert fuzzy_lines._cells(shared, alone).count() == 100
+
+
+def test_unlike_lines_of_one_vocabulary_are_left_before_their_end(monkeypatch):
+    """2,000 pairs of unlike lines of the same letters: few go through columns of their own, most columns are left out, and none is lost."""
+    rng = random.Random(16)
+    parts = ["th", "on", "er", "an", "re", "sh", "ble", "tion", " "]
+    texts = ["".join(rng.choices(parts, k=300)) for _ in range(2_000)]
+    texts += [t[:200] + "xyz" + t[220:] for t in texts[:50]]
+    i, j = np.arange(2_050), np.concatenate((np.roll(np.arange(2_000), 1), np.arange(50)))
+    alone, looks = [], []
+    one, look = fuzzy_lines.edit_distance, fuzzy_lines._least_left
+    monkeypatch.setattr(fuzzy_lines, "edit_distance", lambda *a: alone.append(a) or one(*a))
+    monkeypatch.setattr(fuzzy_lines, "_least_left", lambda *a: looks.append(np.size(a[2])) or look(*a))
+    got = fuzzy_lines.Alike(texts, 0.8).by_distance(i, j)
+    assert np.flatnonzero(got).tolist() == list(range(2_000, 2_050))
+    assert len(alone) < 100 and sum(looks) < 2_050 * 600 / fuzzy_lines.LOOK / 2
+    for a, b, like in [(texts[0], texts[1999], False), (texts[2_000], texts[0], True)]:
+        assert (one(a, b, 0.2 * max(len(a), len(b))) <= 0.2 * max(len(a), len(b))) == like == (one(a, b) <= 0.2 * max(len(a), len(b)))
+
+
 def test_lines_of_texts_under_one_id(spark):
     line = "the same line of seven words here"
     docs = spark.createDataFrame([(1, line), (2, line + "\nother words that stand alone in two"), (2, "wholly unlike text of quite some words\n" + line)], "doc_id long, text string")
