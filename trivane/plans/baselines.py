@@ -23,7 +23,7 @@ def kernel_baseline(df: DataFrame, warmup: list[int], year: str, label: str, key
     """year and metrics of every later year; df has ``vec``."""
     train, test = df.where(F.col(year).isin(warmup)), df.where(~F.col(year).isin(warmup))
     # Nine places, so that ties of the AUC do not depend on the order of sums.
-    p = kernel_posterior(nearest(train.withColumn("y", F.col(label)), test, k, key, key), params).withColumn("p", F.round("p", 9))
+    p = nearest(train.withColumn("y", F.col(label)), test, k, key, key, answer=lambda found: kernel_posterior(found, params)).withColumn("p", F.round("p", 9))
     scored = test.select(F.col(key).cast("long").alias("query"), year, label).join(p, "query").withColumn("predicted", (F.col("p") >= cut).cast("int"))
     return classification_metrics(scored, [year], label, "predicted", "p")
 
